@@ -14,38 +14,42 @@ def as_col(c: Column | str) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
-def missing(c: Column | str) -> Column:
-    """NULL or NaN, the two forms a missing number takes."""
-    c = as_col(c).cast("double")
-    return c.isNull() | F.isnan(c)
-
-
-def sub_index(concentration: Column | str, bands=None) -> Column:
-    """Piecewise-linear index of the first band holding the value, half-to-even; NULL in the gaps."""
-    c = as_col(concentration).cast("double")
-    chain = None
-    for c_low, c_high, i_low, i_high in bands or schemas.BREAKPOINTS:
-        slope = (i_high - i_low) / (c_high - c_low)
-        value = F.bround(F.lit(slope) * (c - F.lit(float(c_low))) + F.lit(float(i_low)))
-        inside = c.between(float(c_low), float(c_high))
-        chain = F.when(inside, value) if chain is None else chain.when(inside, value)
-    return chain.cast("int")
-
-
-def calculated_aqi(columns: dict[str, Column | str] | None = None, bands: dict[str, list] | None = None) -> Column:
-    """Largest available sub-index; NULL when no pollutant has one."""
+def sub_index_text(value: str, bands=None) -> str:
+    """SQL text of the piecewise-linear index. Text, because a chain over all bands and pollutants is
+    some hundred Column calls, and one parsed expression costs the driver a fraction of that."""
+    v = f"CAST({value} AS DOUBLE)"
+    arms = " ".join(
+        f"WHEN {v} BETWEEN {float(c_low)!r}D AND {float(c_high)!r}D "
+        f"THEN bround({(i_high - i_low) / (c_high - c_low)!r}D * ({v} - {float(c_low)!r}D) + {float(i_low)!r}D)"
+        for c_low, c_high, i_low, i_high in (bands or schemas.BREAKPOINTS)
+    )
+    return f"CAST(CASE {arms} END AS INT)"
+
+
+def sub_index(value: str, bands=None) -> Column:
+    """Piecewise-linear index of the first band holding the value, half-to-even; NULL in the gaps.
+
+    ``value`` is a column name or SQL expression.
+    """
+    return F.expr(sub_index_text(value, bands))
+
+
+def calculated_aqi(columns: dict[str, str] | None = None, bands: dict[str, list] | None = None) -> Column:
+    """Largest available sub-index; NULL when no pollutant has one. ``columns``: pollutant → column."""
     columns = columns or {p: p for p in schemas.INDEXED_POLLUTANTS}
-    parts = [sub_index(c, (bands or {}).get(p)) for p, c in columns.items()]
-    return F.greatest(*parts) if len(parts) > 1 else parts[0]
+    parts = [sub_index_text(c, (bands or {}).get(p)) for p, c in columns.items()]
+    return F.expr(f"greatest({', '.join(parts)})" if len(parts) > 1 else parts[0])
+
+
+def aqi_category_text(value: str) -> str:
+    v = f"CAST({value} AS DOUBLE)"
+    arms = " ".join(f"WHEN {v} <= {float(b)!r}D THEN '{n}'" for b, n in schemas.CATEGORY_BOUNDS[:-1])
+    return f"CASE WHEN {v} IS NULL OR isnan({v}) THEN NULL {arms} ELSE '{schemas.CATEGORY_BOUNDS[-1][1]}' END"
 
 
-def aqi_category(value: Column | str) -> Column:
+def aqi_category(value: str) -> Column:
     """Six-way banding; missing values have no category."""
-    v = as_col(value).cast("double")
-    chain = F.when(missing(v), F.lit(None).cast("string"))
-    for bound, name in schemas.CATEGORY_BOUNDS[:-1]:
-        chain = chain.when(v <= F.lit(float(bound)), F.lit(name))
-    return chain.otherwise(F.lit(schemas.CATEGORY_BOUNDS[-1][1]))
+    return F.expr(aqi_category_text(value))
 
 
 def round_even(value: Column | str, places: int = 2) -> Column:

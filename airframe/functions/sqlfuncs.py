@@ -4,20 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import SparkSession
 
-from airframe import schemas
+from airframe.functions.columns import aqi_category_text, sub_index_text
 
 
 def register(spark: SparkSession) -> list[str]:
     """Define ``sub_index(x)``, ``aqi_category(x)``, ``round_even2(x)`` and ``token_cost(...)``."""
-    bands = "\n".join(
-        f"WHEN x BETWEEN {lo}D AND {hi}D THEN bround({(ih - il) / (hi - lo)!r}D * (x - {lo}D) + {float(il)}D)"
-        for lo, hi, il, ih in schemas.BREAKPOINTS
-    )
-    names = "\n".join(f"WHEN x <= {b}D THEN '{n}'" for b, n in schemas.CATEGORY_BOUNDS[:-1])
-    last = schemas.CATEGORY_BOUNDS[-1][1]
     bodies = {
-        "sub_index(x DOUBLE) RETURNS INT": f"CAST(CASE {bands} END AS INT)",
-        "aqi_category(x DOUBLE) RETURNS STRING": f"CASE WHEN x IS NULL OR isnan(x) THEN NULL {names} ELSE '{last}' END",
+        "sub_index(x DOUBLE) RETURNS INT": sub_index_text("x"),
+        "aqi_category(x DOUBLE) RETURNS STRING": aqi_category_text("x"),
         "round_even2(x DOUBLE) RETURNS DOUBLE": "rint(x * 100D) / 100D",
         "token_cost(t_in BIGINT, t_out BIGINT, p_in DOUBLE, p_out DOUBLE) RETURNS DOUBLE": "t_in / 1000000D * p_in + t_out / 1000000D * p_out",
     }

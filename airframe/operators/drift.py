@@ -62,8 +62,7 @@ def wasserstein(df: DataFrame, columns: Sequence[str], side: str = SIDE) -> Data
     the latter comes from a one-row-per-range summary.
     """
     borders = quantiles.splitters(df, columns)
-    number = quantiles.range_of(F.col("column"), F.col("value"), borders, quantiles.parts_for(df))
-    ecdf = _ecdf(df, columns, side, borders).withColumn(BUCKET, number)
+    ecdf = _ecdf(df, columns, side, borders).withColumn(BUCKET, quantiles.range_of(borders, quantiles.parts_for(df)))
     here = ecdf.withColumn("_next", F.lead("value").over(Window.partitionBy("column", BUCKET).orderBy("value")))
     starts = ecdf.groupBy("column", BUCKET).agg(F.min("value").alias("_start"))
     _, later, _ = across(["column", BUCKET])

@@ -120,8 +120,7 @@ def score_forecast(
         labels["date"].alias("date"),
         labels["hour"].alias("hour"),
         *[round_even(n).alias(n) for n in names],
-        aqi_category(round_even(names[0])).alias("aqi_category"),
-    )
+    ).withColumn("aqi_category", aqi_category(names[0]))
 
 
 def daily_minmaxmean(df: DataFrame, keys: Sequence[str], date: str, values: Sequence[str]) -> DataFrame:

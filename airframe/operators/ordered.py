@@ -4,7 +4,8 @@ A window over a whole series puts that series into one task, and a single series
 part of the table. Everything here therefore works in two steps: rows are grouped into *time buckets*
 ``(keys, bucket)`` and handled by a window inside the bucket; what has to cross a bucket border is
 carried by a frame with one row per bucket and joined back. The rows themselves are shuffled once,
-on ``(keys, bucket)``; the join back reuses that partitioning.
+on ``(keys, bucket)``; the join back reuses that partitioning. The order columns must tell the rows of
+a series apart.
 """
 
 from __future__ import annotations
@@ -48,22 +49,21 @@ def _keyed(
 
 
 def within(parts: Sequence[str], order: Sequence[str]):
-    """Frames inside a bucket: start to here, here to end."""
-    w = Window.partitionBy(*parts).orderBy(*order)
-    return (
-        w.rowsBetween(Window.unboundedPreceding, Window.currentRow),
-        w.rowsBetween(Window.currentRow, Window.unboundedFollowing),
-    )
+    """Frames inside a bucket: start to here, and end to here. Both are running frames; a frame that
+    reaches ahead would be evaluated anew for every row."""
+    w = Window.partitionBy(*parts)
+    here = (Window.unboundedPreceding, Window.currentRow)
+    return w.orderBy(*order).rowsBetween(*here), w.orderBy(*[F.col(c).desc() for c in order]).rowsBetween(*here)
 
 
 def across(parts: Sequence[str]):
     """Frames over the one-row-per-bucket summary: earlier buckets, later buckets, all buckets."""
     series = [F.col(p) for p in parts if p != BUCKET] or [F.lit(0)]
-    w = Window.partitionBy(*series).orderBy(BUCKET)
+    w = Window.partitionBy(*series)
     return (
-        w.rowsBetween(Window.unboundedPreceding, -1),
-        w.rowsBetween(1, Window.unboundedFollowing),
-        w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing),
+        w.orderBy(BUCKET).rowsBetween(Window.unboundedPreceding, -1),
+        w.orderBy(F.col(BUCKET).desc()).rowsBetween(Window.unboundedPreceding, -1),
+        w.orderBy(BUCKET).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing),
     )
 
 
@@ -148,45 +148,53 @@ def _neighbours(
     ``_pos`` and the positions of those neighbours are ``_pp_c`` and ``_np_c``.
     """
     src, parts = _keyed(df, keys, order, bucket, seconds)
-    back, ahead = within(parts, order)
-    rows = src.withColumn("_pos", F.count(F.lit(1)).over(back)) if need_pos else src
-    at = lambda c: F.when(F.col(c).isNotNull(), F.col("_pos"))
-    ends = [F.last(c, ignorenulls=True).over(back).alias(f"_prev_{c}") for c in columns]
-    ends += [F.first(c, ignorenulls=True).over(ahead).alias(f"_next_{c}") for c in need_next]
-    if need_pos:
-        ends += [F.max(at(c)).over(back).alias(f"_pp_{c}") for c in need_next]
-        ends += [F.min(at(c)).over(ahead).alias(f"_np_{c}") for c in need_next]
-    rows = rows.select("*", *ends)
+    running = "ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW"
+    back = f"OVER (PARTITION BY {_names(parts)} ORDER BY {_names(order)} {running})"
+    ahead = f"OVER (PARTITION BY {_names(parts)} ORDER BY {', '.join(f'`{c}` DESC' for c in order)} {running})"
+    placed = list(need_next) if need_pos else []
+    rows = src.selectExpr("*", f"count(1) {back} AS _pos") if need_pos else src
+    # Written as SQL text: with twenty columns these are well over a thousand Column calls otherwise.
+    rows = rows.selectExpr(
+        "*",
+        *[f"last_value(`{c}`) IGNORE NULLS {back} AS `_prev_{c}`" for c in columns],
+        *[f"last_value(`{c}`) IGNORE NULLS {ahead} AS `_next_{c}`" for c in need_next],
+        *[f"max(IF(`{c}` IS NULL, NULL, _pos)) {back} AS `_pp_{c}`" for c in placed],
+        *[f"min(IF(`{c}` IS NULL, NULL, _pos)) {ahead} AS `_np_{c}`" for c in placed],
+    )
 
     # One row per bucket: its last and first valid value. These stand on the bucket's last and first
     # row, so they are read off the windowed rows and need no shuffle of their own.
-    stamp = F.struct(*order)
-    last_row = [f"_prev_{c}" for c in columns] + ([f"_pp_{c}" for c in need_next] if need_pos else [])
-    first_row = [f"_next_{c}" for c in need_next] + ([f"_np_{c}" for c in need_next] if need_pos else [])
-    summary = rows.groupBy(*parts).agg(
-        F.count(F.lit(1)).alias("_n"),
-        F.max_by(F.struct(*last_row), stamp).alias("_last"),
-        *([F.min_by(F.struct(*first_row), stamp).alias("_first")] if first_row else []),
-    )
-    before, after, _ = across(parts)
-    summary = summary.withColumn("_off", F.coalesce(F.sum("_n").over(before), F.lit(0)))
-    lift = lambda side, c: F.col(f"{side}.{c}") + F.col("_off")
-    carry = summary.select(
+    stamp = f"struct({_names(order)})"
+    last_row = _names([f"_prev_{c}" for c in columns] + [f"_pp_{c}" for c in placed])
+    first_row = _names([f"_next_{c}" for c in need_next] + [f"_np_{c}" for c in placed])
+    aggs = ["count(1) AS _n", f"max_by(struct({last_row}), {stamp}) AS _last"]
+    if need_next:
+        aggs.append(f"min_by(struct({first_row}), {stamp}) AS _first")
+    summary = rows.groupBy(*parts).agg(*[F.expr(a) for a in aggs])
+    series = _names([p for p in parts if p != BUCKET]) or "0"
+    earlier = "ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING"
+    before = f"OVER (PARTITION BY {series} ORDER BY {BUCKET} {earlier})"
+    after = f"OVER (PARTITION BY {series} ORDER BY {BUCKET} DESC {earlier})"
+    carry = summary.selectExpr("*", f"coalesce(sum(_n) {before}, 0L) AS _off").selectExpr(
         *parts,
         "_off",
-        *[F.last(f"_last._prev_{c}", ignorenulls=True).over(before).alias(f"_cprev_{c}") for c in columns],
-        *[F.first(f"_first._next_{c}", ignorenulls=True).over(after).alias(f"_cnext_{c}") for c in need_next],
-        *([F.max(lift("_last", f"_pp_{c}")).over(before).alias(f"_cpp_{c}") for c in need_next] if need_pos else []),
-        *([F.min(lift("_first", f"_np_{c}")).over(after).alias(f"_cnp_{c}") for c in need_next] if need_pos else []),
+        *[f"last_value(_last.`_prev_{c}`) IGNORE NULLS {before} AS `_cprev_{c}`" for c in columns],
+        *[f"last_value(_first.`_next_{c}`) IGNORE NULLS {after} AS `_cnext_{c}`" for c in need_next],
+        *[f"max(_last.`_pp_{c}` + _off) {before} AS `_cpp_{c}`" for c in placed],
+        *[f"min(_first.`_np_{c}` + _off) {after} AS `_cnp_{c}`" for c in placed],
     )
-    out = join_carry(rows, carry, parts)
-    fixed = [F.coalesce(f"_prev_{c}", f"_cprev_{c}").alias(f"_prev_{c}") for c in columns]
-    fixed += [F.coalesce(f"_next_{c}", f"_cnext_{c}").alias(f"_next_{c}") for c in need_next]
-    if need_pos:
-        fixed.append((F.col("_pos") + F.col("_off")).alias("_pos"))
-        fixed += [F.coalesce(F.col(f"_pp_{c}") + F.col("_off"), F.col(f"_cpp_{c}")).alias(f"_pp_{c}") for c in need_next]
-        fixed += [F.coalesce(F.col(f"_np_{c}") + F.col("_off"), F.col(f"_cnp_{c}")).alias(f"_np_{c}") for c in need_next]
-    return out.select(*[F.col(c) for c in df.columns], *fixed)
+    return join_carry(rows, carry, parts).selectExpr(
+        *[f"`{c}`" for c in df.columns],
+        *[f"coalesce(`_prev_{c}`, `_cprev_{c}`) AS `_prev_{c}`" for c in columns],
+        *[f"coalesce(`_next_{c}`, `_cnext_{c}`) AS `_next_{c}`" for c in need_next],
+        *(["_pos + _off AS _pos"] if need_pos else []),
+        *[f"coalesce(`_pp_{c}` + _off, `_cpp_{c}`) AS `_pp_{c}`" for c in placed],
+        *[f"coalesce(`_np_{c}` + _off, `_cnp_{c}`) AS `_np_{c}`" for c in placed],
+    )
+
+
+def _names(columns: Sequence[str]) -> str:
+    return ", ".join(f"`{c}`" for c in columns)
 
 
 def ffill(
@@ -202,12 +210,11 @@ def ffill(
     return n.select(*[F.col(f"_prev_{c}").alias(c) if c in columns else F.col(c) for c in df.columns])
 
 
-def _lerp(c: str) -> Column:
+def _lerp(c: str) -> str:
     """A missing value lies on the line between its neighbours; at the ends one neighbour is missing."""
-    prev, nxt, before = F.col(f"_prev_{c}"), F.col(f"_next_{c}"), F.col(f"_pp_{c}")
-    span = (F.col(f"_np_{c}") - before).cast("double")
-    inner = prev + (nxt - prev) * (F.col("_pos") - before).cast("double") / span
-    return F.coalesce(F.col(c), F.when(prev.isNull(), nxt).when(nxt.isNull(), prev).otherwise(inner))
+    prev, nxt, before, behind = (f"`{side}_{c}`" for side in ("_prev", "_next", "_pp", "_np"))
+    inner = f"{prev} + ({nxt} - {prev}) * CAST(_pos - {before} AS DOUBLE) / CAST({behind} - {before} AS DOUBLE)"
+    return f"coalesce(`{c}`, CASE WHEN {prev} IS NULL THEN {nxt} WHEN {nxt} IS NULL THEN {prev} ELSE {inner} END) AS `{c}`"
 
 
 def interpolate_linear(
@@ -232,17 +239,11 @@ def fill(
     seconds: int = 86_400,
 ) -> DataFrame:
     """Interpolate one set of columns and forward-fill another in a single pass (one shuffle, one sort)."""
-    typed = df.select(*[F.col(c).cast("double").alias(c) if c in interpolate else F.col(c) for c in df.columns])
+    typed = df.selectExpr(*[f"CAST(`{c}` AS DOUBLE) AS `{c}`" if c in interpolate else f"`{c}`" for c in df.columns])
     n = _neighbours(typed, keys, order, [*interpolate, *carry], list(interpolate), True, bucket, seconds)
-    out = []
-    for c in df.columns:
-        if c in interpolate:
-            out.append(_lerp(c).alias(c))
-        elif c in carry:
-            out.append(F.col(f"_prev_{c}").alias(c))
-        else:
-            out.append(F.col(c))
-    return n.select(*out)
+    kept = {c: f"`{c}`" for c in df.columns}
+    kept |= {c: f"`_prev_{c}` AS `{c}`" for c in carry} | {c: _lerp(c) for c in interpolate}
+    return n.selectExpr(*[kept[c] for c in df.columns])
 
 
 #: Which column is filled how. Columns absent from a frame are skipped.

@@ -35,31 +35,29 @@ def splitters(df: DataFrame, columns: Sequence[str]) -> dict[str, list[float]]:
     return {c: sorted({x for x in (row[c] or []) if x == x}) for c in columns}
 
 
-def range_of(column: Column, value: Column, borders: dict[str, list[float]], parts: int = 1) -> Column:
-    """Range number of a value, never decreasing in the value.
+def range_of(borders: dict[str, list[float]], parts: int = 1) -> Column:
+    """Range number of the row's ``value`` for its ``column``, never decreasing in the value.
 
     The segment between two borders is found by halving the literal borders; a segment is cut
-    linearly into ``parts`` ranges, so a large cluster gets many ranges from few borders.
+    linearly into ``parts`` ranges, so a large cluster gets many ranges from few borders. Built as SQL
+    text: one parsed expression instead of a Column call per node.
     """
 
-    def leaf(points: list[float], i: int) -> Column:
+    def leaf(points: list[float], i: int) -> str:
         if parts == 1 or i == 0 or i == len(points):
-            return F.lit(i * parts)
+            return str(i * parts)
         low, high = points[i - 1], points[i]
-        inner = F.floor((value - F.lit(low)) * F.lit(parts / (high - low)))
-        return F.lit(i * parts) + F.greatest(F.lit(0), F.least(F.lit(parts - 1), inner))
+        inner = f"floor((value - ({low!r}D)) * {parts / (high - low)!r}D)"
+        return f"({i * parts} + greatest(0, least({parts - 1}, {inner})))"
 
-    def descend(points: list[float], low: int, high: int) -> Column:
+    def descend(points: list[float], low: int, high: int) -> str:
         if low == high:
             return leaf(points, low)
         mid = (low + high) // 2
-        return F.when(value < F.lit(points[mid]), descend(points, low, mid)).otherwise(descend(points, mid + 1, high))
+        return f"CASE WHEN value < ({points[mid]!r}D) THEN {descend(points, low, mid)} ELSE {descend(points, mid + 1, high)} END"
 
-    chain = None
-    for name, points in borders.items():
-        expr = descend(points, 0, len(points))
-        chain = F.when(column == name, expr) if chain is None else chain.when(column == name, expr)
-    return chain.cast("long")
+    arms = " ".join(f"WHEN column = '{name}' THEN {descend(points, 0, len(points))}" for name, points in borders.items())
+    return F.expr(f"CAST(CASE {arms} END AS BIGINT)")
 
 
 def parts_for(df: DataFrame) -> int:
@@ -76,7 +74,7 @@ def cumulative_counts(
     counted = cells.groupBy(*keep, "column", "value").agg(
         *[F.count_if(flag).alias(name) for name, flag in sides.items()]
     )
-    bucket = range_of(F.col("column"), F.col("value"), borders, parts_for(cells))
+    bucket = range_of(borders, parts_for(cells))
     return running_totals(counted, [*keep, "column"], ["value"], {f"cum_{s}": s for s in sides}, bucket=bucket).drop("_size")
 
 

@@ -42,17 +42,19 @@ def shaped(df: DataFrame) -> DataFrame:
     """Comparable output: doubles to six places, times and dates as text, string arrays joined by |."""
     out = []
     for f in df.schema.fields:
-        c = F.col(f"`{f.name}`")
+        c = f"`{f.name}`"
         if isinstance(f.dataType, (T.DoubleType, T.FloatType)):
-            c = F.round(c.cast("double") * 1e6) / F.lit(1e6)
+            text = f"round(CAST({c} AS DOUBLE) * 1000000D) / 1000000D"
         elif isinstance(f.dataType, (T.TimestampType, T.TimestampNTZType)):
-            c = F.date_format(c, "yyyy-MM-dd HH:mm:ss")
+            text = f"date_format({c}, 'yyyy-MM-dd HH:mm:ss')"
         elif isinstance(f.dataType, T.DateType):
-            c = F.date_format(c, "yyyy-MM-dd")
+            text = f"date_format({c}, 'yyyy-MM-dd')"
         elif isinstance(f.dataType, T.ArrayType):
-            c = F.array_join(c, "|")
-        out.append(c.alias(f.name))
-    return df.select(*out)
+            text = f"array_join({c}, '|')"
+        else:
+            text = c
+        out.append(f"{text} AS {c}")
+    return df.selectExpr(*out)
 
 
 def R(expr: str) -> str:
@@ -115,26 +117,22 @@ def readings(spark: SparkSession, sf: str) -> DataFrame:
 
     One aggregate over events with map-side partials; a busy station costs one row per hour and task.
     """
-    ev = events(spark, sf)
-    aggs: list[Column] = []
+    aggs = []
     for name, kind in _AVERAGED.items():
-        hit = F.col("event_type") == kind
-        total = F.sum(F.when(hit, F.col("dv"))).cast("double")
-        aggs.append(F.try_divide(total, F.count_if(hit)).alias(name))
+        hit = f"FILTER (WHERE event_type = '{kind}')"
+        aggs.append(f"try_divide(CAST(sum(dv) {hit} AS DOUBLE), count(1) {hit}) AS {name}")
     for name, (fn, col, cond, factor, shift) in _PICKED.items():
-        agg = F.max if fn == "max" else F.min
-        picked = agg(F.when(F.expr(cond), F.col(col).cast("double")))
-        aggs.append((picked * F.lit(factor) + F.lit(shift)).alias(name))
-    aggs.append((F.max(F.when(F.col("k") >= 30, F.col("k"))) % 5 + 1).cast("int").alias("aqi_index"))
-    hourly = ev.groupBy("station", F.col("hr").alias("ts")).agg(*aggs)
-    return hourly.select(
+        aggs.append(f"{fn}(CAST({col} AS DOUBLE)) FILTER (WHERE {cond}) * {factor}D + {shift}D AS {name}")
+    aggs.append("CAST(max(k) FILTER (WHERE k >= 30) % 5 + 1 AS INT) AS aqi_index")
+    hourly = events(spark, sf).groupBy("station", F.col("hr").alias("ts")).agg(*[F.expr(a) for a in aggs])
+    return hourly.selectExpr(
         "station",
         "ts",
         *["aqi_index", *schemas.POLLUTANTS, *schemas.WEATHER],
-        F.year("ts").alias("year"),
-        F.month("ts").alias("month"),
-        F.dayofmonth("ts").alias("day"),
-        F.hour("ts").alias("hour"),
+        "year(ts) AS year",
+        "month(ts) AS month",
+        "day(ts) AS day",
+        "hour(ts) AS hour",
     )
 
 

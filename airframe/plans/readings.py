@@ -122,7 +122,7 @@ _HOLED = "nullif(value, round(value))"
 
 @query("aqi_category", f"SELECT event_id, {B.category_sql(_HOLED)} AS category FROM events")
 def aqi_category(spark: SparkSession, sf: str) -> DataFrame:
-    return B.table(spark, sf, "events").select("event_id", C.aqi_category(F.nullif("value", F.round("value"))).alias("category"))
+    return B.table(spark, sf, "events").select("event_id", C.aqi_category("nullif(value, round(value))").alias("category"))
 
 
 def _display_sql() -> str:
