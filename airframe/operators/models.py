@@ -79,8 +79,18 @@ def fit_one(train: DataFrame, features: Sequence[str], estimator, scaled: bool =
     return Pipeline(stages=stages).fit(train)
 
 
-def regression_metrics(df: DataFrame, pairs: dict[str, tuple[Column | str, Column | str]], keys: Sequence[str] = ()) -> DataFrame:
-    """RMSE, MAE and R² per target and their averages, in one aggregate. ``pairs``: target → (truth, prediction)."""
+def _mape(y: Column, p: Column) -> Column:
+    return F.avg(F.abs(F.try_divide(y - p, y))) * F.lit(100.0)
+
+
+def regression_metrics(
+    df: DataFrame,
+    pairs: dict[str, tuple[Column | str, Column | str]],
+    keys: Sequence[str] = (),
+    extra: dict[str, Column] | None = None,
+) -> DataFrame:
+    """RMSE, MAE and R² per target and their averages, in one aggregate. ``pairs``: target → (truth, prediction);
+    ``extra`` adds further aggregates to the same pass."""
     aggs = []
     for name, (y, p) in pairs.items():
         y = F.col(y) if isinstance(y, str) else y
@@ -92,7 +102,7 @@ def regression_metrics(df: DataFrame, pairs: dict[str, tuple[Column | str, Colum
             F.avg(F.abs(e)).alias(f"mae_{name}"),
             (F.lit(1.0) - F.try_divide(F.avg(e * e), F.var_pop(y))).alias(f"r2_{name}"),
         ]
-    out = df.groupBy(*keys).agg(*aggs)
+    out = df.groupBy(*keys).agg(*aggs, *[c.alias(n) for n, c in (extra or {}).items()])
     for metric in ("rmse", "mae", "r2"):
         total = sum((F.col(f"{metric}_{n}") for n in pairs), F.lit(0.0))
         out = out.withColumn(f"avg_{metric}", total / F.lit(float(len(pairs))))
@@ -103,7 +113,7 @@ def mape(df: DataFrame, truth: str, prediction: str, keys: Sequence[str] = ()) -
     """Mean absolute percentage error over rows with a non-zero truth; rows with truth 0 are counted apart."""
     y, p = F.col(truth).cast("double"), F.col(prediction).cast("double")
     return df.groupBy(*keys).agg(
-        (F.avg(F.abs(F.try_divide(y - p, y))) * F.lit(100.0)).alias("mape"),
+        _mape(y, p).alias("mape"),
         F.count_if(y == 0).alias("zero_truth"),
     )
 
@@ -243,8 +253,5 @@ def drop_weak_features(
 def backtest(df: DataFrame, keys: Sequence[str], order: Sequence[str], pairs: dict[str, tuple[str, str]], share: float = 0.8, seconds: int = 86_400) -> DataFrame:
     """Metrics of recorded predictions on the last part of each series, with MAPE per target."""
     tail = ordered.positional_split(df, keys, order, share, seconds=seconds).filter(F.col("side") == "current")
-    out = regression_metrics(tail, pairs)
-    for name, (y, p) in pairs.items():
-        m = mape(tail, y, p).select(F.col("mape").alias(f"mape_{name}"))
-        out = out.crossJoin(F.broadcast(m))  # one row on each side
-    return out
+    extra = {f"mape_{name}": _mape(F.col(y), F.col(p)) for name, (y, p) in pairs.items()}
+    return regression_metrics(tail, pairs, extra=extra)

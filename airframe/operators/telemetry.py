@@ -86,24 +86,40 @@ def query_status(input_passed: Column | str, documents: Column | str, generated:
     )
 
 
-def bucket_histogram(df: DataFrame, value: str, bounds: Sequence[float], labels: Sequence[str] = ()) -> DataFrame:
-    """Cumulative buckets: one row per label set and upper bound (the last is infinity).
+def bucket_histograms(df: DataFrame, metrics: dict[str, tuple[str, Sequence[float]]], labels: Sequence[str] = ()) -> DataFrame:
+    """Cumulative buckets of several values in one pass: (metric, labels…, le, cum, sum, count).
 
-    One conditional count per bound inside a single aggregate; rows are not multiplied.
+    ``metrics``: name → (numeric column, upper bounds); the last bucket is infinity. One conditional
+    count per bound inside a single aggregate, so rows are never multiplied. Written as SQL text, as
+    eight metrics are about a hundred expressions.
     """
-    v = F.col(value).cast("double")
-    seen = v.isNotNull()
-    names = [f"_b{i}" for i in range(len(bounds))]
-    agg = df.groupBy(*labels).agg(
-        *[F.count_if(seen & (v <= float(b))).alias(n) for n, b in zip(names, bounds)],
-        F.count(v).alias("_all"),
-        F.coalesce(F.sum(v), F.lit(0.0)).alias("sum"),
+    aggs, rows = [], []
+    for m, (value, bounds) in enumerate(metrics.values()):
+        v = f"CAST({value} AS DOUBLE)"
+        aggs += [f"count_if({v} <= {float(b)!r}D) AS _m{m}_{i}" for i, b in enumerate(bounds)]
+        aggs += [f"count({v}) AS _m{m}_n", f"coalesce(sum({v}), 0D) AS _m{m}_s"]
+    for m, (name, (_, bounds)) in enumerate(metrics.items()):
+        points = [(f"{float(b)!r}D", f"_m{m}_{i}") for i, b in enumerate(bounds)] + [("DOUBLE('Infinity')", f"_m{m}_n")]
+        rows += [f"named_struct('metric', '{name}', 'le', {le}, 'cum', {c}, 'sum', _m{m}_s, 'count', _m{m}_n)" for le, c in points]
+    counted = df.groupBy(*labels).agg(*[F.expr(a) for a in aggs])
+    shown = [f"`{c}`" for c in labels]
+    return counted.selectExpr(*shown, f"explode(array({', '.join(rows)})) AS _r").selectExpr(
+        "_r.metric", *shown, "_r.le", "_r.cum", "_r.sum", "_r.count"
+    )
+
+
+def bucket_histogram(df: DataFrame, value: str, bounds: Sequence[float], labels: Sequence[str] = ()) -> DataFrame:
+    """Cumulative buckets of one value: one row per label set and upper bound."""
+    return bucket_histograms(df, {"value": (value, bounds)}, labels).drop("metric")
+
+
+def without_labels(hist: DataFrame, metrics: Sequence[str]) -> DataFrame:
+    """The histograms of the named metrics summed over their labels."""
+    return (
+        hist.filter(F.col("metric").isin(list(metrics)))
+        .groupBy("metric", "le")
+        .agg(F.sum("cum").alias("cum"), F.sum("sum").alias("sum"), F.sum("count").alias("count"))
     )
-    rows = [F.struct(F.lit(float(b)).alias("le"), F.col(n).alias("cum")) for n, b in zip(names, bounds)]
-    rows.append(F.struct(F.lit(float("inf")).alias("le"), F.col("_all").alias("cum")))
-    return agg.select(
-        *labels, "sum", F.col("_all").alias("count"), F.explode(F.array(*rows)).alias("_r")
-    ).select(*labels, "_r.le", "_r.cum", "sum", "count")
 
 
 def histogram_quantile(buckets: DataFrame, quantiles: Sequence[float], labels: Sequence[str] = (), le: str = "le", cum: str = "cum") -> DataFrame:
@@ -149,9 +165,17 @@ def sum_by_label(samples: DataFrame, series: Sequence[str], by: Sequence[str] =
     return latest_samples(samples, series, ts, value).groupBy(*by).agg(F.sum(value).alias("total"))
 
 
-def cpu_percent(samples: DataFrame, series: Sequence[str], instance: str, ts: str = "ts", value: str = "value") -> DataFrame:
+def cpu_percent(
+    samples: DataFrame,
+    series: Sequence[str],
+    instance: str,
+    ts: str = "ts",
+    value: str = "value",
+    window_seconds: int = 300,
+    bucket_seconds: int = 3_600,
+) -> DataFrame:
     """100 minus the average instant idle rate in percent, at each series' latest sample."""
-    rates = ordered.counter_rate(samples, series, ts, value)
+    rates = ordered.counter_rate(samples, series, ts, value, window_seconds, bucket_seconds)
     last = rates.groupBy(*series).agg(F.max_by("irate", F.when(F.col("irate").isNotNull(), F.col(ts))).alias("irate"))
     return last.groupBy(instance).agg((F.lit(100.0) - F.avg("irate") * F.lit(100.0)).alias("cpu_percent"))
 

@@ -14,6 +14,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from airframe import schemas
+from airframe.operators.airquality import with_calculated_aqi
+from airframe.operators.ordered import impute_readings, running_totals
 from airframe.session import prepare
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -216,9 +218,6 @@ CLEAN_SQL = _clean_sql()
 
 def clean_readings(spark: SparkSession, sf: str) -> DataFrame:
     """Imputed readings with the calculated index."""
-    from airframe.operators.airquality import with_calculated_aqi
-    from airframe.operators.ordered import impute_readings
-
     return with_calculated_aqi(impute_readings(readings(spark, sf), ["station"], ["ts"]))
 
 
@@ -311,17 +310,9 @@ def counters(spark: SparkSession, sf: str) -> DataFrame:
 
     Days are the restarts, so the running sum is taken within (user, type, day).
     """
-    from pyspark.sql import Window
-
-    ev = events(spark, sf)
-    w = (
-        Window.partitionBy("user_id", "event_type", F.to_date("ts"))
-        .orderBy("ts", "event_id")
-        .rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    )
-    return ev.select(
-        "event_id", "user_id", "event_type", "ts", F.sum("dv").over(w).cast("double").alias("value")
-    )
+    ev = events(spark, sf).withColumn("day", F.to_date("ts"))
+    total = running_totals(ev, ["user_id", "event_type", "day"], ["ts", "event_id"], {"total": "dv"}, seconds=3_600)
+    return total.select("event_id", "user_id", "event_type", "ts", F.col("total").cast("double").alias("value"))
 
 
 COUNTERS_SQL = f"""{EVENTS_SQL},
