@@ -56,20 +56,32 @@ def train_linear(target: str):
     return LinearRegression(featuresCol=FEATURES, labelCol=target, regParam=0.0, solver="normal")
 
 
-def train_ridge(target: str, rows: int, alpha: float = 1.0):
-    """alpha penalises the sum of squared errors; here the loss is their half mean, hence alpha / rows."""
+def label_stats(train: DataFrame, targets: Sequence[str]) -> tuple[int, dict[str, float]]:
+    """Rows and population deviation per target, in one aggregate."""
+    row = train.agg(F.count(F.lit(1)).alias("_n"), *[F.stddev_pop(t).alias(t) for t in targets]).first()
+    return row["_n"], {t: row[t] or 1.0 for t in targets}
+
+
+def train_ridge(target: str, rows: int, label_std: float, alpha: float = 1.0):
+    """alpha penalises the sum of squared errors. MLlib's loss is their half mean and its normal solver
+    divides the penalty by the deviation of the label, hence alpha · deviation / rows."""
     return LinearRegression(
-        featuresCol=FEATURES, labelCol=target, regParam=alpha / max(rows, 1), elasticNetParam=0.0, standardization=False, solver="normal"
+        featuresCol=FEATURES,
+        labelCol=target,
+        regParam=alpha * label_std / max(rows, 1),
+        elasticNetParam=0.0,
+        standardization=False,
+        solver="normal",
     )
 
 
-def model_zoo(target: str, rows: int, trees: int = 300, rounds: int = 300) -> dict:
+def model_zoo(target: str, rows: int, label_std: float, trees: int = 300, rounds: int = 300) -> dict:
     """Estimators by name, in the order in which ties are decided."""
     return {
         "Random_Forest": train_forest(target, trees),
         "Gradient_Boosting": train_gbt(target, rounds),
         "Linear_Regression": train_linear(target),
-        "Ridge_Regression": train_ridge(target, rows),
+        "Ridge_Regression": train_ridge(target, rows, label_std),
     }
 
 
@@ -135,15 +147,16 @@ def train_and_rank(
     shared_folder(df.sparkSession)
     needed = df.select(*features, *targets, part).checkpoint()
     train, test = needed.filter(F.col(part) == "train"), needed.filter(F.col(part) == "test")
-    rows = train.count()
+    rows, spread = label_stats(train, targets)
+    zoos = {t: model_zoo(t, rows, spread[t], trees, rounds) for t in targets}
     fitted: dict[str, dict[str, PipelineModel]] = {}
     table = None
-    for ordinal, name in enumerate(model_zoo(targets[0], rows, trees, rounds)):
+    for ordinal, name in enumerate(zoos[targets[0]]):
         fitted[name] = {}
         scored = test
         pairs = {}
         for t in targets:
-            model = fit_one(train, features, model_zoo(t, rows, trees, rounds)[name])
+            model = fit_one(train, features, zoos[t][name])
             fitted[name][t] = model
             kept = scored.columns
             scored = model.transform(scored).select(*kept, F.col("prediction").alias(f"p_{t}"))
