@@ -162,14 +162,11 @@ def _neighbours(
         *[f"min(IF(`{c}` IS NULL, NULL, _pos)) {ahead} AS `_np_{c}`" for c in placed],
     )
 
-    # One row per bucket: its last and first valid value. These stand on the bucket's last and first
-    # row, so they are read off the windowed rows and need no shuffle of their own.
+    # One row per bucket: its last and its first row, on which the bucket's last and first valid values
+    # stand. Whole rows are kept, because both branches then need the same columns and Spark reuses the
+    # one exchange of the rows instead of computing the input twice.
     stamp = f"struct({_names(order)})"
-    last_row = _names([f"_prev_{c}" for c in columns] + [f"_pp_{c}" for c in placed])
-    first_row = _names([f"_next_{c}" for c in need_next] + [f"_np_{c}" for c in placed])
-    aggs = ["count(1) AS _n", f"max_by(struct({last_row}), {stamp}) AS _last"]
-    if need_next:
-        aggs.append(f"min_by(struct({first_row}), {stamp}) AS _first")
+    aggs = ["count(1) AS _n", f"max_by(struct(*), {stamp}) AS _last", f"min_by(struct(*), {stamp}) AS _first"]
     summary = rows.groupBy(*parts).agg(*[F.expr(a) for a in aggs])
     series = _names([p for p in parts if p != BUCKET]) or "0"
     earlier = "ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING"

@@ -59,15 +59,25 @@ def precaution_overlap(generated: Column | str, expected: Column | str, threshol
     return F.when(usable, hits / F.size(e)).otherwise(F.lit(0.0))
 
 
-def text_vectors(df: DataFrame, text: str, name: str = "vector", features: int = 1 << 12) -> DataFrame:
-    """Hashed term weights as a dense array, for tables that carry no embedding column."""
-    from pyspark.ml.feature import IDF, HashingTF
+def fit_text_vectors(texts: DataFrame, text: str, features: int = 256):
+    """Hashed term weights for tables that carry no embedding column: a fitted MLlib pipeline."""
+    from pyspark.ml import Pipeline
+    from pyspark.ml.feature import IDF, HashingTF, Normalizer
+
+    stages = [
+        HashingTF(inputCol="_tokens", outputCol="_tf", numFeatures=features),
+        IDF(inputCol="_tf", outputCol="_weights"),
+        Normalizer(inputCol="_weights", outputCol="_unit", p=2.0),
+    ]
+    return Pipeline(stages=stages).fit(texts.select(tokens(text).alias("_tokens")))
+
+
+def text_vectors(df: DataFrame, text: str, model, name: str = "vector") -> DataFrame:
+    """Add the dense unit vector of the text as an array column."""
     from pyspark.ml.functions import vector_to_array
 
-    toks = df.withColumn("_t", tokens(text))
-    counted = HashingTF(inputCol="_t", outputCol="_tf", numFeatures=features).transform(toks)
-    weighted = IDF(inputCol="_tf", outputCol="_w").fit(counted).transform(counted)
-    return weighted.withColumn(name, vector_to_array("_w")).drop("_t", "_tf", "_w")
+    toks = df.withColumn("_tokens", F.coalesce(tokens(text), F.array().cast("array<string>")))
+    return model.transform(toks).withColumn(name, vector_to_array("_unit")).drop("_tokens", "_tf", "_weights", "_unit")
 
 
 def strategy_cross(df: DataFrame, strategies: Sequence[str] = schemas.STRATEGIES) -> DataFrame:

@@ -16,7 +16,8 @@ from pyspark.sql import types as T
 from airframe import schemas
 from airframe.operators.airquality import with_calculated_aqi
 from airframe.operators.ordered import impute_readings, running_totals
-from airframe.session import prepare
+from airframe.session import new_path, prepare
+from airframe.sources.tables import write_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -221,6 +222,13 @@ def clean_readings(spark: SparkSession, sf: str) -> DataFrame:
     return with_calculated_aqi(impute_readings(readings(spark, sf), ["station"], ["ts"]))
 
 
+def stored_clean(spark: SparkSession, sf: str, *columns: str) -> DataFrame:
+    """Clean readings written to the shared folder once, for jobs that read them several times."""
+    path = new_path(spark, "clean")
+    write_table(clean_readings(spark, sf).select("station", "ts", *columns), path)
+    return spark.read.parquet(path)
+
+
 # ---------------------------------------------------------------- requests and samples
 
 MODELS = [m for m, _, _ in schemas.PRICES[:-1]] + ["unlisted-model"]

@@ -8,8 +8,8 @@ from pyspark.sql import functions as F
 from airframe import schemas
 from airframe.operators import forecast, models, ordered
 from airframe.plans import base as B
+from airframe.plans import runs
 from airframe.plans.base import CLEAN_SQL, R, query
-from airframe.session import shared_folder
 
 _FEATURES = ["l_quantity", "l_discount", "l_tax", "p_size", "p_retailprice"]
 _KEYS = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"]
@@ -116,47 +116,50 @@ def drop_weak_features(spark: SparkSession, sf: str) -> DataFrame:
     return compared.withColumn("kept", F.lit(",".join(kept)))
 
 
-_HOURLY = ["temperature_2m", "surface_pressure", "pm10", "no2"]
+HOURLY = ["temperature_2m", "surface_pressure", "pm10", "no2"]
 _SCORE = "temperature_2m * CAST(2 AS DOUBLE) + pm10 * CAST(0.5 AS DOUBLE)"
 
 
+def closed_scorers() -> dict:
+    """A closed-form scorer per target, which SQL can repeat."""
+    return {
+        "aqi_index": F.col("temperature_2m") * 2.0 + F.col("pm10") * 0.5,
+        "Calculated_AQI": F.col("no2") + F.col("surface_pressure") * 0.01,
+    }
+
+
+def _walked(c: str) -> str:
+    noise = B.noise_sql("42", "station", f"'{c}'", "step")
+    logs = f"CASE WHEN step > 0 THEN ln(1 + {noise} * CAST(0.06 AS DOUBLE) - CAST(0.03 AS DOUBLE)) ELSE 0 END"
+    return f"first_value({c}) OVER w * exp(sum({logs}) OVER w) AS {c}"
+
+
+FORECAST_SQL = f"""WITH {CLEAN_SQL}, o AS (SELECT station, max(ts) AS t FROM clean GROUP BY station),
+    fut AS (SELECT station, CAST(g.step AS BIGINT) AS step, t + INTERVAL 1 HOUR + to_hours(CAST(g.step AS INTEGER)) AS ts FROM o CROSS JOIN (SELECT unnest(generate_series(0, 71)) AS step) g),
+    overall AS (SELECT station, {", ".join(f"avg({f}) AS {f}" for f in HOURLY)} FROM clean GROUP BY station),
+    byhour AS (SELECT station, hour, {", ".join(f"avg({f}) AS {f}" for f in HOURLY)} FROM clean GROUP BY station, hour),
+    x AS (SELECT f.station, f.step, f.ts, {", ".join(f"CASE WHEN b.hour IS NULL THEN g.{f} ELSE b.{f} END AS {f}" for f in HOURLY)} FROM fut f JOIN overall g ON g.station = f.station LEFT JOIN byhour b ON b.station = f.station AND b.hour = hour(f.ts)),
+    w AS (SELECT station, step, ts, pm10, no2, {_walked("temperature_2m")}, {_walked("surface_pressure")} FROM x WINDOW w AS (PARTITION BY station ORDER BY step ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)),
+    s AS (SELECT station, step, ts, round_even(({_SCORE}) * CAST(100 AS DOUBLE), 0) / CAST(100 AS DOUBLE) AS a, round_even((no2 + surface_pressure * CAST(0.01 AS DOUBLE)) * CAST(100 AS DOUBLE), 0) / CAST(100 AS DOUBLE) AS b FROM w)"""
+
+
 @query(
     "score_forecast",
-    f"""WITH {CLEAN_SQL}, o AS (SELECT station, max(ts) AS t FROM clean GROUP BY station),
-    fut AS (SELECT station, CAST(g.step AS BIGINT) AS step, t + INTERVAL 1 HOUR + to_hours(CAST(g.step AS INTEGER)) AS ts FROM o CROSS JOIN (SELECT unnest(generate_series(0, 71)) AS step) g),
-    overall AS (SELECT station, {", ".join(f"avg({f}) AS {f}" for f in _HOURLY)} FROM clean GROUP BY station),
-    byhour AS (SELECT station, hour, {", ".join(f"avg({f}) AS {f}" for f in _HOURLY)} FROM clean GROUP BY station, hour),
-    x AS (SELECT f.station, f.step, f.ts, {", ".join(f"CASE WHEN b.hour IS NULL THEN g.{f} ELSE b.{f} END AS {f}" for f in _HOURLY)} FROM fut f JOIN overall g ON g.station = f.station LEFT JOIN byhour b ON b.station = f.station AND b.hour = hour(f.ts)),
-    w AS (SELECT station, step, ts, pm10, no2, {", ".join(
-        f"first_value({c}) OVER w * exp(sum(CASE WHEN step > 0 THEN ln(1 + {B.noise_sql('42', 'station', chr(39) + c + chr(39), 'step')} * CAST(0.06 AS DOUBLE) - CAST(0.03 AS DOUBLE)) ELSE 0 END) OVER w) AS {c}"
-        for c in ("temperature_2m", "surface_pressure"))} FROM x WINDOW w AS (PARTITION BY station ORDER BY step ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)),
-    s AS (SELECT station, step, ts, round_even(({_SCORE}) * CAST(100 AS DOUBLE), 0) / CAST(100 AS DOUBLE) AS a, round_even((no2 + surface_pressure * CAST(0.01 AS DOUBLE)) * CAST(100 AS DOUBLE), 0) / CAST(100 AS DOUBLE) AS b FROM w)
-    SELECT station, CAST(step AS INTEGER) AS step, strftime(ts, '%Y-%m-%d %H:%M') AS datetime, strftime(ts, '%Y-%m-%d') AS date, CAST(hour(ts) AS INTEGER) AS hour, {R('a')} AS predicted_aqi_index, {R('b')} AS predicted_calculated_aqi, {B.category_sql('a')} AS aqi_category FROM s""",
+    f"""{FORECAST_SQL} SELECT station, CAST(step AS INTEGER) AS step, strftime(ts, '%Y-%m-%d %H:%M') AS datetime, strftime(ts, '%Y-%m-%d') AS date, CAST(hour(ts) AS INTEGER) AS hour,
+    {R('a')} AS predicted_aqi_index, {R('b')} AS predicted_calculated_aqi, {B.category_sql('a')} AS aqi_category FROM s""",
 )
 def score_forecast(spark: SparkSession, sf: str) -> DataFrame:
     """72 hours per station with a closed-form scorer per target."""
-    r = B.clean_readings(spark, sf)
-    origins = r.groupBy("station").agg(F.max("ts").alias("origin"))
-    future = forecast.future_features(r, ["station"], origins, 72, _HOURLY)
-    scorers = {
-        "aqi_index": F.col("temperature_2m") * 2.0 + F.col("pm10") * 0.5,
-        "Calculated_AQI": F.col("no2") + F.col("surface_pressure") * 0.01,
-    }
-    return forecast.score_forecast(future, scorers, ["station"])
+    r = B.stored_clean(spark, sf, "hour", *HOURLY)
+    return runs.predict(r, HOURLY, closed_scorers())
 
 
 @query("forecast_by_model")
 def forecast_by_model(spark: SparkSession, sf: str) -> DataFrame:
-    """The same with fitted pipelines, as served: one per target.
-
-    The clean readings are materialised once; every fitting pass and the hour pattern read that.
-    """
-    shared_folder(spark)
-    r = B.clean_readings(spark, sf).select("station", "ts", "hour", *_HOURLY, *schemas.TARGETS).checkpoint()
+    """The same with fitted pipelines, as served: one per target."""
+    r = B.stored_clean(spark, sf, "hour", *HOURLY, *schemas.TARGETS)
     history = forecast.drop_null_targets(r)
-    fitted = {t: models.fit_one(history, _HOURLY, models.train_linear(t), scaled=True) for t in schemas.TARGETS}
-    origins = r.groupBy("station").agg(F.max("ts").alias("origin"))
-    future = forecast.future_features(r, ["station"], origins, 24, _HOURLY)
-    return forecast.score_forecast(future, {t: m.transform for t, m in fitted.items()}, ["station"])
+    fitted = {t: models.fit_one(history, HOURLY, models.train_linear(t), scaled=True) for t in schemas.TARGETS}
+    return runs.predict(r, HOURLY, {t: m.transform for t, m in fitted.items()}, 24)
 
 
