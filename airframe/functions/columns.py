@@ -127,9 +127,17 @@ def render_prompt(template: Column | str, aqi_value: Column | str, aqi_category_
     return F.replace(F.replace(t, F.lit(open_mark), F.lit("{")), F.lit(close_mark), F.lit("}"))
 
 
+# The characters that count as white space (``trim`` alone only knows the space).
+WHITE_SPACE = (
+    "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680"
+    "\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a"
+    "\u2028\u2029\u202f\u205f\u3000"
+)
+
+
 def strip(text: Column | str) -> Column:
-    """Remove all Unicode white space at both ends (``trim`` only knows the space character)."""
-    return F.regexp_replace(as_col(text), r"(?U)^[\s\x1c-\x1f]+|[\s\x1c-\x1f]+\z", "")
+    """Remove all white space at both ends."""
+    return F.btrim(as_col(text), F.lit(WHITE_SPACE))
 
 
 def fenced_text(response: Column | str) -> Column:

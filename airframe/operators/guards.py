@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from airframe.functions.columns import as_col, labels_where
+from airframe.functions.columns import as_col, labels_where, strip
 
 #: Case-insensitive with Unicode letters, digits and word borders; "." stops at newline only.
 FLAGS = "(?iUd)"
@@ -200,7 +200,7 @@ def fabricated_sources(claimed: Column | str, actual: Column | str) -> Column:
     known = F.transform(F.array_distinct(F.concat(present, bare)), lambda s: F.lower(s))
 
     def unknown(source: Column) -> Column:
-        clean = F.lower(F.regexp_replace(source, r"(?U)^\s+|\s+\z", ""))
+        clean = F.lower(strip(source))
         return ~F.exists(known, lambda a: F.contains(a, clean) | F.contains(clean, a))
 
     return F.filter(F.coalesce(as_col(claimed), _strings()), unknown)

@@ -16,7 +16,7 @@ from pyspark.sql import types as T
 from airframe import schemas
 from airframe.operators.airquality import with_calculated_aqi
 from airframe.operators.ordered import impute_readings, running_totals
-from airframe.session import new_path, prepare
+from airframe.session import new_path, prepare, spread
 from airframe.sources.tables import write_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -41,6 +41,11 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
+def texts(spark: SparkSession, sf: str, name: str) -> DataFrame:
+    """A table whose texts are worked on row by row."""
+    return spread(table(spark, sf, name))
+
+
 def shaped(df: DataFrame) -> DataFrame:
     """Comparable output: doubles to six places, times and dates as text, string arrays joined by |."""
     out = []
@@ -364,7 +369,7 @@ CLAIMS = [
 
 def questions(spark: SparkSession, sf: str) -> DataFrame:
     """User turns, each followed by a phrase on a line of its own; every third is the phrase alone."""
-    c = table(spark, sf, "conversations").filter(F.col("role") == "user")
+    c = texts(spark, sf, "conversations").filter(F.col("role") == "user")
     phrase = _choice(F.pmod(F.col("conv_id") * 7 + F.col("turn"), F.lit(len(PHRASES))), PHRASES)
     return c.select(
         "conv_id",

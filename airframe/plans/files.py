@@ -136,7 +136,7 @@ def sink_model(spark: SparkSession, sf: str) -> DataFrame:
 def sink_chunks(spark: SparkSession, sf: str) -> DataFrame:
     """Replace the collection, extend it, and count it per language."""
     path = new_path(spark, "chunks")
-    d = B.table(spark, sf, "documents").select("doc_id", "source", "lang", "text")
+    d = B.texts(spark, sf, "documents").select("doc_id", "source", "lang", "text")
     io.write_chunks(chunking.chunk_table(d.filter(F.col("lang") == "en")), path)
     io.write_chunks(chunking.chunk_table(d.filter(F.col("lang") != "en")), path, clear=False)
     per_source = spark.read.parquet(path).groupBy("lang", "source").agg(F.count(F.lit(1)).alias("n"))

@@ -31,7 +31,7 @@ chunks AS (SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY i) - 1
 
 
 def _chunks(spark: SparkSession, sf: str) -> DataFrame:
-    return chunking.chunk_table(B.table(spark, sf, "documents").select("doc_id", "source", "text"))
+    return chunking.chunk_table(B.texts(spark, sf, "documents").select("doc_id", "source", "text"))
 
 
 @query("chunk_text", f"WITH RECURSIVE {CHUNKS_SQL} SELECT doc_id, CAST(chunk_index AS INTEGER) AS chunk_index, chunk FROM chunks")
@@ -102,12 +102,12 @@ def _redacted(text: str) -> str:
 @query("pii_detect", f"SELECT doc_id, {_joined('text', _PII_V)} AS violations, {_joined('text', _PII_D)} AS details FROM documents")
 def pii_detect(spark: SparkSession, sf: str) -> DataFrame:
     found = guards.pii_detect("text")
-    return B.table(spark, sf, "documents").select("doc_id", *[c.alias(n) for n, c in found.items()])
+    return B.texts(spark, sf, "documents").select("doc_id", *[c.alias(n) for n, c in found.items()])
 
 
 @query("pii_redact", f"SELECT doc_id, md5({_redacted('text')}) AS redacted, {_redacted('text')} <> text AS changed FROM documents")
 def pii_redact(spark: SparkSession, sf: str) -> DataFrame:
-    red = B.table(spark, sf, "documents").select("doc_id", "text", guards.pii_redact("text").alias("r"))
+    red = B.texts(spark, sf, "documents").select("doc_id", "text", guards.pii_redact("text").alias("r"))
     return red.select("doc_id", F.md5("r").alias("redacted"), (F.col("r") != F.col("text")).alias("changed"))
 
 
@@ -169,7 +169,7 @@ def toxicity_detect(spark: SparkSession, sf: str) -> DataFrame:
 )
 def toxicity_confusion(spark: SparkSession, sf: str) -> DataFrame:
     """Flags against the labels."""
-    d = B.table(spark, sf, "documents").select("doc_id", (F.size(guards.toxicity_detect("text")["violations"]) > 0).alias("flagged"))
+    d = B.texts(spark, sf, "documents").select("doc_id", (F.size(guards.toxicity_detect("text")["violations"]) > 0).alias("flagged"))
     return B.table(spark, sf, "labels").join(d, "doc_id").groupBy("toxic", "flagged").agg(F.count(F.lit(1)).alias("n"))
 
 
