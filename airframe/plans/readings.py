@@ -370,6 +370,13 @@ def hour_pattern_join(spark: SparkSession, sf: str) -> DataFrame:
 
 _DAILY_VALUES = ["pm2_5", "pm10"]
 
+#: Values in quarters add up exactly in any order, so that a mean on a rounding tie is the same everywhere.
+_QUARTERS = ", ".join(f"floor({v} * 4) / CAST(4 AS DOUBLE) AS {v}" for v in _DAILY_VALUES)
+
+
+def _quarters(df: DataFrame) -> DataFrame:
+    return df.withColumns({v: F.floor(F.col(v) * 4) / 4.0 for v in _DAILY_VALUES})
+
 
 def _round2_sql(x: str) -> str:
     return f"(round_even({x} * CAST(100 AS DOUBLE), 0) / CAST(100 AS DOUBLE))"
@@ -378,10 +385,10 @@ def _round2_sql(x: str) -> str:
 @query(
     "daily_minmaxmean",
     f"""WITH {CLEAN_SQL} SELECT station, {D('ts')} AS date, {", ".join(f"{R(_round2_sql(f'{n[0]}({v})'))} AS {n[1]}_{v}" for v in _DAILY_VALUES for n in (("min", "min"), ("max", "max"), ("avg", "mean")))}
-    FROM clean GROUP BY station, {D('ts')}""",
+    FROM (SELECT station, ts, {_QUARTERS} FROM clean) GROUP BY station, {D('ts')}""",
 )
 def daily_minmaxmean(spark: SparkSession, sf: str) -> DataFrame:
-    r = B.clean_readings(spark, sf).withColumn("date", F.to_date("ts"))
+    r = _quarters(B.clean_readings(spark, sf)).withColumn("date", F.to_date("ts"))
     return forecast.daily_minmaxmean(r, KEY, "date", _DAILY_VALUES)
 
 
@@ -410,7 +417,7 @@ def _summary_sql(src: str, key: str) -> str:
 
 @query(
     "daily_summary",
-    f"""WITH src AS (SELECT o_custkey, o_orderdate AS ts, o_totalprice / CAST(1000 AS DOUBLE) AS a, o_totalprice / CAST(997 AS DOUBLE) AS b FROM orders),
+    f"""WITH src AS (SELECT o_custkey, o_orderdate AS ts, floor(o_totalprice / 250) / CAST(4 AS DOUBLE) AS a, floor(o_totalprice / 500) / CAST(2 AS DOUBLE) AS b FROM orders),
     {_summary_sql('src', 'o_custkey')}
     SELECT s.o_custkey, {D('s.date')} AS date, {R('min_a')} AS min_aqi_index, {R('max_a')} AS max_aqi_index, {R('mean_a')} AS mean_aqi_index,
       {R('min_b')} AS min_calculated_aqi, {R('max_b')} AS max_calculated_aqi, {R('mean_b')} AS mean_calculated_aqi, {B.category_sql('mean_a')} AS aqi_category
@@ -419,7 +426,7 @@ def _summary_sql(src: str, key: str) -> str:
 def daily_summary(spark: SparkSession, sf: str) -> DataFrame:
     """Sparse series: most dates of the spine have no rows and stay empty."""
     o = B.table(spark, sf, "orders").select(
-        "o_custkey", F.col("o_orderdate").alias("ts"), (F.col("o_totalprice") / 1000.0).alias("a"), (F.col("o_totalprice") / 997.0).alias("b")
+        "o_custkey", F.col("o_orderdate").alias("ts"), (F.floor(F.col("o_totalprice") / 250) / 4.0).alias("a"), (F.floor(F.col("o_totalprice") / 500) / 2.0).alias("b")
     )
     return forecast.daily_summary(o, ["o_custkey"], "ts", "a", "b", 7)
 
@@ -438,11 +445,10 @@ def date_spine_join(spark: SparkSession, sf: str) -> DataFrame:
 @query(
     "forecast_stats",
     f"""WITH {CLEAN_SQL} SELECT station, {", ".join(f"{R(_round2_sql(f'{fn}({v})'))} AS {n}_{v}" for v in _DAILY_VALUES for n, fn in (("mean", "avg"), ("min", "min"), ("max", "max"), ("std", "stddev_pop")))}
-    FROM (SELECT station, {", ".join(f"{_round2_sql(v)} AS {v}" for v in _DAILY_VALUES)} FROM clean) GROUP BY station""",
+    FROM (SELECT station, {_QUARTERS} FROM clean) GROUP BY station""",
 )
 def forecast_stats(spark: SparkSession, sf: str) -> DataFrame:
-    r = airquality.rounded(B.clean_readings(spark, sf), _DAILY_VALUES)
-    return forecast.forecast_stats(r, KEY, _DAILY_VALUES)
+    return forecast.forecast_stats(_quarters(B.clean_readings(spark, sf)), KEY, _DAILY_VALUES)
 
 
 @query(

@@ -121,11 +121,12 @@ _SCORE = "temperature_2m * CAST(2 AS DOUBLE) + pm10 * CAST(0.5 AS DOUBLE)"
 
 
 def closed_scorers() -> dict:
-    """A closed-form scorer per target, which SQL can repeat."""
-    return {
+    """A closed-form scorer per target, which SQL can repeat; in quarters, which add up exactly."""
+    scores = {
         "aqi_index": F.col("temperature_2m") * 2.0 + F.col("pm10") * 0.5,
         "Calculated_AQI": F.col("no2") + F.col("surface_pressure") * 0.01,
     }
+    return {t: F.floor(s * 4.0) / 4.0 for t, s in scores.items()}
 
 
 def _walked(c: str) -> str:
@@ -140,7 +141,7 @@ FORECAST_SQL = f"""WITH {CLEAN_SQL}, o AS (SELECT station, max(ts) AS t FROM cle
     byhour AS (SELECT station, hour, {", ".join(f"avg({f}) AS {f}" for f in HOURLY)} FROM clean GROUP BY station, hour),
     x AS (SELECT f.station, f.step, f.ts, {", ".join(f"CASE WHEN b.hour IS NULL THEN g.{f} ELSE b.{f} END AS {f}" for f in HOURLY)} FROM fut f JOIN overall g ON g.station = f.station LEFT JOIN byhour b ON b.station = f.station AND b.hour = hour(f.ts)),
     w AS (SELECT station, step, ts, pm10, no2, {_walked("temperature_2m")}, {_walked("surface_pressure")} FROM x WINDOW w AS (PARTITION BY station ORDER BY step ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)),
-    s AS (SELECT station, step, ts, round_even(({_SCORE}) * CAST(100 AS DOUBLE), 0) / CAST(100 AS DOUBLE) AS a, round_even((no2 + surface_pressure * CAST(0.01 AS DOUBLE)) * CAST(100 AS DOUBLE), 0) / CAST(100 AS DOUBLE) AS b FROM w)"""
+    s AS (SELECT station, step, ts, floor(({_SCORE}) * 4) / CAST(4 AS DOUBLE) AS a, floor((no2 + surface_pressure * CAST(0.01 AS DOUBLE)) * 4) / CAST(4 AS DOUBLE) AS b FROM w)"""
 
 
 @query(

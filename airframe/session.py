@@ -43,13 +43,14 @@ def prepare(spark: SparkSession) -> SparkSession:
 def shared_folder(spark: SparkSession) -> str:
     """Folder visible to every executor: ``spark.checkpoint.dir`` when the cluster names one.
 
-    Only when the setting is absent (tests, a laptop) is a local folder chosen and recorded, so that
-    a cluster never writes intermediate tables to a machine-local path.
+    Only when nothing is named (tests, a laptop) is a local folder chosen and recorded, so that a
+    cluster never writes intermediate tables to a machine-local path.
     """
-    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not named:
-        named = tempfile.mkdtemp(prefix="airframe-")
-        spark.sparkContext.setCheckpointDir(named)
+    context = spark.sparkContext
+    named = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
+    named = named or tempfile.mkdtemp(prefix="airframe-")
+    if context.getCheckpointDir() is None:
+        context.setCheckpointDir(named)
     return named
 
 

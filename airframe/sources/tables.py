@@ -48,10 +48,9 @@ def read_observations(spark: SparkSession, path: str, array_file: bool = True, s
 def read_documents(spark: SparkSession, path: str) -> DataFrame:
     """(source, text) of every .txt or .md file, one row per file; empty files are skipped."""
     raw = (
-        spark.read.option("wholetext", True)
-        .option("pathGlobFilter", "*.{txt,md,TXT,MD,Txt,Md,tXt,txT,TXt,tXT,TxT,mD}")
+        spark.read.option("pathGlobFilter", "*.{[tT][xX][tT],[mM][dD]}")
         .option("recursiveFileLookup", False)
-        .text(path)
+        .text(path, wholetext=True)
     )
     return document_rows(raw.select(F.col("_metadata.file_name").alias("source"), F.col("value").alias("text")))
 
@@ -70,7 +69,7 @@ def read_eval_examples(spark: SparkSession, path: str) -> DataFrame:
 
 def read_templates(spark: SparkSession, path: str) -> DataFrame:
     """(name, content) of every prompt template file."""
-    raw = spark.read.option("wholetext", True).option("pathGlobFilter", "*.txt").text(path)
+    raw = spark.read.option("pathGlobFilter", "*.txt").text(path, wholetext=True)
     return raw.select(F.regexp_replace("_metadata.file_name", r"\.txt$", "").alias("name"), F.col("value").alias("content"))
 
 
