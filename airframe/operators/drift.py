@@ -4,11 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from airframe.operators import quantiles
-from airframe.operators.ordered import BUCKET, across, join_carry
 
 SIDE = "side"
 
@@ -17,17 +16,19 @@ def _side_flags(side: str) -> dict[str, Column]:
     return {"n_ref": F.col(side) == "reference", "n_cur": F.col(side) == "current"}
 
 
-def _ecdf(df: DataFrame, columns: Sequence[str], side: str, borders: dict[str, list[float]]) -> DataFrame:
-    """(column, value, f_ref, f_cur) over the distinct values of both sides."""
-    cum = quantiles.cumulative_counts(quantiles.unpivot_numeric(df, columns, [side]), borders, _side_flags(side))
-    totals = cum.groupBy("column").agg(F.max("cum_n_ref").alias("t_ref"), F.max("cum_n_cur").alias("t_cur"))
-    return cum.join(F.broadcast(totals), "column").select(  # one row per column name
+def _ecdf(df: DataFrame, columns: Sequence[str], side: str) -> DataFrame:
+    """(column, value, _next, f_ref, f_cur, t_ref, t_cur) over the distinct values of both sides."""
+    borders = quantiles.splitters(df, columns)
+    cells = quantiles.unpivot_numeric(df, columns, [side])
+    cum = quantiles.cumulative_counts(cells, borders, _side_flags(side), following=True)
+    return cum.select(
         "column",
         "value",
-        F.try_divide(F.col("cum_n_ref").cast("double"), F.col("t_ref")).alias("f_ref"),
-        F.try_divide(F.col("cum_n_cur").cast("double"), F.col("t_cur")).alias("f_cur"),
-        "t_ref",
-        "t_cur",
+        "_next",
+        F.try_divide(F.col("cum_n_ref").cast("double"), F.col("_all_cum_n_ref")).alias("f_ref"),
+        F.try_divide(F.col("cum_n_cur").cast("double"), F.col("_all_cum_n_cur")).alias("f_cur"),
+        F.col("_all_cum_n_ref").alias("t_ref"),
+        F.col("_all_cum_n_cur").alias("t_cur"),
     )
 
 
@@ -44,7 +45,7 @@ def ks_p_value(d: Column, n: Column, m: Column, terms: int = 20) -> Column:
 def ks_statistic(df: DataFrame, columns: Sequence[str], side: str = SIDE) -> DataFrame:
     """Largest gap between the two empirical distributions per column, with its p-value."""
     return (
-        _ecdf(df, columns, side, quantiles.splitters(df, columns))
+        _ecdf(df, columns, side)
         .groupBy("column")
         .agg(
             F.max(F.abs(F.col("f_ref") - F.col("f_cur"))).alias("statistic"),
@@ -56,21 +57,9 @@ def ks_statistic(df: DataFrame, columns: Sequence[str], side: str = SIDE) -> Dat
 
 
 def wasserstein(df: DataFrame, columns: Sequence[str], side: str = SIDE) -> DataFrame:
-    """Earth-mover distance, and the same divided by the deviation of the reference part.
-
-    The next larger value of a row lies in the same range, or is the first value of a later one;
-    the latter comes from a one-row-per-range summary.
-    """
-    borders = quantiles.splitters(df, columns)
-    ecdf = _ecdf(df, columns, side, borders).withColumn(BUCKET, quantiles.range_of(borders, quantiles.parts_for(df)))
-    here = ecdf.withColumn("_next", F.lead("value").over(Window.partitionBy("column", BUCKET).orderBy("value")))
-    starts = ecdf.groupBy("column", BUCKET).agg(F.min("value").alias("_start"))
-    _, later, _ = across(["column", BUCKET])
-    carry = starts.select("column", BUCKET, F.min("_start").over(later).alias("_later"))
-    gaps = join_carry(here, carry, ["column", BUCKET]).withColumn("_next", F.coalesce("_next", "_later"))
-    distance = gaps.groupBy("column").agg(
-        F.sum(F.abs(F.col("f_ref") - F.col("f_cur")) * (F.col("_next") - F.col("value"))).alias("distance")
-    )
+    """Earth-mover distance, and the same divided by the deviation of the reference part."""
+    gap = F.abs(F.col("f_ref") - F.col("f_cur")) * (F.col("_next") - F.col("value"))
+    distance = _ecdf(df, columns, side).groupBy("column").agg(F.sum(gap).alias("distance"))
     spread = df.filter(F.col(side) == "reference").agg(*[F.stddev_pop(F.col(c).cast("double")).alias(c) for c in columns])
     spread = spread.select(
         F.explode(F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).alias("spread")) for c in columns])).alias("_s")

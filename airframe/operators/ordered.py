@@ -85,27 +85,33 @@ def running_totals(
     bucket: Column | None = None,
     seconds: int = 86_400,
     whole: dict[str, Column] | None = None,
+    following: bool = False,
 ) -> DataFrame:
     """Inclusive running sum of each expression, named by the dictionary key.
 
-    ``whole`` adds the maximum of an expression over the entire series, taken from the bucket summary.
-    The name ``_size`` is always available there: the number of rows of the series.
+    The bucket summary also yields, without another pass: ``_size`` (rows of the series), ``_all_*``
+    (the sum over the whole series), the maximum over the series of every expression in ``whole``, and
+    with ``following`` the next row's leading order column as ``_next``.
     """
     whole = whole or {}
     src, parts = _keyed(df, keys, order, bucket, seconds)
     back, _ = within(parts, order)
-    rows = src.select("*", *[F.sum(as_col(c)).over(back).alias(f"_in_{n}") for n, c in totals.items()])
+    ahead = [F.lead(order[0]).over(Window.partitionBy(*parts).orderBy(*order)).alias("_lead")] if following else []
+    rows = src.select("*", *[F.sum(as_col(c)).over(back).alias(f"_in_{n}") for n, c in totals.items()], *ahead)
     per_bucket = src.groupBy(*parts).agg(
         F.count(F.lit(1)).alias("_rows"),
         *[F.sum(as_col(c)).alias(f"_sum_{n}") for n, c in totals.items()],
         *[F.max(c).alias(f"_max_{n}") for n, c in whole.items()],
+        *([F.min(order[0]).alias("_min")] if following else []),
     )
-    before, _, everywhere = across(parts)
+    before, after, everywhere = across(parts)
     carry = per_bucket.select(
         *parts,
         F.sum("_rows").over(everywhere).alias("_size"),
         *[F.sum(f"_sum_{n}").over(before).alias(f"_off_{n}") for n in totals],
+        *[F.sum(f"_sum_{n}").over(everywhere).alias(f"_all_{n}") for n in totals],
         *[F.max(f"_max_{n}").over(everywhere).alias(n) for n in whole],
+        *([F.min("_min").over(after).alias("_later")] if following else []),
     )
     out = join_carry(rows, carry, parts)
 
@@ -115,7 +121,14 @@ def running_totals(
             here.isNotNull() | off.isNotNull(), F.coalesce(here, F.lit(0)) + F.coalesce(off, F.lit(0))
         ).alias(n)
 
-    return out.select(*[F.col(c) for c in df.columns], *[total(n) for n in totals], "_size", *whole)
+    return out.select(
+        *[F.col(c) for c in df.columns],
+        *[total(n) for n in totals],
+        "_size",
+        *[f"_all_{n}" for n in totals],
+        *whole,
+        *([F.coalesce("_lead", "_later").alias("_next")] if following else []),
+    )
 
 
 def positions(
@@ -129,8 +142,8 @@ def positions(
 ) -> DataFrame:
     """0-based row number per series (and its row count), without sorting a series in one task."""
     out = running_totals(df, keys, order, {name: F.lit(1).cast("long")}, bucket, seconds)
-    out = out.withColumn(name, F.col(name) - F.lit(1))
-    return out.withColumnRenamed("_size", size) if size else out.drop("_size")
+    extra = [F.col("_size").alias(size)] if size else []
+    return out.select(*[F.col(c) for c in df.columns], (F.col(name) - F.lit(1)).alias(name), *extra)
 
 
 def _neighbours(

@@ -67,39 +67,45 @@ def parts_for(df: DataFrame) -> int:
 
 
 def cumulative_counts(
-    cells: DataFrame, borders: dict[str, list[float]], sides: dict[str, Column] | None = None, keep: Sequence[str] = ()
+    cells: DataFrame,
+    borders: dict[str, list[float]],
+    sides: dict[str, Column] | None = None,
+    keep: Sequence[str] = (),
+    following: bool = False,
 ) -> DataFrame:
-    """Per distinct (column, value): own and inclusive cumulative count for every side."""
+    """Per distinct (column, value) and side: own count, inclusive cumulative count ``cum_*`` and the
+    column's total ``_all_cum_*``; with ``following`` also the next larger value as ``_next``."""
     sides = sides or {"n": F.lit(True)}
     counted = cells.groupBy(*keep, "column", "value").agg(
         *[F.count_if(flag).alias(name) for name, flag in sides.items()]
     )
     bucket = range_of(borders, parts_for(cells))
-    return running_totals(counted, [*keep, "column"], ["value"], {f"cum_{s}": s for s in sides}, bucket=bucket).drop("_size")
+    sums = {f"cum_{s}": s for s in sides}
+    return running_totals(counted, [*keep, "column"], ["value"], sums, bucket=bucket, following=following)
 
 
 def exact_quantiles(
     df: DataFrame, columns: Sequence[str], probabilities: Sequence[float], borders: dict[str, list[float]] | None = None
 ) -> DataFrame:
-    """(column, q, value): exact quantiles with linear interpolation between neighbouring ranks."""
+    """(column, q, value): exact quantiles with linear interpolation between neighbouring ranks.
+
+    Each distinct value knows which ranks it covers, so the wanted ones are picked row by row; only
+    two rows per column and probability are left to combine.
+    """
     borders = borders or splitters(df, columns)
     cum = cumulative_counts(unpivot_numeric(df, columns), borders)
-    totals = cum.groupBy("column").agg(F.max("cum_n").alias("total"))
-    wanted = totals.select(
+    wanted = F.explode(F.array(*[F.lit(float(p)) for p in probabilities]))
+    ranked = cum.select(
+        "column", "value", (F.col("cum_n") - F.col("n")).alias("lo"), F.col("cum_n").alias("hi"), F.col("_all_cum_n").alias("all"), wanted.alias("q")
+    ).withColumn("rank", F.col("q") * (F.col("all") - 1))
+    covers = lambda r: (r >= F.col("lo")) & (r < F.col("hi"))
+    below, above = F.floor("rank"), F.ceil("rank")
+    ends = ranked.filter(covers(below) | covers(above)).select(
         "column",
-        F.explode(F.array(*[F.lit(float(p)) for p in probabilities])).alias("q"),
-        "total",
-    ).withColumn("rank", F.col("q") * (F.col("total") - 1))
-    # A rank falls on the distinct value whose counts (cum - n, cum] hold it.
-    target = wanted.select(
-        "column", "q", "rank", F.explode(F.array_distinct(F.array(F.floor("rank"), F.ceil("rank")))).alias("at")
-    )
-    hits = (
-        cum.select("column", "value", (F.col("cum_n") - F.col("n")).alias("lo"), F.col("cum_n").alias("hi"))
-        .join(F.broadcast(target), "column")  # columns × probabilities × 2 rows
-        .filter((F.col("at") >= F.col("lo")) & (F.col("at") < F.col("hi")))
+        "q",
+        (F.col("rank") - below).alias("part"),
+        F.when(covers(below), F.col("value")).alias("below"),
+        F.when(covers(above), F.col("value")).alias("above"),
     )
-    below = F.min_by("value", "at")
-    above = F.max_by("value", "at")
-    part = F.first("rank") - F.floor(F.first("rank"))
-    return hits.groupBy("column", "q").agg((below + (above - below) * part).alias("value"))
+    low, high = F.max("below"), F.max("above")
+    return ends.groupBy("column", "q").agg((low + (high - low) * F.max("part")).alias("value"))
