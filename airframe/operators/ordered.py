@@ -175,11 +175,13 @@ def _neighbours(
         *[f"min(IF(`{c}` IS NULL, NULL, _pos)) {ahead} AS `_np_{c}`" for c in placed],
     )
 
-    # One row per bucket: its last and its first row, on which the bucket's last and first valid values
-    # stand. Whole rows are kept, because both branches then need the same columns and Spark reuses the
-    # one exchange of the rows instead of computing the input twice.
-    stamp = f"struct({_names(order)})"
-    aggs = ["count(1) AS _n", f"max_by(struct(*), {stamp}) AS _last", f"min_by(struct(*), {stamp}) AS _first"]
+    # One row per bucket, read off the windowed rows. Every value is an aggregate of its own, so that
+    # both branches are pruned alike and Spark reuses the one exchange of the rows.
+    stamp = "_pos" if need_pos else (f"`{order[0]}`" if len(order) == 1 else f"struct({_names(order)})")
+    aggs = ["count(1) AS _n"]
+    aggs += [f"max_by(`_prev_{c}`, {stamp}) AS `_l_{c}`" for c in columns]
+    aggs += [f"min_by(`_next_{c}`, {stamp}) AS `_f_{c}`" for c in need_next]
+    aggs += [f"max(`_pp_{c}`) AS `_lp_{c}`" for c in placed] + [f"min(`_np_{c}`) AS `_fp_{c}`" for c in placed]
     summary = rows.groupBy(*parts).agg(*[F.expr(a) for a in aggs])
     series = _names([p for p in parts if p != BUCKET]) or "0"
     earlier = "ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING"
@@ -188,13 +190,14 @@ def _neighbours(
     carry = summary.selectExpr("*", f"coalesce(sum(_n) {before}, 0L) AS _off").selectExpr(
         *parts,
         "_off",
-        *[f"last_value(_last.`_prev_{c}`) IGNORE NULLS {before} AS `_cprev_{c}`" for c in columns],
-        *[f"last_value(_first.`_next_{c}`) IGNORE NULLS {after} AS `_cnext_{c}`" for c in need_next],
-        *[f"max(_last.`_pp_{c}` + _off) {before} AS `_cpp_{c}`" for c in placed],
-        *[f"min(_first.`_np_{c}` + _off) {after} AS `_cnp_{c}`" for c in placed],
+        *[f"last_value(`_l_{c}`) IGNORE NULLS {before} AS `_cprev_{c}`" for c in columns],
+        *[f"last_value(`_f_{c}`) IGNORE NULLS {after} AS `_cnext_{c}`" for c in need_next],
+        *[f"max(`_lp_{c}` + _off) {before} AS `_cpp_{c}`" for c in placed],
+        *[f"min(`_fp_{c}` + _off) {after} AS `_cnp_{c}`" for c in placed],
     )
+    key = lambda c: f"IF(`_n_{c}`, NULL, `_v_{c}`) AS `{c}`" if f"_n_{c}" in parts else f"`{c}`"
     return join_carry(rows, carry, parts).selectExpr(
-        *[f"`{c}`" for c in df.columns],
+        *[key(c) for c in df.columns],
         *[f"coalesce(`_prev_{c}`, `_cprev_{c}`) AS `_prev_{c}`" for c in columns],
         *[f"coalesce(`_next_{c}`, `_cnext_{c}`) AS `_next_{c}`" for c in need_next],
         *(["_pos + _off AS _pos"] if need_pos else []),
@@ -263,6 +266,8 @@ INTERPOLATED = [
     "relative_humidity_2m", "surface_pressure", "wind_speed_10m",
 ]
 CARRIED = ["year", "month", "day", "hour", "wind_direction_10m"]
+#: Never NULL after the day/night rules; carried along, which leaves them as they are.
+RULED = ["shortwave_radiation", "precipitation"]
 
 
 def night_rules(df: DataFrame) -> DataFrame:
@@ -297,7 +302,7 @@ def impute_readings(
     """The whole per-column policy in one shuffle and one sort."""
     protected = set(keys) | set(order)
     lerp = [c for c in [*INTERPOLATED, "et0_fao_evapotranspiration"] if c in df.columns and c not in protected]
-    carried = [c for c in CARRIED if c in df.columns and c not in protected]
+    carried = [c for c in [*CARRIED, *RULED] if c in df.columns and c not in protected]
     return fill(night_rules(df), keys, order, lerp, carried, bucket, seconds)
 
 
