@@ -236,20 +236,23 @@ def safety_status(events: DataFrame, stage: str = "stage", ts: str = "ts", block
     return agg.select(stage, F.when(bad, 0).otherwise(1).alias("status"))
 
 
-def windowed_rate(events: DataFrame, ts: str, by: Sequence[str], amount: Column | None = None, window: str = "5 minutes", slide: str = "1 minute") -> DataFrame:
-    """Sum (or count) per sliding window and the same per second."""
-    seconds = F.unix_seconds(F.col("window.end").cast("timestamp")) - F.unix_seconds(F.col("window.start").cast("timestamp"))
-    total = F.sum(amount) if amount is not None else F.count(F.lit(1))
-    return (
-        events.groupBy(F.window(ts, window, slide).alias("window"), *by)
-        .agg(total.cast("double").alias("increase"))
-        .select(
-            F.col("window.start").alias("window_start"),
-            F.col("window.end").alias("window_end"),
-            *by,
-            "increase",
-            (F.col("increase") / seconds).alias("rate"),
-        )
+def per_window(windowed: DataFrame, by: Sequence[str]) -> DataFrame:
+    """(window_start, window_end, by…, increase, rate per second) of summed windows."""
+    start, end = F.col("window.start"), F.col("window.end")
+    seconds = F.unix_seconds(end.cast("timestamp")) - F.unix_seconds(start.cast("timestamp"))
+    return windowed.select(
+        start.alias("window_start"), end.alias("window_end"), *by, "increase", (F.col("increase") / seconds).alias("rate")
     )
 
 
+def windowed_rate(events: DataFrame, ts: str, by: Sequence[str], amount: Column | None = None, window: str = "5 minutes", slide: str = "1 minute") -> DataFrame:
+    """Sum (or count) per sliding window and the same per second.
+
+    Events are first summed per slide, so that only those sums are multiplied by the number of
+    windows they belong to. The window must be a multiple of the slide.
+    """
+    total = F.sum(amount) if amount is not None else F.count(F.lit(1))
+    slices = events.groupBy(F.window(ts, slide).alias("_slice"), *by).agg(total.alias("_sum"))
+    slices = slices.select(F.col("_slice.start").alias("_at"), *by, "_sum")
+    summed = slices.groupBy(F.window("_at", window, slide).alias("window"), *by).agg(F.sum("_sum").cast("double").alias("increase"))
+    return per_window(summed, by)

@@ -31,7 +31,10 @@ def stream_dedup(readings: DataFrame, keys: Sequence[str], ts: str = "ts", delay
 
 
 def stream_rates(events: DataFrame, ts: str, by: Sequence[str], amount: Column | None = None, window: str = "5 minutes", slide: str = "1 minute", delay: str = "10 minutes") -> DataFrame:
-    return telemetry.windowed_rate(events.withWatermark(ts, delay), ts, by, amount, window, slide)
+    """Sum (or count) per sliding window: one stateful aggregate with partial sums in every task."""
+    total = F.sum(amount) if amount is not None else F.count(F.lit(1))
+    windows = events.withWatermark(ts, delay).groupBy(F.window(ts, window, slide).alias("window"), *by)
+    return telemetry.per_window(windows.agg(total.cast("double").alias("increase")), by)
 
 
 def stream_guard_counts(verdicts: DataFrame, ts: str, stage: str = "stage", window: str = "5 minutes", delay: str = "10 minutes") -> DataFrame:
