@@ -256,11 +256,16 @@ def cv_compare(full: DataFrame, reduced: DataFrame) -> DataFrame:
 def drop_weak_features(
     df: DataFrame, keys: Sequence[str], features: Sequence[str], target: str, make, drop: int = 2, fold: str = "fold", k: int = 5
 ) -> tuple[list[str], DataFrame]:
-    """Remove the least important features by permutation and compare both sets by folds."""
-    model = fit_one(df, features, make(target))
-    weak = weakest(permutation_importance(df, keys, features, target, model), drop)
+    """Remove the least important features by permutation and compare both sets by folds.
+
+    Every fit reads the same rows, so they are materialised once in the shared folder.
+    """
+    shared_folder(df.sparkSession)
+    rows = df.select(*dict.fromkeys([*keys, *features, target, fold])).checkpoint()
+    model = fit_one(rows, features, make(target))
+    weak = weakest(permutation_importance(rows, keys, features, target, model), drop)
     kept = [f for f in features if f not in weak]
-    return kept, cv_compare(cv_scores(df, features, target, make, fold, k), cv_scores(df, kept, target, make, fold, k))
+    return kept, cv_compare(cv_scores(rows, features, target, make, fold, k), cv_scores(rows, kept, target, make, fold, k))
 
 
 def backtest(df: DataFrame, keys: Sequence[str], order: Sequence[str], pairs: dict[str, tuple[str, str]], share: float = 0.8, seconds: int = 86_400) -> DataFrame:

@@ -82,13 +82,13 @@ def drop_all_null_columns(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(
     "model_columns",
-    f"WITH {CLEAN_SQL} SELECT station, {', '.join(f'{R(f'avg({c})')} AS {c}' for c in [*DOUBLES, *schemas.CALENDAR])} FROM clean GROUP BY station",
+    f"WITH {CLEAN_SQL} SELECT station, {', '.join(f'{R(f'max({c})')} AS {c}' for c in DOUBLES)}, {', '.join(f'max({c}) AS {c}' for c in schemas.CALENDAR)} FROM clean GROUP BY station",
 )
 def model_columns(spark: SparkSession, sf: str) -> DataFrame:
     """Which columns are features is read off the schema: no target, no time."""
     r = B.clean_readings(spark, sf)
     features = [c for c in tables.model_columns(r) if c not in KEY]
-    return r.groupBy(*KEY).agg(*[F.avg(c).alias(c) for c in features])
+    return r.groupBy(*KEY).agg(*[F.max(c).alias(c) for c in features])
 
 
 @query("sub_index", f"SELECT event_id, {B.sub_index_sql('value')} AS sub_index FROM events")

@@ -10,6 +10,7 @@ from airframe.operators import forecast, models, ordered
 from airframe.plans import base as B
 from airframe.plans import runs
 from airframe.plans.base import CLEAN_SQL, R, query
+from airframe.session import spread
 
 _FEATURES = ["l_quantity", "l_discount", "l_tax", "p_size", "p_retailprice"]
 _KEYS = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"]
@@ -17,7 +18,7 @@ _KEYS = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"]
 
 def _items(spark: SparkSession, sf: str) -> DataFrame:
     """Line items with part attributes; the part table decides the join by its size."""
-    li = B.table(spark, sf, "lineitem").select(*_KEYS, "l_quantity", "l_extendedprice", "l_discount", "l_tax")
+    li = spread(B.table(spark, sf, "lineitem")).select(*_KEYS, "l_quantity", "l_extendedprice", "l_discount", "l_tax")
     part = B.table(spark, sf, "part").select(F.col("p_partkey").alias("l_partkey"), F.col("p_size").cast("double").alias("p_size"), "p_retailprice")
     return li.join(part, "l_partkey")
 
