@@ -42,15 +42,24 @@ def prepare(spark: SparkSession) -> SparkSession:
     return spark
 
 
+def one_process(master: str) -> bool:
+    """Whether driver and executors are one process, so that a local folder is shared by all of them."""
+    return master == "local" or master.startswith("local[")
+
+
 def shared_folder(spark: SparkSession) -> str:
     """Folder visible to every executor: ``spark.checkpoint.dir`` when the cluster names one.
 
-    Only when nothing is named (tests, a laptop) is a local folder chosen and recorded, so that a
-    cluster never writes intermediate tables to a machine-local path.
+    Only a session whose executors are threads of this process (``local[...]``: tests, a laptop) may
+    go without one; it gets a local folder. Any other master raises, so that a cluster never writes
+    intermediate tables to a machine-local path.
     """
     context = spark.sparkContext
     named = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
-    named = named or tempfile.mkdtemp(prefix="airframe-")
+    if not named:
+        if not one_process(context.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        named = tempfile.mkdtemp(prefix="airframe-")
     if context.getCheckpointDir() is None:
         context.setCheckpointDir(named)
     return named

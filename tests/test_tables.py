@@ -340,3 +340,21 @@ def test_safety_stream_equals_batch_in_any_order(spark, tmp_path):
 
 def test_schema_constants_agree():
     assert len(schemas.READING_COLUMNS) == 23 and len(schemas.STRATEGIES) == 5 and len(schemas.GUARD_EVENT_TYPES) == 6
+
+
+@pytest.mark.parametrize("master, alone", [("local", True), ("local[8]", True), ("local-cluster[3,2,1024]", False), ("yarn", False), ("spark://host:7077", False)])
+def test_only_a_single_process_may_use_a_local_folder(master, alone):
+    from airframe.session import one_process
+
+    assert one_process(master) is alone
+
+
+def test_a_cluster_without_a_shared_folder_is_refused():
+    from types import SimpleNamespace
+
+    from airframe.session import shared_folder
+
+    context = SimpleNamespace(master="yarn", getCheckpointDir=lambda: None)
+    session = SimpleNamespace(sparkContext=context, conf=SimpleNamespace(get=lambda key, default: default))
+    with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+        shared_folder(session)
