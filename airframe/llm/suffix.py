@@ -8,14 +8,15 @@ starts; what these strings have in common behind the trigger is its phrase, what
 Phrases are the dictionary, the triggers of all texts the parse. Corpus order is only needed up to ``length``
 bytes, and only to tell which suffixes are equal that far; so dictionary entries, contexts and suffixes are put in order by
 64-bit fingerprints instead of ranks, level by level: a phrase that occurs once ends the matter for all its
-starts, a context that occurs twice settles them too, and only where one phrase has several contexts are the
-suffixes themselves put in order, by phrase and fingerprint, one representative for each context. Copies cost one
+starts, a context that occurs twice settles them too, and only where one phrase has several contexts are its
+starts parted into shorter runs, one representative for each context, down to single suffixes. Copies cost one
 context, however many there are, and no level brings a group of equal things together in a task.
 """
 
 from __future__ import annotations
 
 import hashlib
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -26,6 +27,8 @@ from pyspark.sql import functions as F
 from airframe.llm.common import arrow_of, by_row, pick, query, stored, table
 
 LENGTH, REACH, GRAM = 200, 128, 16
+#: Starts of a run at the levels below the first.
+RUNS = (8, 1)
 #: Starts that are worked on at once in a long text; bits for a place in it.
 TILE, PLACE = 1 << 20, 24
 _RANDOM = np.random.default_rng(9)
@@ -81,10 +84,15 @@ def sliding_least(x: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(back[:n], forth[width - 1 : width - 1 + n])
 
 
-def parse(text: bytes, length: int):
-    """For each tile of a text its first place, its sums, and arrays of phrase, context, first and last start of its triggers."""
+def tiles(text: bytes, length: int):
+    """Stretches of a text that hold ``TILE`` starts each, with their first place."""
     for at in range(0, len(text) - length + 1, TILE):
-        body = np.frombuffer(text, np.uint8, min(len(text) - at, TILE + length - 1), at)
+        yield at, np.frombuffer(text, np.uint8, min(len(text) - at, TILE + length - 1), at)
+
+
+def parse(text: bytes, length: int):
+    """For each tile of a text its first place and its triggers: phrase, context, trigger, first and last start."""
+    for at, body in tiles(text, length):
         starts = len(body) - length + 1
         places = starts + REACH - 1
         rolling = Sums(body[: places + GRAM - 1], 0)
@@ -96,9 +104,13 @@ def parse(text: bytes, length: int):
         trigger = trigger[low]
         sums = Sums(body, 1)
         phrase = sums.hash(trigger, trigger + length - REACH + 1)
-        shape = ((trigger - low) * REACH + high - low).astype(np.uint64)
-        context = stirred(sums.hash(low, high + length) ^ stirred(shape + np.uint64(1)))
-        yield at, sums, phrase.view(np.int64), context.view(np.int64), low, high
+        yield at, phrase.view(np.int64), contexts_of(sums, trigger, low, high, length), trigger, low, high
+
+
+def contexts_of(sums: Sums, trigger: np.ndarray, low: np.ndarray, high: np.ndarray, length: int) -> np.ndarray:
+    """Fingerprints of what the strings at a run of starts cover together, and of where the run lies."""
+    shape = ((trigger - low) * REACH + high - low).astype(np.uint64)
+    return stirred(sums.hash(low, high + length) ^ stirred(shape + np.uint64(1))).view(np.int64)
 
 
 def phrases(length: int, per_text: bool):
@@ -110,7 +122,7 @@ def phrases(length: int, per_text: bool):
         for batch in batches:
             found, other = [], []
             for mark, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                for _, _, phrase, *_ in parse(text.as_py(), length):
+                for _, phrase, *_ in parse(text.as_py(), length):
                     distinct, n = np.unique(phrase, return_counts=True)
                     found.append(distinct)
                     other.append(np.full(len(distinct), mark) if per_text else n)
@@ -132,46 +144,59 @@ def packed(batches):
         yield pa.RecordBatch.from_arrays([*columns, *more], names=[*names, "n_bytes", "sha256", "body"])
 
 
+RUN = "phrase long, context long, row long, trigger long, low long, high long, many boolean"
+RUN_SCHEMA = pa.schema([*((n, pa.int64()) for n in ("phrase", "context", "row", "trigger", "low", "high")), ("many", pa.bool_())])
+
+
+def run_batch(*columns: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(columns, RUN_SCHEMA, strict=True)], schema=RUN_SCHEMA)
+
+
 def marked(length: int):
     """The triggers of a text whose phrase occurs again somewhere."""
-    names = ["row", "phrase", "context", "low", "high"]
-    schema = pa.schema([(n, pa.int64()) for n in names])
 
     def run(batches):
         for batch in batches:
             for row, body, known in zip(*(batch.column(n) for n in ("row", "body", "phrases")), strict=True):
                 known = np.sort(known.values.to_numpy())
-                for at, _, phrase, context, low, high in parse(unpacked(body.as_py()), length):
+                for at, phrase, context, trigger, low, high in parse(unpacked(body.as_py()), length):
                     here = known[np.minimum(np.searchsorted(known, phrase), len(known) - 1)] == phrase
-                    columns = [np.full(int(here.sum()), row.as_py()), phrase[here], context[here], at + low[here], at + high[here]]
-                    yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], schema=schema)
+                    n = int(here.sum())
+                    yield run_batch(phrase[here], context[here], np.full(n, row.as_py()), at + trigger[here], at + low[here], at + high[here], np.zeros(n, bool))
 
     return run
 
 
-def unpacked(body: bytes) -> bytes:
-    return zstandard.ZstdDecompressor().decompress(body)
-
-
-def suffixes(length: int):
-    """Fingerprints of the strings at all starts of the given contexts."""
-    schema = pa.schema([("phrase", pa.int64()), ("suffix", pa.int64()), ("row", pa.int64()), ("start", pa.int64()), ("many", pa.bool_())])
+def parted(length: int, size: int):
+    """Runs parted into runs of at most ``size`` starts, on a grid that counts back from the trigger. The phrase of a
+    part is what all its strings share by their place on the grid, under the phrase it comes from."""
 
     def run(batches):
         for batch in batches:
-            for row, body, contexts in zip(*(batch.column(n).to_pylist() for n in ("row", "body", "contexts")), strict=True):
-                text = unpacked(body)
-                for c in contexts:
-                    stretch = np.frombuffer(text, np.uint8, c["high"] + length - c["low"], c["low"])
-                    start = np.arange(c["high"] - c["low"] + 1)
-                    suffix = Sums(stretch, 1).hash(start, start + length).view(np.int64)
-                    n = len(start)
-                    columns = [np.full(n, c["phrase"]), suffix, np.full(n, row), c["low"] + start, np.full(n, c["many"])]
-                    yield pa.RecordBatch.from_arrays([pa.array(x, t.type) for x, t in zip(columns, schema, strict=True)], schema=schema)
+            for row, body, runs in zip(*(batch.column(n).to_pylist() for n in ("row", "body", "runs")), strict=True):
+                phrase, trigger, low, high, many = (np.array([r[n] for r in runs]) for n in ("phrase", "trigger", "low", "high", "many"))
+                for at, bytes_ in tiles(unpacked(body), length):
+                    mine = np.flatnonzero(low // TILE == at // TILE)
+                    if len(mine):
+                        sums = Sums(bytes_, 1)
+                        t, z = trigger[mine] - at, high[mine] - at
+                        first, last = (t - z) // size, (t - (low[mine] - at)) // size
+                        parts = last - first + 1
+                        of = np.repeat(np.arange(len(mine)), parts)
+                        cell = np.arange(len(of)) - np.repeat(np.cumsum(parts) - parts, parts) + first[of]
+                        t, own = t[of], mine[of]
+                        start, stop = np.maximum(low[own] - at, t - cell * size - size + 1), np.minimum(z[of], t - cell * size)
+                        common = sums.hash(t - cell * size, t - cell * size - size + 1 + length)
+                        key = stirred(common ^ stirred(phrase[own].view(np.uint64) + cell.astype(np.uint64))).view(np.int64)
+                        yield run_batch(key, contexts_of(sums, t, start, stop, length), np.full(len(of), row), at + t, at + start, at + stop, many[own])
 
     return run
 
 
+def unpacked(body: bytes) -> bytes:
+    return zstandard.ZstdDecompressor().decompress(body)
+
+
 def spans_of(ranges: list[dict], length: int) -> list[tuple[int, int]]:
     """Maximal stretches covered by strings that start in the given ranges."""
     if not ranges:
@@ -212,20 +237,20 @@ def repeats(docs: DataFrame, id="doc_id", text="text", length=LENGTH, with_text=
     texts = bodies.join(known, "text_hash", "left").withColumn("body", body).drop("text_hash")
     texts = stored(texts.withColumn("row", F.monotonically_increasing_id()), "texts")
 
-    marks = texts.where("phrases IS NOT NULL").select("row", "body", "phrases")
-    marks = stored(marks.mapInArrow(marked(length), "row long, phrase long, context long, low long, high long"), "parse")
-    contexts = marks.groupBy("phrase", "context").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("row", "low", "high")).alias("first"))
-    contexts = stored(contexts, "contexts")
-    several = contexts.groupBy("phrase").agg(F.count(F.lit(1)).alias("contexts")).where("contexts > 1").select("phrase")
-    open_ = contexts.join(several, "phrase").select(F.col("first.row").alias("row"), F.struct("phrase", "first.low", "first.high", (F.col("n") > 1).alias("many")).alias("c"))
-    open_ = open_.groupBy("row").agg(F.collect_list("c").alias("contexts"))
-    order = open_.join(texts.select("row", "body"), "row").mapInArrow(suffixes(length), "phrase long, suffix long, row long, start long, many boolean")
-    order = stored(order, "suffixes")
-    equal = order.groupBy("phrase", "suffix").agg(F.sum(F.when(F.col("many"), 2).otherwise(1)).alias("n")).where("n > 1")
-    single = order.where("NOT many").join(equal.select("phrase", "suffix"), ["phrase", "suffix"])
-    whole = marks.join(contexts.where("n > 1").select("phrase", "context"), ["phrase", "context"])
-    ranges = whole.select("row", "low", "high").union(single.select("row", "start", "start"))
-    ranges = ranges.groupBy("row").agg(F.collect_list(F.struct("low", "high")).alias("ranges"))
+    bodies = texts.where("phrases IS NOT NULL").select("row", "body", "phrases")
+    runs, settled = bodies.mapInArrow(marked(length), RUN), []
+    for size in (*RUNS, None):
+        runs = stored(runs, "runs")
+        contexts = runs.groupBy("phrase", "context").agg(F.sum(F.when(F.col("many"), 2).otherwise(1)).alias("n"), F.min(F.struct("row", "trigger", "low", "high")).alias("first"))
+        contexts = stored(contexts, "contexts")
+        equal = contexts.where("n > 1").select("phrase", "context")
+        settled.append(runs.where("NOT many").join(equal, ["phrase", "context"]).select("row", "low", "high"))
+        if size:
+            several = contexts.groupBy("phrase").agg(F.count(F.lit(1)).alias("contexts"), F.min("n").alias("least"))
+            left = contexts.join(several.where("contexts > 1 AND least = 1").select("phrase"), "phrase")
+            left = left.groupBy("first.row").agg(F.collect_list(F.struct("phrase", "first.trigger", "first.low", "first.high", (F.col("n") > 1).alias("many"))).alias("runs"))
+            runs = left.join(bodies.select("row", "body"), "row").mapInArrow(parted(length, size), RUN)
+    ranges = reduce(DataFrame.union, settled).groupBy("row").agg(F.collect_list(F.struct("low", "high")).alias("ranges"))
 
     columns = [("doc_id", arrow_of(rows, "doc_id")), ("n_bytes", pa.int64())]
     span = pa.struct([("start", pa.int64()), ("stop", pa.int64())])
