@@ -127,15 +127,15 @@ def train(docs: DataFrame, id="doc_id", text="text", lang="lang") -> Model:
     chosen = rows.where(F.col("lang").isin(common)).select("doc_id", "lang", "h").withColumn("n", F.row_number().over(first))
     chosen = chosen.where(F.col("n") <= ROWS_PER_LANG).select("doc_id", "lang").distinct()
     sample = rows.join(F.broadcast(chosen), ["doc_id", "lang"], "left_semi").limit(MAX_LANGS * ROWS_PER_LANG)
-    schema = pa.schema([("lang", pa.string()), ("h", pa.int64()), ("buckets", pa.list_(pa.int32())), ("counts", pa.list_(pa.int64()))])
+    schema = pa.schema([("lang", pa.string()), ("h", pa.int64()), ("buckets", pa.binary()), ("counts", pa.binary())])
 
     def row(lang, h, text):
         found = bag(text)
-        return (lang, h, *found) if found else None
+        return (lang, h, *(x.astype(np.int32).tobytes() for x in found)) if found else None
 
-    bags = sample.select("lang", "h", "text").mapInArrow(by_row(row, schema), "lang string, h long, buckets array<int>, counts array<long>")
+    bags = sample.select("lang", "h", "text").mapInArrow(by_row(row, schema), "lang string, h long, buckets binary, counts binary")
     got = sorted(bags.collect(), key=lambda r: (r.h, r.lang, r.buckets))
-    return fit([(r.lang, np.array(r.buckets), np.array(r.counts, dtype=float)) for r in got])
+    return fit([(r.lang, np.frombuffer(r.buckets, np.int32), np.frombuffer(r.counts, np.int32)) for r in got])
 
 
 def identify(docs: DataFrame, model: Model, id="doc_id", text="text") -> DataFrame:
