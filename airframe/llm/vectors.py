@@ -19,8 +19,8 @@ from airframe.llm.graph import components
 
 SIMILARITY = 0.9
 TREES = 8
-#: Rows of a sample that a node is fitted on, rows of a leaf, rows of a block of a leaf that is left dense.
-FIT_ROWS, LEAF_ROWS, BLOCK_ROWS = 2048, 1000, 1024
+#: Rows of a sample that a node is fitted on, of a leaf, of a block of a leaf that is left dense, of a part of a node.
+FIT_ROWS, LEAF_ROWS, BLOCK_ROWS, PART_ROWS = 2048, 1000, 1024, 8192
 #: Half the width of the overlap at a split, in deviations of a random projection (one over the root of the dimension).
 SPILL = 0.16
 SEED = 11
@@ -100,34 +100,22 @@ NODES = "array<struct<at:int,direction:array<double>,place:double,left:int,right
 MEMBER = "tree int, leaf long, row long, done boolean"
 
 
-def descend(batches):
-    """Leaves that a row reaches in the subtree of its node; leaf ids are hashes of tree, node and place in it."""
-    schema = pa.schema([("tree", pa.int32()), ("leaf", pa.int64()), ("row", pa.int64()), ("done", pa.bool_())])
-    known: dict = {}
-    for batch in batches:
-        frame = batch.select(["tree", "leaf", "row"]).to_pandas()
-        units, subtrees, out = batch.column("unit"), batch.column("nodes"), []
-        for (tree, leaf), rows in frame.groupby(["tree", "leaf"]).groups.items():
-            if (tree, leaf) not in known:
-                known = {(tree, leaf): subtrees[int(rows[0])].as_py()}
-            nodes = known[tree, leaf]
-            picked = units.take(pa.array(np.asarray(rows)))
-            x = picked.flatten().to_numpy().reshape(len(rows), -1)
-            margin, todo = SPILL / np.sqrt(x.shape[1]), [(0, np.arange(len(rows)))]
-            while todo:
-                at, those = todo.pop()
-                node = nodes[at]
-                if node["direction"] is None:
-                    name = np.array([leaf, tree, at], np.int64).view(np.uint64)
-                    out.append((tree, int(mixed(name)), frame["row"].to_numpy()[rows][those], node["dense"]))
-                    continue
-                along = x[those] @ np.array(node["direction"])
-                todo.append((node["left"], those[along <= node["place"] + margin]))
-                todo.append((node["right"], those[along >= node["place"] - margin]))
-        for tree, leaf, members, dense in out:
-            n = len(members)
-            cells = (np.full(n, tree, np.int32), np.full(n, leaf, np.int64), members, np.full(n, bool(dense)))
-            yield pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(cells, schema, strict=True)], schema=schema)
+def descend(key: tuple, rows: pd.DataFrame, subtree: pd.DataFrame) -> pd.DataFrame:
+    """Leaves that some rows of a node reach in its subtree; leaf ids are hashes of tree, node and place in it."""
+    tree, leaf, _ = key
+    nodes, row, x = subtree["nodes"].iloc[0], rows["row"].to_numpy(), np.stack(rows["unit"].to_numpy())
+    margin, todo, out = SPILL / np.sqrt(x.shape[1]), [(0, np.arange(len(row)))], []
+    while todo:
+        at, those = todo.pop()
+        node = nodes[at]
+        if node["direction"] is None:
+            name = int(mixed(np.array([leaf, tree, at], np.int64).view(np.uint64)))
+            out.append(pd.DataFrame({"tree": np.int32(tree), "leaf": name, "row": row[those], "done": bool(node["dense"])}))
+            continue
+        along = x[those] @ np.asarray(node["direction"])
+        todo.append((node["left"], those[along <= node["place"] + margin]))
+        todo.append((node["right"], those[along >= node["place"] - margin]))
+    return pd.concat(out)
 
 
 def mixed(words: np.ndarray) -> np.int64:
@@ -153,8 +141,12 @@ def leaves(points: DataFrame, trees: int) -> DataFrame:
         open_ = now.join(sizes, ["tree", "leaf"]).where("NOT done").join(points.select("row", "unit"), "row")
         sample = open_.where(f"pmod(xxhash64(row, tree, leaf), total) < {FIT_ROWS}")
         fitted = sample.groupBy("tree", "leaf").applyInPandas(fit, f"tree int, leaf long, nodes {NODES}")
-        opened = open_.select("tree", "leaf", "row", "unit").join(stored(fitted, "trees"), ["tree", "leaf"])
-        now = stored(opened.mapInArrow(descend, MEMBER), "leaves")
+        # a subtree goes to every part of its node's rows once, not to every row
+        open_ = open_.select("tree", "leaf", F.expr(f"pmod(xxhash64(row), total div {PART_ROWS} + 1)").alias("part"), "row", "unit")
+        fitted = stored(fitted, "trees").join(sizes, ["tree", "leaf"])
+        fitted = fitted.select("tree", "leaf", F.explode(F.expr(f"sequence(0L, total div {PART_ROWS})")).alias("part"), "nodes")
+        parts = open_.groupBy("tree", "leaf", "part").cogroup(fitted.groupBy("tree", "leaf", "part"))
+        now = stored(parts.applyInPandas(descend, MEMBER), "leaves")
 
 
 # ---------------------------------------------------------------- comparison
