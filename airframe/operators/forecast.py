@@ -84,9 +84,9 @@ def future_features(
     walk: Sequence[str] = schemas.WALK_FEATURES,
     seed: int = 42,
 ) -> DataFrame:
-    """Feature rows for the next hours: spine, hour pattern, random walk on the weather features."""
-    if not 1 <= hours <= 168:
-        hours = min(max(hours, 1), 168)
+    """Feature rows for the next hours, as many as asked for: spine, hour pattern, random walk on the weather features."""
+    if hours < 1:
+        raise ValueError("hours must be at least 1")
     spine = ordered.hour_spine(origins, origin, hours, keep=keys)
     filled = hour_pattern_join(spine, hourly_pattern(history, keys, features), keys)
     walking = [f for f in walk if f in features]

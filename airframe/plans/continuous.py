@@ -17,9 +17,10 @@ from airframe.streaming import streams
 
 
 def _stream(spark: SparkSession, sf: str, name: str) -> DataFrame:
-    """A driver table as a file stream with the table's own schema."""
+    """A table, one file or a folder of files, as a file stream with the table's own schema."""
     schema = B.table(spark, sf, name).schema
-    return spark.readStream.schema(schema).option("pathGlobFilter", f"{name}.parquet").parquet(sf)
+    # A pattern, because the path of a stream itself must be a folder.
+    return spark.readStream.schema(schema).parquet(f"{sf}/{name}.parque[t]")
 
 
 def _log(spark: SparkSession, sf: str) -> DataFrame:
@@ -71,7 +72,7 @@ def stream_rates(spark: SparkSession, sf: str) -> DataFrame:
     rates = streams.stream_rates(_log(spark, sf), "ts", ["model"], F.col("tokens"))
     out, mark = new_path(spark, "rates"), new_path(spark, "mark")
     streams.run_updates_to_folder(rates, out, mark)
-    return streams.latest_updates(spark, out, ["window_start", "model"], ["increase", "rate"])
+    return streams.latest_updates(rates, out, ["window_start", "model"], ["increase", "rate"])
 
 
 @query(
@@ -89,8 +90,9 @@ def stream_guard_counts(spark: SparkSession, sf: str) -> DataFrame:
     )
     checked = guards.input_guard(asked, "question").select("ts", F.lit("input").alias("stage"), "passed", F.col("sanitized").isNotNull().alias("was_sanitized"))
     out, mark = new_path(spark, "guards"), new_path(spark, "mark")
-    streams.run_updates_to_folder(streams.stream_guard_counts(checked, "ts"), out, mark)
-    return streams.latest_updates(spark, out, ["window_start", "stage", "result"], ["n"]).select("window_start", "stage", "result", F.col("n").alias("n"))
+    changes = streams.stream_guard_counts(checked, "ts")
+    streams.run_updates_to_folder(changes, out, mark)
+    return streams.latest_updates(changes, out, ["window_start", "stage", "result"], ["n"]).select("window_start", "stage", "result", F.col("n").alias("n"))
 
 
 @query(
@@ -107,8 +109,9 @@ def stream_safety(spark: SparkSession, sf: str) -> DataFrame:
         ((F.col("event_type") == "signup") & (F.col("k") < 50)).alias("reset"),
     )
     out, mark = new_path(spark, "safety"), new_path(spark, "mark")
-    streams.run_updates_to_folder(streams.stream_safety(ev), out, mark)
-    return streams.latest_updates(spark, out, ["stage"], ["status"])
+    changes = streams.stream_safety(ev)
+    streams.run_updates_to_folder(changes, out, mark)
+    return streams.latest_updates(changes, out, ["stage"], ["status"])
 
 
 _BOUNDS = schemas.HISTOGRAM_BOUNDS["llm_request_duration_seconds"]
@@ -133,5 +136,5 @@ def stream_latency_quantiles(spark: SparkSession, sf: str) -> DataFrame:
     buckets = streams.stream_latency_buckets(_log(spark, sf), "ts", "latency_seconds", _BOUNDS)
     out, mark = new_path(spark, "latency"), new_path(spark, "mark")
     streams.run_updates_to_folder(buckets, out, mark)
-    latest = streams.latest_updates(spark, out, ["window_start", "le"], ["cum"])
+    latest = streams.latest_updates(buckets, out, ["window_start", "le"], ["cum"])
     return telemetry.histogram_quantile(latest, [0.5, 0.9, 0.99], ["window_start"])

@@ -338,32 +338,26 @@ def hour_spine(spark: SparkSession, sf: str) -> DataFrame:
 
 _FEATURES = ["temperature_2m", "surface_pressure", "pm10", "no2"]
 _PATTERN_SQL = f"""{READINGS_SQL},
-sparse AS (SELECT * FROM readings WHERE NOT (station = 3 AND hour IN (4, 5))),
-spine AS (SELECT DISTINCT station, h.hour FROM sparse CROSS JOIN (SELECT unnest(generate_series(0, 23)) AS hour) h),
-overall AS (SELECT station, {", ".join(f"avg({f}) AS {f}" for f in _FEATURES)} FROM sparse GROUP BY station),
-byhour AS (SELECT station, hour, {", ".join(f"avg({f}) AS {f}" for f in _FEATURES)} FROM sparse GROUP BY station, hour),
+spine AS (SELECT DISTINCT station, h.hour FROM readings CROSS JOIN (SELECT unnest(generate_series(0, 23)) AS hour) h),
+overall AS (SELECT station, {", ".join(f"avg({f}) AS {f}" for f in _FEATURES)} FROM readings GROUP BY station),
+byhour AS (SELECT station, hour, {", ".join(f"avg({f}) AS {f}" for f in _FEATURES)} FROM readings GROUP BY station, hour),
 pattern AS (SELECT s.station, CAST(s.hour AS INTEGER) AS hour, {", ".join(f"CASE WHEN b.hour IS NULL THEN g.{f} ELSE b.{f} END AS {f}" for f in _FEATURES)}
   FROM spine s JOIN overall g USING (station) LEFT JOIN byhour b ON b.station = s.station AND b.hour = s.hour)"""
 
 
-def _sparse(spark: SparkSession, sf: str) -> DataFrame:
-    """Readings in which one station never reports at two hours of the day."""
-    return B.readings(spark, sf).filter(~((F.col("station") == 3) & F.col("hour").isin(4, 5)))
-
-
 @query("hourly_pattern", f"WITH {_PATTERN_SQL} SELECT station, hour, {', '.join(f'{R(f)} AS {f}' for f in _FEATURES)} FROM pattern")
 def hourly_pattern(spark: SparkSession, sf: str) -> DataFrame:
-    return forecast.hourly_pattern(_sparse(spark, sf), KEY, _FEATURES)
+    return forecast.hourly_pattern(B.readings(spark, sf), KEY, _FEATURES)
 
 
 @query(
     "hour_pattern_join",
-    f"""WITH {_PATTERN_SQL}, o AS (SELECT station, max(ts) AS t FROM sparse GROUP BY station),
+    f"""WITH {_PATTERN_SQL}, o AS (SELECT station, max(ts) AS t FROM readings GROUP BY station),
     fut AS (SELECT station, t + INTERVAL 1 HOUR + to_hours(CAST(g.step AS INTEGER)) AS ts FROM o CROSS JOIN (SELECT unnest(generate_series(0, 71)) AS step) g)
     SELECT f.station, {TS('f.ts')} AS ts, {', '.join(f'{R(f"p.{f}")} AS {f}' for f in _FEATURES)} FROM fut f LEFT JOIN pattern p ON p.station = f.station AND p.hour = hour(f.ts)""",
 )
 def hour_pattern_join(spark: SparkSession, sf: str) -> DataFrame:
-    r = _sparse(spark, sf)
+    r = B.readings(spark, sf)
     future = ordered.hour_spine(r.groupBy("station").agg(F.max("ts").alias("origin")), "origin", 72, keep=KEY)
     return forecast.hour_pattern_join(future, forecast.hourly_pattern(r, KEY, _FEATURES), KEY).select("station", "ts", *_FEATURES)
 

@@ -274,12 +274,11 @@ def guard_event(spark: SparkSession, sf: str) -> DataFrame:
 @query(
     "guard_event_counts",
     f"""WITH {EVENTS_OF_GUARDS_SQL}, kinds(event_type) AS (VALUES {", ".join(f"('{t}')" for t in schemas.GUARD_EVENT_TYPES)}),
-    seen AS (SELECT event_type, count(*) AS n FROM gevents WHERE event_type <> 'output_passed' GROUP BY event_type)
+    seen AS (SELECT event_type, count(*) AS n FROM gevents GROUP BY event_type)
     SELECT k.event_type, coalesce(s.n, 0) AS n FROM kinds k LEFT JOIN seen s ON s.event_type = k.event_type""",
 )
 def guard_event_counts(spark: SparkSession, sf: str) -> DataFrame:
-    """One kind is taken out of the log, so that it has to appear with 0."""
-    return telemetry.guard_event_counts(guard_events(spark, sf).filter(F.col("event_type") != "output_passed"))
+    return telemetry.guard_event_counts(guard_events(spark, sf))
 
 
 @query(
@@ -377,7 +376,7 @@ def parse_fenced_json(spark: SparkSession, sf: str) -> DataFrame:
     raw = (
         F.when(kind == 1, F.concat(F.lit("Here:\n```json\n"), body, F.lit("\n```\nDone.")))
         .when(kind == 3, F.concat(F.lit("```\n"), body, F.lit("```")))
-        .when(kind == 7, F.concat(F.lit("```json\n"), F.expr("substring(text, 1, 9)"), F.lit("{\n```")))
+        .when(kind == 7, F.concat(F.lit("```json\n"), F.col("text"), F.lit("{\n```")))
         .otherwise(F.concat(F.lit("  "), body, F.lit("\n")))
     )
     parsed = c.select("conv_id", "turn", C.parse_answer(raw).alias("p"))

@@ -25,6 +25,10 @@ SPEED_CONF = {
 }
 
 
+#: A table up to this size may be dealt out to all cores before work on its texts.
+SPREAD_BYTES = 64 << 20
+
+
 def build_session(app: str = "airframe", master: str | None = None, **conf: str) -> SparkSession:
     """Create (or reuse) a session carrying the settings above."""
     builder = SparkSession.builder.appName(app)
@@ -73,7 +77,9 @@ def new_path(spark: SparkSession, label: str) -> str:
 def spread(df: DataFrame) -> DataFrame:
     """Let row-wise heavy work use all cores when the input is one small file with few splits.
 
-    An input with at least as many splits as cores (any large one) is left as it is.
+    Only inputs of at most ``SPREAD_BYTES`` are dealt out anew, whatever the number of cores; any larger one is left
+    as it is.
     """
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
+    return df if size > SPREAD_BYTES or df.rdd.getNumPartitions() >= cores else df.repartition(cores)

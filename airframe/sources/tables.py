@@ -16,12 +16,16 @@ _BROKEN = "_broken"
 
 
 def read_readings(spark: SparkSession, path: str, fmt: str = "csv", schema: T.StructType = schemas.READING) -> DataFrame:
-    """Flat readings from CSV (with header; columns are found by name) or Parquet."""
+    """Flat readings from CSV (with header; columns are found by name) or Parquet.
+
+    All CSV files of one call must have the same header; a file with another one fails the read instead of being
+    taken by position.
+    """
     if fmt == "csv":
         header = spark.read.option("header", True).option("inferSchema", False).csv(path).columns
         types = {f.name: f.dataType for f in schema.fields}
         named = T.StructType([T.StructField(c, types.get(c, T.StringType())) for c in header])
-        df = spark.read.schema(named).option("header", True).csv(path)
+        df = spark.read.schema(named).option("header", True).option("enforceSchema", False).csv(path)
     else:
         df = spark.read.format(fmt).load(path)
     present = set(df.columns)

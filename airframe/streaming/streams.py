@@ -95,14 +95,17 @@ def run_updates_to_folder(stream: DataFrame, path: str, checkpoint: str) -> None
     def save(batch: DataFrame, number: int) -> None:
         batch.write.mode("overwrite").parquet(f"{path}/batch={number}")
 
+    # A batch without rows, so that a stream that never had any leaves an empty table.
+    stream.sparkSession.createDataFrame([], stream.schema).write.mode("overwrite").parquet(f"{path}/batch=-1")
     stream.writeStream.outputMode("update").option("checkpointLocation", checkpoint).trigger(availableNow=True).foreachBatch(
         save
     ).start().awaitTermination()
 
 
-def latest_updates(spark: SparkSession, path: str, keys: Sequence[str], values: Sequence[str]) -> DataFrame:
-    """The current row per key of a change table written by ``run_updates_to_folder``."""
-    changes = spark.read.parquet(path)
+def latest_updates(stream: DataFrame, path: str, keys: Sequence[str], values: Sequence[str]) -> DataFrame:
+    """The current row per key of a change table written by ``run_updates_to_folder`` for ``stream``."""
+    schema = T.StructType([*stream.schema.fields, T.StructField("batch", T.LongType())])
+    changes = stream.sparkSession.read.schema(schema).parquet(path)
     return changes.groupBy(*keys).agg(F.max_by(F.struct(*values), "batch").alias("_v")).select(*keys, "_v.*")
 
 

@@ -95,13 +95,15 @@ def test_daily_summary_has_exactly_the_days(spark):
     assert [(r["date"].day, r["min_aqi_index"], r["aqi_category"]) for r in got] == [(1, 10, "Good"), (2, 60, "Moderate"), (3, None, None)]
 
 
-def test_prediction_spine_and_clamped_horizon(spark):
+def test_prediction_spine_and_long_horizon(spark):
     rows = [("s", T0 + dt.timedelta(hours=h), h % 24, float(h % 24), 1.0) for h in range(100)]
     df = spark.createDataFrame(rows, "station string, ts timestamp_ntz, hour int, temperature_2m double, pm10 double")
     got = runs.predict(df, ["temperature_2m", "pm10"], {"aqi_index": F.col("pm10") * 60, "Calculated_AQI": F.col("temperature_2m")}, 24)
     rows = got.orderBy("step").collect()
     assert len(rows) == 24 and rows[0]["datetime"] == "2024-01-05 04:00" and {r["aqi_category"] for r in rows} == {"Moderate"}
-    assert runs.predict(df, ["pm10"], {"aqi_index": F.col("pm10")}, 500).count() == 168
+    assert runs.predict(df, ["pm10"], {"aqi_index": F.col("pm10")}, 500).count() == 500
+    with pytest.raises(ValueError):
+        runs.predict(df, ["pm10"], {"aqi_index": F.col("pm10")}, 0)
 
 
 # ---------------------------------------------------------------- telemetry
@@ -333,7 +335,7 @@ def test_safety_stream_equals_batch_in_any_order(spark, tmp_path):
     df.repartition(5).write.parquet(src)
     stream = streams.stream_safety(streams.table_stream(spark, src, df.schema, files_per_trigger=1))
     streams.run_updates_to_folder(stream, out, mark)
-    got = {r["stage"]: r["status"] for r in streams.latest_updates(spark, out, ["stage"], ["status"]).collect()}
+    got = {r["stage"]: r["status"] for r in streams.latest_updates(stream, out, ["stage"], ["status"]).collect()}
     want = {r["stage"]: r["status"] for r in telemetry.safety_status(df.withColumnRenamed("at", "ts")).collect()}
     assert got == want == {"in": 1, "out": 0, "new": 1}
 
@@ -358,3 +360,22 @@ def test_a_cluster_without_a_shared_folder_is_refused():
     session = SimpleNamespace(sparkContext=context, conf=SimpleNamespace(get=lambda key, default: default))
     with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
         shared_folder(session)
+
+
+def test_csv_files_with_another_header_are_refused(spark):
+    folder = new_path(spark, "csv")
+    spark.createDataFrame([("10", "20")], "co string, no string").write.option("header", True).csv(folder)
+    spark.createDataFrame([("20", "10")], "no string, co string").write.mode("append").option("header", True).csv(folder)
+    with pytest.raises(Exception, match="(?i)header"):
+        io.read_readings(spark, folder).collect()
+
+
+def test_streams_over_a_folder_of_files_and_over_no_rows(spark, sf):
+    from airframe.plans import continuous
+
+    whole = spark.read.parquet(f"{sf}/events.parquet")
+    for rows, folder in ((whole, new_path(spark, "several")), (whole.limit(0), new_path(spark, "none"))):
+        rows.repartition(3).write.parquet(f"{folder}/events.parquet")
+        for name in ("stream_dedup", "stream_rates", "stream_safety", "stream_latency_quantiles"):
+            want = getattr(continuous, name)(spark, sf).count() if rows is whole else 0
+            assert getattr(continuous, name)(spark, folder).count() == want, name
