@@ -227,6 +227,8 @@ def near_fingerprints(docs: DataFrame, id: str = "doc_id", text: str = "text", w
 
 #: Lanes of 64 bits in a wide fingerprint, samples of a text's shingles, shingles in a sample (6 to 12, and half as many).
 WIDE, SAMPLES, SAMPLE_SIZE = 16, 16, 6
+#: Deviations from the similarity beyond which, and below which, wide fingerprints decide alone.
+FAR, NEAR = 6.0, 4.0
 _RANDOM = np.random.default_rng(SEED)
 LANE_KEYS = _RANDOM.integers(0, 1 << 64, WIDE, dtype=np.uint64)
 SAMPLE_KEYS = _RANDOM.integers(0, 1 << 64, SAMPLES, dtype=np.uint64) | np.uint64(1)
@@ -260,11 +262,11 @@ def signature(text: bytes | None, words: int) -> tuple[np.ndarray, np.ndarray]:
     return wide, np.unique(np.concatenate(keys))
 
 
-def limit(similarity: float) -> int:
-    """Differing bits of wide fingerprints up to which texts count as similar: what sets of this Jaccard
-    similarity differ in on average, and one and a half deviations more."""
+def limit(similarity: float, deviations: float) -> int:
+    """Differing bits of wide fingerprints: what sets of this Jaccard similarity differ in on average, and so many
+    deviations more."""
     bits, share = WIDE * BITS, acos(2 * similarity / (1 + similarity)) / pi
-    return int(bits * share + 1.5 * sqrt(bits * share * (1 - share)))
+    return int(bits * share + deviations * sqrt(bits * share * (1 - share)))
 
 
 def signatures(docs: DataFrame, id: str, text: str, words: int) -> DataFrame:
@@ -281,10 +283,31 @@ def signatures(docs: DataFrame, id: str, text: str, words: int) -> DataFrame:
     return rows.mapInArrow(by_row(one, schema), f"doc_id {kind}, row long, fp long, wide array<long>, keys array<long>")
 
 
-def similar_links(nodes: DataFrame, similarity: float) -> DataFrame:
-    """Edges between fingerprints that share the key of a sample and whose wide fingerprints are close enough.
+def shingle_sets(docs: DataFrame, id: str, text: str, words: int, wanted: DataFrame) -> DataFrame:
+    """``(fp, shingles)``: the sorted distinct hashes, packed, of the texts that ``wanted`` (``row, fp``) names."""
+    rows = pick(docs, doc_id=id, text=text).select(F.xxhash64("doc_id", "text").alias("row"), F.col("text").cast("binary"))
+    schema = pa.schema([("fp", pa.int64()), ("shingles", pa.binary())])
+    found = rows.join(wanted, "row").dropDuplicates(["row"]).select("fp", "text")
+    return found.mapInArrow(by_row(lambda fp, body: (fp, np.unique(shingle_hashes(body, words)).tobytes()), schema), "fp long, shingles binary")
 
-    Within a key each fingerprint meets the smallest one only, by an aggregate joined back: rows grow with the number
+
+def similar_sets(similarity: float):
+    """For ``mapInArrow``: the pairs whose sets of shingles have the similarity."""
+    schema = pa.schema([("u", pa.int64()), ("v", pa.int64())])
+
+    def similar(u, v, a, b):
+        a, b = np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64)
+        both = len(np.intersect1d(a, b, assume_unique=True))
+        return (u, v) if both >= similarity * (len(a) + len(b) - both) else None
+
+    return by_row(similar, schema)
+
+
+def similar_links(nodes: DataFrame, docs: DataFrame, id: str, text: str, words: int, similarity: float) -> DataFrame:
+    """Edges between fingerprints that share the key of a sample and whose texts have the similarity.
+
+    Wide fingerprints ``FAR`` deviations beyond the similarity rule a pair out and ``NEAR`` below it settle it; between
+    them the sets of shingles are compared, which are made for the texts of such pairs alone. Within a key each fingerprint meets the smallest one only, by an aggregate joined back: rows grow with the number
     of keys, never with its square, and texts that miss each other under one key have the others.
     """
     keyed = nodes.select("fp", F.explode("keys").alias("key"))
@@ -292,7 +315,15 @@ def similar_links(nodes: DataFrame, similarity: float) -> DataFrame:
     met = keyed.join(shared_keys, "key").where("fp <> v").select(F.col("fp").alias("u"), "v").distinct()
     wide = nodes.select("fp", "wide")
     met = met.join(wide.select(F.col("fp").alias("u"), F.col("wide").alias("a")), "u").join(wide.select(F.col("fp").alias("v"), F.col("wide").alias("b")), "v")
-    return met.where(f"aggregate(zip_with(a, b, (x, y) -> bit_count(x ^ y)), 0, (n, x) -> n + x) <= {limit(similarity)}").select("u", "v")
+    bits = F.expr("aggregate(zip_with(a, b, (x, y) -> bit_count(x ^ y)), 0, (n, x) -> n + x)")
+    met = met.select("u", "v", bits.alias("bits")).where(f"bits <= {limit(similarity, FAR)}")
+    met, sure = stored(met, "met"), f"bits <= {limit(similarity, -NEAR)}"
+    open_ = met.where(f"NOT ({sure})").select("u", "v")
+    wanted = open_.select(F.explode(F.array("u", "v")).alias("fp")).distinct().join(nodes.select("fp", "row"), "fp")
+    sets = stored(shingle_sets(docs, id, text, words, wanted), "sets")
+    pairs = open_.join(sets.select(F.col("fp").alias("u"), F.col("shingles").alias("a")), "u").join(sets.select(F.col("fp").alias("v"), F.col("shingles").alias("b")), "v")
+    checked = pairs.select("u", "v", "a", "b").mapInArrow(similar_sets(similarity), "u long, v long")
+    return met.where(sure).select("u", "v").union(checked)
 
 
 def keep_one(docs: DataFrame, id: str = "doc_id", text: str = "text", words: int = 5, similarity: float = 0.8, radius: int = 2) -> DataFrame:
@@ -300,12 +331,12 @@ def keep_one(docs: DataFrame, id: str = "doc_id", text: str = "text", words: int
 
     Fingerprints of the distinct shingles are linked within ``radius`` bits by the Gray-order index; texts of the given
     similarity, whose fingerprints are often farther apart, by samples of their shingles, checked with a
-    fingerprint of ``WIDE`` lanes. NULL texts and texts without words are copies of each other. Rows with a NULL id go
+    fingerprint of ``WIDE`` lanes and, where that is not clear, with the shingles themselves. NULL texts and texts without words are copies of each other. Rows with a NULL id go
     last; of repeated rows one stays. An empty table stays empty.
     """
     marked = stored(signatures(docs, id, text, words), "signatures")
-    nodes = marked.groupBy("fp").agg(F.min(F.struct("wide", "keys")).alias("s")).select("fp", "s.wide", "s.keys")
-    links = gray_links(marked, radius).union(similar_links(stored(nodes, "nodes"), similarity))
+    nodes = marked.groupBy("fp").agg(F.min(F.struct("wide", "keys", "row")).alias("s")).select("fp", "s.wide", "s.keys", "s.row")
+    links = gray_links(marked, radius).union(similar_links(stored(nodes, "nodes"), docs, id, text, words, similarity))
     groups = components(links).withColumnRenamed("node", "fp")
     rows = marked.select("doc_id", "row", "fp").join(groups, "fp", "left").withColumn("component", F.coalesce("component", "fp"))
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row"))

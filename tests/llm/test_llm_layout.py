@@ -124,8 +124,9 @@ def test_vectors_next_to_all_pairs(spark):
 
 
 def plain_kept(rows):
-    """Smallest id of each group, from all pairs of signatures."""
-    marks = [simhash.signature((r.text or "").encode(), 5)[0] for r in rows]
+    """Smallest id of each group, from all pairs of fingerprints and of sets of shingles."""
+    sets = [set(simhash.shingle_hashes((r.text or "").encode(), 5).tolist()) for r in rows]
+    marks = [simhash.signature((r.text or "").encode(), 5)[0][0] for r in rows]
     root = list(range(len(rows)))
 
     def find(i):
@@ -135,7 +136,7 @@ def plain_kept(rows):
 
     for i in range(len(rows)):
         for j in range(i):
-            if np.bitwise_count(marks[i][:1] ^ marks[j][:1]).sum() <= 2 or np.bitwise_count(marks[i] ^ marks[j]).sum() <= simhash.limit(0.8):
+            if np.bitwise_count(marks[i] ^ marks[j]) <= 2 or len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]):
                 a, b = find(i), find(j)
                 root[max(a, b)] = min(a, b)
     groups = defaultdict(list)

@@ -104,6 +104,23 @@ def test_one_of_each_group_of_similar_texts_stays(spark):
     assert simhash.keep_one(docs.limit(0)).collect() == []
 
 
+def test_pairs_on_both_sides_of_the_similarity(spark):
+    rng, rows, similar = np.random.default_rng(5), [], set()
+    for k in range(80):
+        text = words(rng, int(rng.integers(200, 700)))
+        other = list(text)
+        for at in rng.choice(len(other), max(1, int(len(other) * (0.015 + 0.001 * (k % 25)))), replace=False):
+            other[at] = "changed"
+        a, b = (set(simhash.shingle_hashes(" ".join(t).encode(), 5).tolist()) for t in (text, other))
+        if len(a & b) >= 0.8 * len(a | b):
+            similar.add(2 * k + 1)
+        rows += [(2 * k, " ".join(text)), (2 * k + 1, " ".join(other))]
+    kept = {r.doc_id for r in simhash.keep_one(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert 15 < len(similar) < 65
+    assert not {i for i, _ in rows} - similar - kept  # nothing below the similarity goes
+    assert len(similar & kept) <= 1
+
+
 def test_rows_and_columns_survive_unchanged(spark, sf):
     docs = spark.read.parquet(f"{sf}/documents.parquet")
     kept = simhash.keep_one(docs)
