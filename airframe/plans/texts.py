@@ -429,7 +429,7 @@ def cosine_similarity(spark: SparkSession, sf: str) -> DataFrame:
     "precaution_overlap",
     f"""WITH p AS (SELECT vec_id // 5 AS example, vec_id % 5 < 3 AS expected, vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings),
     s AS (SELECT e.example, e.vec_id, max(list_cosine_similarity(e.v, g.v)) AS best FROM p e JOIN p g ON g.example = e.example AND NOT g.expected WHERE e.expected GROUP BY e.example, e.vec_id)
-    SELECT example, {R('avg(CASE WHEN best >= CAST(0.1 AS DOUBLE) THEN CAST(1 AS DOUBLE) ELSE CAST(0 AS DOUBLE) END)')} AS overlap FROM s GROUP BY example""",
+    SELECT example, {R('avg(CASE WHEN best >= CAST(0.6 AS DOUBLE) THEN CAST(1 AS DOUBLE) ELSE CAST(0 AS DOUBLE) END)')} AS overlap FROM s GROUP BY example""",
 )
 def precaution_overlap(spark: SparkSession, sf: str) -> DataFrame:
     """Five neighbouring vectors form an example: three expected, two generated."""
@@ -438,7 +438,7 @@ def precaution_overlap(spark: SparkSession, sf: str) -> DataFrame:
     grouped = e.groupBy(F.floor(F.col("vec_id") / 5).alias("example")).agg(
         F.collect_list(F.when(n < 3, F.col("embedding"))).alias("expected"), F.collect_list(F.when(n >= 3, F.col("embedding"))).alias("generated")
     )
-    return grouped.select("example", scoring.precaution_overlap("generated", "expected", 0.1).alias("overlap"))
+    return grouped.select("example", scoring.precaution_overlap("generated", "expected", 0.6).alias("overlap"))
 
 
 @query("rouge_l")
