@@ -375,7 +375,7 @@ def counter_rate(
 
     The increase is the sum of reset-aware steps whose two samples both lie in the window; the rate is
     that sum over the time between the first and the last of those samples. Values are not extrapolated
-    to the window edges. Rows of a bucket's last ``window_seconds`` are also shown to the next bucket,
+    to the window edges. Totals run over sorted rows, so the cost does not depend on the length of the window. Rows of a bucket's last ``window_seconds`` are also shown to the next bucket,
     so no window has to cross a bucket border.
     """
     if bucket_seconds < window_seconds:
@@ -389,16 +389,22 @@ def counter_rate(
         BUCKET,
         F.explode(F.when(near_end, F.array(own, own + F.lit(1))).otherwise(F.array(own))),
     )
-    w = Window.partitionBy(*keys, BUCKET).orderBy("_us").rangeBetween(-window_seconds * 1_000_000, 0)
-    start = F.min("_us").over(w)
-    prev_us = F.unix_micros(F.col("_prev_ts").cast("timestamp"))
-    ranked = shown.withColumn("_start", start).withColumn("_prev_us", prev_us)
+    # A probe at the start of every sample's window meets the first sample of that window in a sorted pass.
+    parts, running = [*keys, BUCKET], (Window.unboundedPreceding, Window.currentRow)
+    rising = Window.partitionBy(*parts).orderBy("_us", F.col("delta").asc_nulls_first()).rowsBetween(*running)
+    peers = Window.partitionBy(*parts).orderBy("_us").rangeBetween(*running)
+    ranked = shown.withColumn("_here", F.struct(F.col("_us").alias("us"), F.coalesce(F.sum("delta").over(rising), F.lit(0)).alias("total"), (F.count("delta").over(rising) - F.col("delta").isNotNull().cast("long")).alias("before")))
+    ranked = ranked.withColumn("_upto", F.sum("delta").over(peers)).withColumn("_known", F.count("delta").over(peers)).withColumn("_prev_us", F.unix_micros(F.col("_prev_ts").cast("timestamp")))
+    probed = ranked.withColumn("_probe", F.explode(F.array(F.lit(True), F.lit(False))))
+    place = F.when(F.col("_probe"), F.col("_us") - window_seconds * 1_000_000).otherwise(F.col("_us"))
+    falling = Window.partitionBy(*parts).orderBy(F.desc("_place"), F.asc("_probe"), F.desc("_here")).rowsBetween(*running)
+    met = F.last(F.when(~F.col("_probe"), F.col("_here")), ignorenulls=True).over(falling)
+    probed = probed.withColumn("_place", place).withColumn("_met", F.when(F.col("_probe"), met))
+    back = Window.partitionBy(*parts).orderBy("_us", F.desc("_probe")).rowsBetween(*running)
+    probed = probed.withColumn("_first", F.last("_met", ignorenulls=True).over(back)).filter(~F.col("_probe"))
     # The step that enters the window from outside belongs to the earlier sample and is left out.
-    first_step = F.min(F.struct("_us", "delta")).over(w)["delta"]
-    total = F.sum("delta").over(w)
-    ranked = ranked.withColumn(
-        "increase",
-        F.when(F.col("_start") < F.col("_us"), total - F.coalesce(first_step, F.lit(0))),
+    ranked = probed.withColumn("_start", F.col("_first.us")).withColumn(
+        "increase", F.when((F.col("_start") < F.col("_us")) & (F.col("_known") > F.col("_first.before")), F.col("_upto") - F.col("_first.total"))
     )
     elapsed = (F.col("_us") - F.col("_start")) / F.lit(1_000_000.0)
     ranked = ranked.withColumn("rate", F.try_divide(F.col("increase").cast("double"), elapsed))

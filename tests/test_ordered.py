@@ -183,3 +183,21 @@ def test_describe_matches_pandas(spark):
             assert [r["mean"], r["std"], r["min"], r["max"]] == pytest.approx([w["mean"], w["std"], w["min"], w["max"]])
             if exact:
                 assert [r["q25"], r["q50"], r["q75"]] == pytest.approx([w["25%"], w["50%"], w["75%"]])
+
+
+def test_counter_rate_with_resets_and_nulls_next_to_whole_windows(spark):
+    rng = random.Random(11)
+    rows = [("k", t, None if rng.random() < 0.1 else rng.randrange(40)) for t in sorted(rng.sample(range(4000), 300))]
+    df = spark.createDataFrame(rows, "k string, s long, v long").selectExpr("k", "timestamp_seconds(s) AS ts", "s", "v")
+    steps = []
+    for i, (_, t, v) in enumerate(rows):
+        before = rows[i - 1][2] if i else None
+        steps.append((t, None if v is None or before is None else v if v < before else v - before))
+    for window in (7, 90, 600):
+        want = {}
+        for t, _ in steps:
+            inside = [s for s in steps if t - window <= s[0] <= t]
+            known = [d for _, d in inside if d is not None]
+            want[t] = sum(known) - (inside[0][1] or 0) if len(inside) > 1 and known else None
+        got = {r.s: r.increase for r in ordered.counter_rate(df, ["k"], "ts", "v", window, 1000).collect()}
+        assert got == want
