@@ -20,6 +20,8 @@ UNKNOWN = "und"
 BUCKET_BITS, SIZES, DIM = 15, (2, 3, 4), 16
 #: Bounds of the sample: languages (the most frequent ones) and labelled rows of each.
 MAX_LANGS, ROWS_PER_LANG = 200, 600
+#: How many times the wanted rows the bound on hashes lets through.
+SPARE_DRAW = 4
 EPOCHS, RATE, CALIBRATE_EVERY = 6, 0.5, 4
 #: Share of calibration rows that the threshold may reject.
 REJECT = 0.001
@@ -114,18 +116,29 @@ def fit(samples: list[tuple[str, np.ndarray, np.ndarray]], seed: int = 0) -> Mod
     return model
 
 
+def hash_bound(rows: int) -> int:
+    """Largest hash to look at for the smallest hashes of so many rows; every hash when the rows are few."""
+    share = min(1.0, SPARE_DRAW * ROWS_PER_LANG / rows)
+    return min(int(share * 2.0**64) - (1 << 63), (1 << 63) - 1)
+
+
 def train(docs: DataFrame, id="doc_id", text="text", lang="lang") -> Model:
     """Fit on a sample of ``docs``: the rows of each language with the smallest hashes of their id.
 
+    A language's count bounds the hashes that are looked at, so that the task which orders them gets a few thousand rows
+    however large the table is. Where repeats of few ids make up a language, it may learn from fewer rows.
+
     Rows with a NULL id, text or language are not learned from. The bags of at most
     ``MAX_LANGS * ROWS_PER_LANG`` rows reach the driver, each of no more than ``2 ** BUCKET_BITS`` buckets.
     """
     rows = pick(docs, doc_id=id, text=text, lang=lang).where("doc_id IS NOT NULL AND lang IS NOT NULL AND text IS NOT NULL")
     rows = rows.withColumn("lang", F.col("lang").cast("string")).withColumn("h", F.xxhash64("doc_id"))
-    common = [r[0] for r in rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MAX_LANGS).collect()]
+    common = {r[0]: r[1] for r in rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MAX_LANGS).collect()}
+    # No hash above the bound can be among the smallest: of c rows about SPARE_DRAW * ROWS_PER_LANG lie below it.
+    bounds = [F.when(F.col("lang") == name, F.lit(hash_bound(c))) for name, c in common.items()]
+    near = rows.select("doc_id", "lang", "h").where(F.col("h") <= F.coalesce(*bounds, F.lit(None).cast("long")))
     first = Window.partitionBy("lang").orderBy("h", "doc_id")
-    chosen = rows.where(F.col("lang").isin(common)).select("doc_id", "lang", "h").withColumn("n", F.row_number().over(first))
-    chosen = chosen.where(F.col("n") <= ROWS_PER_LANG).select("doc_id", "lang").distinct()
+    chosen = near.withColumn("n", F.row_number().over(first)).where(F.col("n") <= ROWS_PER_LANG).select("doc_id", "lang").distinct()
     sample = rows.join(F.broadcast(chosen), ["doc_id", "lang"], "left_semi").limit(MAX_LANGS * ROWS_PER_LANG)
     schema = pa.schema([("lang", pa.string()), ("h", pa.int64()), ("buckets", pa.binary()), ("counts", pa.binary())])
 

@@ -99,6 +99,17 @@ def test_windows_found_in_any_number_of_passes(spark):
     assert all(r.items == [] for r in decontaminate.scan(docs, items.limit(0)).collect())
 
 
+def test_language_sample_is_that_of_all_hashes(spark, sf, monkeypatch):
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    monkeypatch.setattr(langid, "ROWS_PER_LANG", 5)
+    bounded = langid.train(docs)
+    monkeypatch.setattr(langid, "SPARE_DRAW", 1e9)
+    whole = langid.train(docs)
+    assert bounded.langs == whole.langs and (bounded.weights == whole.weights).all()
+    assert langid.hash_bound(1) == (1 << 63) - 1 and abs(langid.hash_bound(10**9)) < 1 << 63
+    assert langid.train(docs.limit(0)).langs == []
+
+
 def test_language_on_held_out_rows(spark, sf):
     docs = spark.read.parquet(sf.replace("sf0.001", "sf0.01") + "/documents.parquet")
     seen = langid.held_out("doc_id")
