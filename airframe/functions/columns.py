@@ -167,6 +167,19 @@ def parse_answer(response: Column | str) -> Column:
     )
 
 
+def parse_evaluation(response: Column | str) -> Column:
+    """Struct of the evaluated fields, and ``parse_error`` when the text is no JSON object; absent fields are empty."""
+    body = fenced_text(response)
+    parsed = F.from_json(body, schemas.EVALUATED, {"mode": "PERMISSIVE"})
+    kind = F.try_parse_json(body)
+    bad = kind.isNull() | ~F.coalesce(F.substring(F.schema_of_variant(kind), 1, 6) == "OBJECT", F.lit(False))
+    return F.struct(
+        F.when(~bad, F.coalesce(parsed["summary"], F.lit(""))).alias("summary"),
+        F.when(~bad, F.coalesce(parsed["precautions"], F.array().cast("array<string>"))).alias("precautions"),
+        bad.alias("parse_error"),
+    )
+
+
 def squared_distance(a: Column | str, b: Column | str) -> Column:
     def add(acc, x):
         return acc + x

@@ -84,11 +84,15 @@ def future_features(
     walk: Sequence[str] = schemas.WALK_FEATURES,
     seed: int = 42,
 ) -> DataFrame:
-    """Feature rows for the next hours, as many as asked for: spine, hour pattern, random walk on the weather features."""
+    """Feature rows for the next hours, as many as asked for: spine, hour pattern, random walk on the weather features.
+
+    Features that the spine has itself, the parts of the time, are those of the coming hour, not means of the history.
+    """
     if hours < 1:
         raise ValueError("hours must be at least 1")
     spine = ordered.hour_spine(origins, origin, hours, keep=keys)
-    filled = hour_pattern_join(spine, hourly_pattern(history, keys, features), keys)
+    meant = [f for f in features if f not in spine.columns]
+    filled = hour_pattern_join(spine, hourly_pattern(history, keys, meant), keys)
     walking = [f for f in walk if f in features]
     return ordered.multiplicative_walk(filled, keys, "step", walking, seed=seed) if walking else filled
 

@@ -10,7 +10,8 @@ from airframe.operators import forecast, models, ordered
 from airframe.plans import base as B
 from airframe.plans import runs
 from airframe.plans.base import CLEAN_SQL, R, query
-from airframe.session import spread
+from airframe.session import new_path, shared_folder, spread
+from airframe.sources import tables as io
 
 _FEATURES = ["l_quantity", "l_discount", "l_tax", "p_size", "p_retailprice"]
 _KEYS = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"]
@@ -33,6 +34,7 @@ def random_split(spark: SparkSession, sf: str) -> DataFrame:
 
 def _fit_summary(spark: SparkSession, sf: str, make) -> DataFrame:
     """Fit on the train part, measure on the test part."""
+    shared_folder(spark)  # boosting cuts its lineage there
     parts = models.random_split(_items(spark, sf), _KEYS)
     train, test = parts.filter(F.col("part") == "train"), parts.filter(F.col("part") == "test")
     model = models.fit_one(train, _FEATURES, make(train))
@@ -40,13 +42,13 @@ def _fit_summary(spark: SparkSession, sf: str, make) -> DataFrame:
 
 
 @query("train_forest")
-def train_forest(spark: SparkSession, sf: str) -> DataFrame:
-    return _fit_summary(spark, sf, lambda _: models.train_forest("l_extendedprice", trees=20, depth=8))
+def train_forest(spark: SparkSession, sf: str, trees: int = 300) -> DataFrame:
+    return _fit_summary(spark, sf, lambda _: models.train_forest("l_extendedprice", trees))
 
 
 @query("train_gbt")
-def train_gbt(spark: SparkSession, sf: str) -> DataFrame:
-    return _fit_summary(spark, sf, lambda _: models.train_gbt("l_extendedprice", rounds=20))
+def train_gbt(spark: SparkSession, sf: str, rounds: int = 300) -> DataFrame:
+    return _fit_summary(spark, sf, lambda _: models.train_gbt("l_extendedprice", rounds))
 
 
 _LINE = "SELECT regr_slope(l_extendedprice, l_quantity) AS a, regr_intercept(l_extendedprice, l_quantity) AS b FROM lineitem"
@@ -84,28 +86,28 @@ def train_ridge(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query("train_and_rank")
-def train_and_rank(spark: SparkSession, sf: str) -> DataFrame:
+def train_and_rank(spark: SparkSession, sf: str, trees: int = 300, rounds: int = 300) -> DataFrame:
     """All estimators on two targets, with the best one marked."""
     parts = models.random_split(_items(spark, sf), _KEYS)
-    table, _ = models.train_and_rank(parts, ["l_discount", "l_tax", "p_size", "p_retailprice"], ["l_extendedprice", "l_quantity"], trees=5, rounds=5)
+    table, _ = models.train_and_rank(parts, ["l_discount", "l_tax", "p_size", "p_retailprice"], ["l_extendedprice", "l_quantity"], trees=trees, rounds=rounds)
     best = models.pick_best_model(table).select(F.col("model").alias("_best"))
     return table.crossJoin(F.broadcast(best)).withColumn("best", F.col("model") == F.col("_best")).drop("_best")  # one row
 
 
-def _forest(spark: SparkSession, sf: str):
+def _forest(spark: SparkSession, sf: str, trees: int):
     items = _items(spark, sf)
-    return items, models.fit_one(items, _FEATURES, models.train_forest("l_extendedprice", trees=10, depth=6))
+    return items, models.fit_one(items, _FEATURES, models.train_forest("l_extendedprice", trees))
 
 
 @query("feature_importance")
-def feature_importance(spark: SparkSession, sf: str) -> DataFrame:
-    items, model = _forest(spark, sf)
+def feature_importance(spark: SparkSession, sf: str, trees: int = 300) -> DataFrame:
+    items, model = _forest(spark, sf, trees)
     return models.feature_importance(model, _FEATURES, items)
 
 
 @query("permutation_importance")
-def permutation_importance(spark: SparkSession, sf: str) -> DataFrame:
-    items, model = _forest(spark, sf)
+def permutation_importance(spark: SparkSession, sf: str, trees: int = 300) -> DataFrame:
+    items, model = _forest(spark, sf, trees)
     return models.permutation_importance(items, _KEYS, _FEATURES, "l_extendedprice", model)
 
 
@@ -158,10 +160,14 @@ def score_forecast(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("forecast_by_model")
 def forecast_by_model(spark: SparkSession, sf: str) -> DataFrame:
-    """The same with fitted pipelines, as served: one per target."""
+    """72 hours with fitted pipelines, one per target, saved and loaded again as a server does."""
     r = B.stored_clean(spark, sf, "hour", *HOURLY, *schemas.TARGETS)
     history = forecast.drop_null_targets(r)
-    fitted = {t: models.fit_one(history, HOURLY, models.train_linear(t), scaled=True) for t in schemas.TARGETS}
-    return runs.predict(r, HOURLY, {t: m.transform for t, m in fitted.items()}, 24)
+    path, loaded = new_path(spark, "served"), {}
+    for t in schemas.TARGETS:
+        model = models.fit_one(history, HOURLY, models.train_linear(t), scaled=True)
+        io.save_model(model, models.regression_metrics(model.transform(history), {t: (t, "prediction")}), f"{path}/{t}")
+        loaded[t] = io.load_model(f"{path}/{t}").transform
+    return runs.predict(r, HOURLY, loaded)
 
 

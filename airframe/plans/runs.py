@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from airframe import schemas
-from airframe.functions.columns import parse_answer, strip
+from airframe.functions.columns import cosine_similarity, parse_answer, parse_evaluation, render_prompt, strip
 from airframe.operators import airquality, chunking, forecast, guards, models, ordered, retrieval, scoring, telemetry
 from airframe.session import shared_folder
 from airframe.sources import tables as io
@@ -38,13 +38,15 @@ def train(
 ) -> DataFrame:
     """Clean table, split, all estimators, best one saved per target. Returns the metrics table.
 
-    The clean table is written once and read back by every later step.
+    The clean table and the metrics are written once and read back by every later step.
     """
     spark = readings.sparkSession
     io.write_table(clean(readings, keys, order), f"{path}/clean")
     rows = forecast.drop_null_targets(spark.read.parquet(f"{path}/clean"))
     parts = models.random_split(rows, [*keys, *order])
-    metrics, fitted = models.train_and_rank(parts, features, schemas.TARGETS, trees=trees, rounds=rounds)
+    measured, fitted = models.train_and_rank(parts, features, schemas.TARGETS, trees=trees, rounds=rounds)
+    io.write_table(measured, f"{path}/metrics")
+    metrics = spark.read.parquet(f"{path}/metrics")
     best = models.pick_best_model(metrics).first()["model"]
     for target, model in fitted[best].items():
         io.save_model(model, metrics, f"{path}/{target}")
@@ -64,6 +66,49 @@ def predict(
     return forecast.score_forecast(forecast.future_features(history, keys, starts, hours, features), scorers, keys)
 
 
+def serve(spark: SparkSession, path: str, features: Sequence[str], hours: int = 72, keys: Sequence[str] = KEY) -> DataFrame:
+    """Hourly forecast by the models that ``train`` saved at ``path``, from the clean table it left there."""
+    history = spark.read.parquet(f"{path}/clean")
+    return predict(history, features, {t: io.load_model(f"{path}/{t}").transform for t in schemas.TARGETS}, hours, keys)
+
+
+def evaluate(examples: DataFrame, templates: dict[str, str], responses: DataFrame, row: str = "item_id", features: int = 256) -> DataFrame:
+    """Scored results of recorded responses: one row per example and strategy.
+
+    examples: (row, aqi, category, expected_summary, expected_precautions); templates: prompt text per strategy;
+    responses: (row, strategy, response, latency_seconds). A response that is no JSON object, or is
+    missing, is an error. Vectors come from hashed term weights fitted on the expected texts; an example's few
+    precautions are compared inside their row.
+    """
+    shared_folder(examples.sparkSession)
+    ids = [row, "strategy"]
+    texts = F.create_map(*[F.lit(x) for pair in templates.items() for x in pair])
+    crossed = scoring.strategy_cross(examples, list(templates)).withColumn(
+        "prompt", render_prompt(F.element_at(texts, F.col("strategy")), "aqi", "category")
+    )
+    parsed = responses.select(*ids, "latency_seconds", parse_evaluation("response").alias("_p")).select(*ids, "latency_seconds", "_p.*")
+    # Read by the scores and by the vectors of the precautions.
+    both = crossed.join(parsed, ids, "left").withColumn("failed", F.coalesce("parse_error", F.lit(True))).checkpoint()
+    model = scoring.fit_text_vectors(examples.where("expected_summary IS NOT NULL"), "expected_summary", features)
+    scored = scoring.rouge_l(both, "summary", "expected_summary")
+    for side in ("summary", "expected_summary"):
+        scored = scoring.text_vectors(scored, side, model, f"_{side}")
+    sides = F.explode(F.array(*[F.struct(F.lit(n).alias("side"), F.col(n).alias("items")) for n in ("precautions", "expected_precautions")]))
+    phrases = both.where("NOT failed").select(*ids, sides.alias("_s")).select(*ids, "_s.side", F.explode("_s.items").alias("phrase"))
+    vectors = scoring.text_vectors(phrases, "phrase", model).groupBy(*ids)
+    lists = vectors.agg(*[F.collect_list(F.when(F.col("side") == n, F.col("vector"))).alias(f"_{n}") for n in ("precautions", "expected_precautions")])
+    good = lambda c: F.when(~F.col("failed"), c)
+    return scored.join(lists, ids, "left").select(
+        *ids,
+        "prompt",
+        good(F.col("rouge_l")).alias("rouge_l"),
+        good(cosine_similarity("_summary", "_expected_summary")).alias("cosine_similarity"),
+        good(F.coalesce(scoring.precaution_overlap("_precautions", "_expected_precautions"), F.lit(0.0))).alias("precaution_overlap"),
+        "latency_seconds",
+        F.when(F.col("failed"), F.lit("Failed to parse JSON")).alias("error"),
+    )
+
+
 def predict_daily(hourly: DataFrame, days: int = 3, keys: Sequence[str] = KEY) -> DataFrame:
     """Exactly ``days`` calendar days per series from a forecast."""
     timed = hourly.withColumn("ts", F.to_timestamp("datetime", "yyyy-MM-dd HH:mm"))

@@ -181,6 +181,8 @@ ANSWER = T.StructType(
     ]
 )
 
+EVALUATED = T.StructType([T.StructField("summary", T.StringType()), T.StructField("precautions", T.ArrayType(T.StringType()))])
+
 GUARD_EVENT = T.StructType(
     [
         T.StructField("event_type", T.StringType()),

@@ -4,11 +4,15 @@ The table folder is sf0.001 unless TEST_SF_DIR names another one.
 """
 
 import importlib.util
+import inspect
 import os
 
 import duckdb
 import pytest
 
+from airframe.plans import regress, workflows
+from airframe.plans.base import STATIONS
+
 ROOT = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
 
 
@@ -51,6 +55,25 @@ def test_same_as_sql(spark, sf, duck, name):
     assert got == check.canonical(cur.fetchall(), names)
 
 
-@pytest.mark.parametrize("name", sorted(set(QUERIES) - set(ORACLES)))
+#: Model queries, registered at 300 trees and 300 rounds; here with sizes that take seconds.
+SIZED = {
+    "train_forest": (regress.train_forest, {"trees": 5}, 1),
+    "train_gbt": (regress.train_gbt, {"rounds": 5}, 1),
+    "train_and_rank": (regress.train_and_rank, {"trees": 3, "rounds": 3}, 4),
+    "feature_importance": (regress.feature_importance, {"trees": 5}, 5),
+    "permutation_importance": (regress.permutation_importance, {"trees": 5}, 5),
+    "run_training": (workflows.run_training, {"trees": 3, "rounds": 3}, 4),
+    "run_serve": (workflows.run_serve, {"trees": 3, "rounds": 3}, 72 * STATIONS),
+}
+
+
+@pytest.mark.parametrize("name", sorted(SIZED))
+def test_model_queries(spark, sf, name):
+    query, sizes, rows = SIZED[name]
+    assert {p.default for k, p in inspect.signature(query).parameters.items() if k in sizes} == {300}
+    assert query(spark, sf, **sizes).count() == rows
+
+
+@pytest.mark.parametrize("name", sorted(set(QUERIES) - set(ORACLES) - set(SIZED)))
 def test_returns_rows(spark, sf, name):
     assert QUERIES[name](spark, sf).count() > 0

@@ -1,12 +1,17 @@
 """Chunks, guards, scores and retrieval."""
 
+import json
 import random
+import re
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from airframe.operators import chunking, guards, retrieval, scoring
+from airframe.plans import base as B
+from airframe.plans import runs, workflows
+from airframe.plans.texts import TEMPLATES
 
 
 def texts(spark, values, name="t"):
@@ -311,3 +316,45 @@ def test_text_vectors_find_the_matching_text(spark):
     q = spark.createDataFrame([(7, "what does ozone do to lungs")], "query_id long, q string")
     qv = scoring.text_vectors(q, "q", model).select("query_id", F.col("vector").alias("query_vector"))
     assert retrieval.knn_topk(qv, cv, 1).first()["chunk_id"] == 1
+
+
+def plain_rouge(generated, expected):
+    g, e = (re.findall("[a-z0-9]+", (t or "").lower()) for t in (generated, expected))
+    line = [0] * (len(e) + 1)
+    for w in g:
+        new = [0]
+        for j, x in enumerate(e):
+            new.append(line[j] + 1 if w == x else max(line[j + 1], new[j]))
+        line = new
+    return 2 * line[-1] / (len(g) + len(e)) if line[-1] else 0.0
+
+
+def test_evaluation_run_scores_what_was_recorded(spark, sf):
+    examples = B.eval_examples(spark, sf)
+    said = workflows.recorded(spark, sf)
+    rows = runs.evaluate(examples, TEMPLATES, said).collect()
+    expected = {r.item_id: r for r in examples.collect()}
+    responses = {(r.item_id, r.strategy): r.response for r in said.collect()}
+    assert len(rows) == len(responses) == 5 * len(expected)
+    for r in rows:
+        e = expected[r.item_id]
+        if r.strategy == "meta_prompt":
+            assert r.error == "Failed to parse JSON" and r.rouge_l is r.cosine_similarity is r.precaution_overlap is None
+            continue
+        told = json.loads(responses[r.item_id, r.strategy].removeprefix("```json\n").removesuffix("\n```"))
+        assert r.error is None and r.rouge_l == pytest.approx(plain_rouge(told["summary"], e.expected_summary))
+        if e.expected_summary is None:
+            assert r.cosine_similarity == 0
+        elif r.strategy in ("zero_shot", "few_shot_k3"):  # the same words, in another order
+            assert r.cosine_similarity == pytest.approx(1)
+        if e.aqi is not None and e.category is not None and r.strategy == "zero_shot":
+            assert str(e.aqi) in r.prompt and e.category in r.prompt
+    assert max(r.precaution_overlap for r in rows if r.error is None) == 1
+    gate = {r.strategy: r for r in workflows.run_evaluation(spark, sf).collect()}
+    assert not gate["meta_prompt"].passed and gate["meta_prompt"].error == "All examples failed"
+    assert gate["zero_shot"].passed and gate["zero_shot"].error_rate == 0
+
+
+def test_missing_response_is_an_error(spark, sf):
+    rows = runs.evaluate(B.eval_examples(spark, sf), TEMPLATES, workflows.recorded(spark, sf).where("item_id < 0")).collect()
+    assert rows and all(r.error and r.rouge_l is None for r in rows)
