@@ -268,7 +268,7 @@ def drop_weak_features(
     return kept, cv_compare(cv_scores(rows, features, target, make, fold, k), cv_scores(rows, kept, target, make, fold, k))
 
 
-def backtest(df: DataFrame, keys: Sequence[str], order: Sequence[str], pairs: dict[str, tuple[str, str]], share: float = 0.8, seconds: int = 86_400) -> DataFrame:
+def backtest(df: DataFrame, keys: Sequence[str], order: Sequence[str], pairs: dict[str, tuple[str, str]], share: float = 0.8, seconds: int | None = None) -> DataFrame:
     """Metrics of recorded predictions on the last part of each series, with MAPE per target."""
     tail = ordered.positional_split(df, keys, order, share, seconds=seconds).filter(F.col("side") == "current")
     extra = {f"mape_{name}": _mape(F.col(y), F.col(p)) for name, (y, p) in pairs.items()}

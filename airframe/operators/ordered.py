@@ -5,7 +5,8 @@ part of the table. Everything here therefore works in two steps: rows are groupe
 ``(keys, bucket)`` and handled by a window inside the bucket; what has to cross a bucket border is
 carried by a frame with one row per bucket and joined back. The rows themselves are shuffled once,
 on ``(keys, bucket)``; the join back reuses that partitioning. The order columns must tell the rows of
-a series apart.
+a series apart. Positions, splits and folds have no natural time width: unless a caller names a bucket or a
+width, their buckets are ranges of (keys, order) with about equal numbers of rows (``ranged``).
 """
 
 from __future__ import annotations
@@ -16,8 +17,11 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from airframe.functions.columns import as_col, unit_noise
+from airframe.session import new_path
 
-BUCKET = "_bucket"
+BUCKET, RANGE = "_bucket", "_range"
+#: Ranges per shuffle partition, so that the tasks which get several ranges are even.
+RANGES = 4
 
 #: Stand-ins for a NULL key, so that joins on keys are plain equalities and keep the partitioning.
 _STAND_IN = {"string": "", "boolean": False, "date": "1970-01-01", "timestamp": "1970-01-01", "timestamp_ntz": "1970-01-01"}
@@ -48,6 +52,21 @@ def _keyed(
     return df.withColumns(added), [*names, BUCKET]
 
 
+def ranged(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
+    """The rows with the number of their range, ``_range``, which never decreases in (keys, order).
+
+    Spark samples the rows to cut them evenly, so a busy day or a series with most of the rows is many ranges. The
+    result is written to the shared folder: the numbers hold for every later reader, and the rows are
+    computed once.
+    """
+    spark = df.sparkSession
+    ranges = RANGES * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    out = df.repartitionByRange(ranges, *keys, *order).withColumn(RANGE, F.spark_partition_id().cast("long"))
+    path = new_path(spark, "ranges")
+    out.write.parquet(path)
+    return spark.read.schema(out.schema).parquet(path)
+
+
 def within(parts: Sequence[str], order: Sequence[str]):
     """Frames inside a bucket: start to here, and end to here. Both are running frames; a frame that
     reaches ahead would be evaluated anew for every row."""
@@ -137,11 +156,17 @@ def positions(
     order: Sequence[str],
     name: str = "position",
     bucket: Column | None = None,
-    seconds: int = 86_400,
+    seconds: int | None = None,
     size: str | None = None,
 ) -> DataFrame:
-    """0-based row number per series (and its row count), without sorting a series in one task."""
-    out = running_totals(df, keys, order, {name: F.lit(1).cast("long")}, bucket, seconds)
+    """0-based row number per series (and its row count), without sorting a series in one task.
+
+    Buckets are ranges of even size, or those of ``bucket``, or ``seconds`` wide.
+    """
+    even = bucket is None and seconds is None
+    src = ranged(df, keys, order) if even else df
+    bucket = F.col(RANGE) if even else bucket
+    out = running_totals(src, keys, order, {name: F.lit(1).cast("long")}, bucket, seconds or 0)
     extra = [F.col("_size").alias(size)] if size else []
     return out.select(*[F.col(c) for c in df.columns], (F.col(name) - F.lit(1)).alias(name), *extra)
 
@@ -154,13 +179,16 @@ def _neighbours(
     need_next: Sequence[str],
     need_pos: bool,
     bucket: Column | None,
-    seconds: int,
+    seconds: int | None,
 ) -> DataFrame:
     """For each column add ``_prev_c`` (last valid at or before the row) and, for the columns of
     ``need_next``, ``_next_c`` (first valid at or after it). With ``need_pos`` the row's position is
-    ``_pos`` and the positions of those neighbours are ``_pp_c`` and ``_np_c``.
+    ``_pos`` and the positions of those neighbours are ``_pp_c`` and ``_np_c``. With neither ``bucket`` nor
+    ``seconds`` the buckets are ranges of even size, for series whose rows crowd into some hours.
     """
-    src, parts = _keyed(df, keys, order, bucket, seconds)
+    even = bucket is None and seconds is None
+    rows = ranged(df, keys, order) if even else df
+    src, parts = _keyed(rows, keys, order, F.col(RANGE) if even else bucket, seconds or 0)
     running = "ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW"
     back = f"OVER (PARTITION BY {_names(parts)} ORDER BY {_names(order)} {running})"
     ahead = f"OVER (PARTITION BY {_names(parts)} ORDER BY {', '.join(f'`{c}` DESC' for c in order)} {running})"
@@ -216,7 +244,7 @@ def ffill(
     order: Sequence[str],
     columns: Sequence[str],
     bucket: Column | None = None,
-    seconds: int = 86_400,
+    seconds: int | None = 86_400,
 ) -> DataFrame:
     """Replace a NULL by the last valid value before it; leading NULLs stay."""
     n = _neighbours(df, keys, order, columns, [], False, bucket, seconds)
@@ -236,7 +264,7 @@ def interpolate_linear(
     order: Sequence[str],
     columns: Sequence[str],
     bucket: Column | None = None,
-    seconds: int = 86_400,
+    seconds: int | None = 86_400,
 ) -> DataFrame:
     """Linear by row position; both ends take the nearest valid value; an all-NULL series stays NULL."""
     return fill(df, keys, order, interpolate=columns, carry=[], bucket=bucket, seconds=seconds)
@@ -249,7 +277,7 @@ def fill(
     interpolate: Sequence[str],
     carry: Sequence[str],
     bucket: Column | None = None,
-    seconds: int = 86_400,
+    seconds: int | None = 86_400,
 ) -> DataFrame:
     """Interpolate one set of columns and forward-fill another in a single pass (one shuffle, one sort)."""
     typed = df.selectExpr(*[f"CAST(`{c}` AS DOUBLE) AS `{c}`" if c in interpolate else f"`{c}`" for c in df.columns])
@@ -288,7 +316,7 @@ def night_rules(df: DataFrame) -> DataFrame:
 
 
 def zero_then_interpolate(
-    df: DataFrame, keys: Sequence[str], order: Sequence[str], bucket: Column | None = None, seconds: int = 86_400
+    df: DataFrame, keys: Sequence[str], order: Sequence[str], bucket: Column | None = None, seconds: int | None = 86_400
 ) -> DataFrame:
     """The three day/night columns alone."""
     ruled = night_rules(df)
@@ -297,7 +325,7 @@ def zero_then_interpolate(
 
 
 def impute_readings(
-    df: DataFrame, keys: Sequence[str], order: Sequence[str], bucket: Column | None = None, seconds: int = 86_400
+    df: DataFrame, keys: Sequence[str], order: Sequence[str], bucket: Column | None = None, seconds: int | None = 86_400
 ) -> DataFrame:
     """The whole per-column policy in one shuffle and one sort."""
     protected = set(keys) | set(order)
@@ -312,7 +340,7 @@ def positional_split(
     order: Sequence[str],
     share: float = 0.8,
     bucket: Column | None = None,
-    seconds: int = 86_400,
+    seconds: int | None = None,
     name: str = "side",
 ) -> DataFrame:
     """``reference`` for the first ``int(n * share)`` rows of a series, ``current`` for the rest."""
@@ -327,7 +355,7 @@ def contiguous_folds(
     order: Sequence[str],
     k: int = 5,
     bucket: Column | None = None,
-    seconds: int = 86_400,
+    seconds: int | None = None,
     name: str = "fold",
 ) -> DataFrame:
     """Unshuffled folds 0..k-1 by position; the first ``n mod k`` folds hold one row more."""

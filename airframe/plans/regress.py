@@ -114,7 +114,7 @@ def permutation_importance(spark: SparkSession, sf: str, trees: int = 300) -> Da
 @query("drop_weak_features")
 def drop_weak_features(spark: SparkSession, sf: str) -> DataFrame:
     items = _items(spark, sf)
-    folded = ordered.contiguous_folds(items, [], ["l_orderkey", *_KEYS[1:], *_FEATURES, "l_extendedprice"], 5, bucket=F.floor(F.col("l_orderkey") / 1_000).cast("long"))
+    folded = ordered.contiguous_folds(items, [], ["l_orderkey", *_KEYS[1:], *_FEATURES, "l_extendedprice"], 5)
     kept, compared = models.drop_weak_features(folded, _KEYS, _FEATURES, "l_extendedprice", models.train_linear)
     return compared.withColumn("kept", F.lit(",".join(kept)))
 

@@ -353,7 +353,7 @@ _FULL, _REDUCED = "CAST(250000 + o_custkey % 100 AS DOUBLE)", "CAST(240000 AS DO
 def cv_compare(spark: SparkSession, sf: str) -> DataFrame:
     """Five contiguous folds; closed-form predictors in place of fitted ones. Squared errors in 1e9."""
     o = B.table(spark, sf, "orders").select("o_orderdate", "o_orderkey", F.col("o_totalprice").alias("y"), "o_custkey")
-    folded = ordered.contiguous_folds(o, [], ["o_orderdate", "o_orderkey"], 5, seconds=7 * 86_400)
+    folded = ordered.contiguous_folds(o, [], ["o_orderdate", "o_orderkey"], 5)
     full = (F.lit(250000) + F.col("o_custkey") % 100).cast("double")
     err = lambda p: F.avg((F.col("y") - p) * (F.col("y") - p)).alias("mse")
     a = folded.groupBy("fold").agg(err(full))
@@ -376,6 +376,6 @@ def backtest(spark: SparkSession, sf: str) -> DataFrame:
     o = B.table(spark, sf, "orders").select(
         "o_orderdate", "o_orderkey", F.col("o_totalprice").alias("y"), (F.lit(200000.0) + (F.col("o_custkey") % 50) * 1000).cast("double").alias("p")
     )
-    return models.backtest(o, [], ["o_orderdate", "o_orderkey"], {"price": ("y", "p")}, seconds=7 * 86_400)
+    return models.backtest(o, [], ["o_orderdate", "o_orderkey"], {"price": ("y", "p")})
 
 

@@ -201,3 +201,43 @@ def test_counter_rate_with_resets_and_nulls_next_to_whole_windows(spark):
             want[t] = sum(known) - (inside[0][1] or 0) if len(inside) > 1 and known else None
         got = {r.s: r.increase for r in ordered.counter_rate(df, ["k"], "ts", "v", window, 1000).collect()}
         assert got == want
+
+
+def crowded(spark):
+    """900 of 1,000 rows on one day, two thirds of them in one series; a NULL key, missing values."""
+    rng = random.Random(5)
+    rows = []
+    for i in range(1_000):
+        day = 40 if i < 900 else i % 80
+        key = None if i % 50 == 7 else "a" if i % 3 else "b"
+        rows.append((key, T0 + dt.timedelta(days=day, microseconds=i), i, None if rng.random() < 0.4 else float(i % 17)))
+    rng.shuffle(rows)
+    return spark.createDataFrame(rows, "k string, ts timestamp_ntz, i long, v double"), rows
+
+
+def test_one_day_with_most_rows_is_many_ranges(spark):
+    df, rows = crowded(spark)
+    for keys in ([], ["k"]):
+        sizes = [r["count"] for r in ordered.ranged(df, keys, ["ts", "i"]).groupBy(ordered.RANGE).count().collect()]
+        assert sum(sizes) == 1_000 and len(sizes) > 8 and max(sizes) < 200
+    order = sorted(rows, key=lambda r: (r[1], r[2]))
+    placed = {r.i: r.position for r in ordered.positions(df, [], ["ts", "i"]).collect()}
+    assert placed == {r[2]: n for n, r in enumerate(order)}
+    sides = {r.i: r.side for r in ordered.positional_split(df, [], ["ts", "i"]).collect()}
+    assert sides == {r[2]: "reference" if n < 800 else "current" for n, r in enumerate(order)}
+    folds = {r.i: r.fold for r in ordered.contiguous_folds(df, [], ["ts", "i"], 3).collect()}
+    assert folds == {r[2]: 0 if n < 334 else 1 if n < 667 else 2 for n, r in enumerate(order)}
+
+
+def test_ranges_change_no_result(spark):
+    df, rows = crowded(spark)
+    daily, even = (
+        {r.i: r.v for r in ordered.interpolate_linear(df, ["k"], ["ts", "i"], ["v"], seconds=s).collect()} for s in (86_400, None)
+    )
+    assert len(even) == 1_000 and even.keys() == daily.keys()
+    assert all(daily[i] == pytest.approx(even[i]) for i in daily)
+    places = {r.i: r.position for r in ordered.positions(df, ["k"], ["ts", "i"]).collect()}
+    for key in (None, "a", "b"):
+        own = sorted((r for r in rows if r[0] == key), key=lambda r: (r[1], r[2]))
+        assert [places[r[2]] for r in own] == list(range(len(own)))
+    assert ordered.positions(df.limit(0), ["k"], ["ts", "i"]).count() == 0
