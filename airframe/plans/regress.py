@@ -51,36 +51,34 @@ def train_gbt(spark: SparkSession, sf: str, rounds: int = 300) -> DataFrame:
     return _fit_summary(spark, sf, lambda _: models.train_gbt("l_extendedprice", rounds))
 
 
-_LINE = "SELECT regr_slope(l_extendedprice, l_quantity) AS a, regr_intercept(l_extendedprice, l_quantity) AS b FROM lineitem"
+_TWO = ["l_quantity", "l_discount"]
+
+
+def _line_sql(alpha: float) -> str:
+    """The normal equations of two centred features, the penalty on their diagonal, applied to every row."""
+    x, z, y = (f"(CAST({c} AS DOUBLE) - m{n})" for c, n in ((_TWO[0], "x"), (_TWO[1], "z"), ("l_extendedprice", "y")))
+    return f"""WITH s AS (SELECT avg(CAST(l_quantity AS DOUBLE)) AS mx, avg(CAST(l_discount AS DOUBLE)) AS mz, avg(CAST(l_extendedprice AS DOUBLE)) AS my FROM lineitem),
+    c AS (SELECT sum({x} * {x}) + {alpha} AS xx, sum({z} * {z}) + {alpha} AS zz, sum({x} * {z}) AS xz, sum({x} * {y}) AS xy, sum({z} * {y}) AS zy FROM lineitem CROSS JOIN s),
+    m AS (SELECT (xy * zz - zy * xz) / (xx * zz - xz * xz) AS a, (zy * xx - xy * xz) / (xx * zz - xz * xz) AS b FROM c)
+    SELECT l_orderkey, l_linenumber, round(a * {x} + b * {z} + my, 2) AS p FROM lineitem CROSS JOIN s CROSS JOIN m"""
 
 
 def _line(spark: SparkSession, sf: str, make) -> DataFrame:
-    li = B.table(spark, sf, "lineitem").select("l_quantity", "l_extendedprice")
-    model = models.fit_one(li, ["l_quantity"], make(li)).stages[-1]
-    # The fitted line is applied to the table, so that the result is checked row by row.
-    scored = B.table(spark, sf, "orders").select(
-        "o_orderkey", (F.lit(float(model.coefficients[0])) * (F.col("o_orderkey") % 50) + F.lit(float(model.intercept))).alias("p")
-    )
-    return scored.select("o_orderkey", F.round("p", 3).alias("p"))
+    """Fit on the line items, predict every one of them."""
+    li = B.table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", *[F.col(c).cast("double").alias(c) for c in [*_TWO, "l_extendedprice"]])
+    return models.fit_one(li, _TWO, make(li)).transform(li).select("l_orderkey", "l_linenumber", F.round("prediction", 2).alias("p"))
 
 
-@query("train_linear", f"WITH m AS ({_LINE}) SELECT o_orderkey, round(m.a * (o_orderkey % 50) + m.b, 3) AS p FROM orders CROSS JOIN m")
+@query("train_linear", _line_sql(0.0))
 def train_linear(spark: SparkSession, sf: str) -> DataFrame:
     return _line(spark, sf, lambda _: models.train_linear("l_extendedprice"))
 
 
-@query(
-    "train_ridge",
-    """WITH s AS (SELECT avg(l_quantity) AS mx, avg(l_extendedprice) AS my FROM lineitem),
-    c AS (SELECT sum((l_quantity - mx) * (l_extendedprice - my)) / (sum((l_quantity - mx) * (l_quantity - mx)) + 1000000) AS a, max(mx) AS mx, max(my) AS my FROM lineitem CROSS JOIN s)
-    SELECT o_orderkey, round(a * (o_orderkey % 50) + my - a * mx, 3) AS p FROM orders CROSS JOIN c""",
-)
+@query("train_ridge", _line_sql(1.0))
 def train_ridge(spark: SparkSession, sf: str) -> DataFrame:
-    """A large alpha, so that the penalty shows."""
-
     def make(li: DataFrame):
         rows, spread = models.label_stats(li, ["l_extendedprice"])
-        return models.train_ridge("l_extendedprice", rows, spread["l_extendedprice"], alpha=1_000_000.0)
+        return models.train_ridge("l_extendedprice", rows, spread["l_extendedprice"])
 
     return _line(spark, sf, make)
 
