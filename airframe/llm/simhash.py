@@ -21,7 +21,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from airframe.llm.common import arrow_of, by_row, partitions, pick, query, stored, table, tied
+from airframe.llm.common import arrow_of, by_row, partitions, pick, query, stored, table, tied, to_batch
 from airframe.llm.graph import components
 
 BITS = 64
@@ -96,20 +96,21 @@ BLOCKS = pa.schema([("part", pa.int64()), ("seq", pa.int64()), ("mask", pa.int64
 
 
 def cut_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Blocks of a partition whose codes come in Gray order, each with its shared pattern."""
-    part, seq, rest = TaskContext.get().partitionId(), 0, np.zeros(0, np.int64)
+    """Blocks of a partition whose codes come in Gray order, each with its shared pattern; further columns follow the codes."""
+    part, seq, rest = TaskContext.get().partitionId(), 0, None
 
-    def block(codes: np.ndarray) -> pa.RecordBatch:
-        mask, value = shared(codes.view(np.uint64), np.array([0]))
-        cells = ([part], [seq], mask.view(np.int64), value.view(np.int64), [codes.tobytes()])
+    def block(cut: np.ndarray) -> pa.RecordBatch:
+        mask, value = shared(cut[0].view(np.uint64), np.array([0]))
+        cells = ([part], [seq], mask.view(np.int64), value.view(np.int64), [cut.tobytes()])
         return pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(cells, BLOCKS, strict=True)], schema=BLOCKS)
 
     for batch in batches:
-        rest = np.concatenate([rest, batch.column(0).to_numpy(zero_copy_only=False)])
-        while len(rest) >= BLOCK:
-            yield block(rest[:BLOCK])
-            rest, seq = rest[BLOCK:], seq + 1
-    if len(rest):
+        new = np.stack([column.to_numpy(zero_copy_only=False) for column in batch.columns])
+        rest = new if rest is None else np.concatenate([rest, new], axis=1)
+        while rest.shape[1] >= BLOCK:
+            yield block(rest[:, :BLOCK])
+            rest, seq = rest[:, BLOCK:], seq + 1
+    if rest is not None and rest.shape[1]:
         yield block(rest)
 
 
@@ -156,18 +157,52 @@ def block_links(radius: int):
     return run
 
 
+def block_pairs(radius: int):
+    """For ``mapInArrow`` over pairs of blocks with labels: the pairs of codes that have different labels."""
+    schema = pa.schema([("f", pa.int64()), ("g", pa.int64())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                a, b = (np.frombuffer(batch.column(k)[i].as_py(), np.uint64).reshape(2, -1) for k in (0, 1))
+                u, v = close_pairs(a[0], b[0], radius)
+                (x, y), (p, q) = ((codes[by], labels[by]) for codes, labels in (a, b) for by in [np.argsort(codes)])
+                apart = (u != v) & (y[np.searchsorted(x, u)] != q[np.searchsorted(p, v)])
+                if apart.any():
+                    f, g = np.minimum(u[apart], v[apart]), np.maximum(u[apart], v[apart])
+                    yield pa.RecordBatch.from_arrays([pa.array(f.view(np.int64)), pa.array(g.view(np.int64))], schema=schema)
+
+    return run
+
+
 def gray_links(codes: DataFrame, radius: int = 2) -> DataFrame:
     """Edges ``(u, v)`` that connect all distinct codes (column ``fp``) within ``radius`` bits of each other.
 
     Range partitions of distinct codes are even whatever the data, so no group of close codes meets in one task.
     """
-    spark = codes.sparkSession
-    ordered = codes.select("fp").where("fp IS NOT NULL").distinct().withColumn("rank", gray_rank(F.col("fp")))
-    ordered = ordered.repartitionByRange(partitions(spark), "rank").sortWithinPartitions("rank").select("fp")
+    met = close_blocks(codes.select("fp").where("fp IS NOT NULL").distinct(), radius)
+    if met is None:
+        return codes.select(F.col("fp").alias("u"), F.col("fp").alias("v")).limit(0)
+    return met.mapInArrow(block_links(radius), "u long, v long")
+
+
+def gray_pairs(codes: DataFrame, radius: int = 2) -> DataFrame:
+    """All pairs ``(f, g)`` of codes within ``radius`` bits but not of one label, from distinct codes ``(fp, label)``."""
+    met = close_blocks(codes.select("fp", "label"), radius)
+    if met is None:
+        return codes.select(F.col("fp").alias("f"), F.col("fp").alias("g")).limit(0)
+    return met.mapInArrow(block_pairs(radius), "f long, g long").distinct()
+
+
+def close_blocks(codes: DataFrame, radius: int) -> DataFrame | None:
+    """Pairs of blocks ``(left, right)`` of distinct codes that may hold close ones; None without codes."""
+    spark, columns = codes.sparkSession, codes.columns
+    ordered = codes.withColumn("rank", gray_rank(F.col("fp")))
+    ordered = ordered.repartitionByRange(partitions(spark), "rank").sortWithinPartitions("rank").select(columns)
     blocks = stored(ordered.mapInArrow(cut_blocks, "part long, seq long, mask long, value long, codes binary"), "blocks")
     top_part, top_seq = blocks.agg(F.max("part"), F.max("seq")).first()
     if top_part is None:
-        return codes.select(F.col("fp").alias("u"), F.col("fp").alias("v")).limit(0)
+        return None
     width = 1
     while width <= top_seq:
         width *= FANOUT
@@ -182,7 +217,7 @@ def gray_links(codes: DataFrame, radius: int = 2) -> DataFrame:
     body = blocks.select("node", "codes")
     both = pairs.join(body.select(F.col("node").alias("a"), F.col("codes").alias("left")), "a")
     both = both.join(body.select(F.col("node").alias("b"), F.col("codes").alias("right")), "b")
-    return both.select("left", "right").mapInArrow(block_links(radius), "u long, v long")
+    return both.select("left", "right")
 
 
 def parents(level: DataFrame) -> DataFrame:
@@ -284,61 +319,117 @@ def signatures(docs: DataFrame, id: str, text: str, words: int) -> DataFrame:
 
 
 def shingle_sets(docs: DataFrame, id: str, text: str, words: int, wanted: DataFrame) -> DataFrame:
-    """``(fp, shingles)``: the sorted distinct hashes, packed, of the texts that ``wanted`` (``row, fp``) names."""
+    """``(node, shingles)``: the sorted distinct hashes, packed, of the texts that ``wanted`` (``row, node``) names."""
     rows = pick(docs, doc_id=id, text=text).select(F.xxhash64("doc_id", "text").alias("row"), F.col("text").cast("binary"))
-    schema = pa.schema([("fp", pa.int64()), ("shingles", pa.binary())])
-    found = rows.join(wanted, "row").dropDuplicates(["row"]).select("fp", "text")
-    return found.mapInArrow(by_row(lambda fp, body: (fp, np.unique(shingle_hashes(body, words)).tobytes()), schema), "fp long, shingles binary")
+    schema = pa.schema([("node", pa.int64()), ("shingles", pa.binary())])
+    found = rows.join(wanted, "row").dropDuplicates(["row"]).select("node", "text")
+    return found.mapInArrow(by_row(lambda node, body: (node, np.unique(shingle_hashes(body, words)).tobytes()), schema), "node long, shingles binary")
 
 
 def similar_sets(similarity: float):
-    """For ``mapInArrow``: the pairs whose sets of shingles have the similarity."""
+    """For ``mapInArrow`` over groups of pairs with the sets they need: edges that connect the pairs of the similarity."""
     schema = pa.schema([("u", pa.int64()), ("v", pa.int64())])
 
-    def similar(u, v, a, b):
-        a, b = np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64)
-        both = len(np.intersect1d(a, b, assume_unique=True))
-        return (u, v) if both >= similarity * (len(a) + len(b) - both) else None
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                sets = {s["node"]: np.frombuffer(s["shingles"], np.uint64) for s in batch.column(1)[i].as_py()}
+                root = {node: node for node in sets}
+
+                def find(node: int, root: dict = root) -> int:
+                    while root[node] != node:
+                        root[node] = node = root[root[node]]
+                    return node
+
+                for pair in batch.column(0)[i].as_py():
+                    u, v = find(pair["u"]), find(pair["v"])
+                    if u != v:
+                        a, b = sets[pair["u"]], sets[pair["v"]]
+                        both = len(np.intersect1d(a, b, assume_unique=True))
+                        if both >= similarity * (len(a) + len(b) - both):
+                            root[max(u, v)] = min(u, v)
+                edges = [(node, find(node)) for node in root if find(node) != node]
+                if edges:
+                    yield to_batch(edges, schema)
+
+    return run
+
+
+def by_neighbours(pairs: DataFrame) -> DataFrame:
+    """``(node, block)`` for the ends of the pairs ``(u, v)``: nodes with one smallest partner share blocks of about ``LEAF``.
 
-    return by_row(similar, schema)
+    Where many texts are compared with each other they have the same smallest partner, so that pairs of blocks
+    hold many pairs, and a text is sent once to each of them.
+    """
+    ends = pairs.union(pairs.select("v", "u")).toDF("node", "other")
+    near = ends.groupBy("node").agg(F.min("other").alias("least")).select("node", F.least("node", "least").alias("anchor"))
+    sizes = near.groupBy("anchor").agg(F.count(F.lit(1)).alias("n"))
+    part = F.pmod(F.xxhash64("node"), F.ceil(F.col("n") / LEAF))
+    return near.join(sizes, "anchor").select("node", F.xxhash64("anchor", part).alias("block"))
 
 
-def similar_links(nodes: DataFrame, docs: DataFrame, id: str, text: str, words: int, similarity: float) -> DataFrame:
-    """Edges between fingerprints that share the key of a sample and whose texts have the similarity.
+def verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, id: str, text: str, words: int, similarity: float) -> DataFrame:
+    """Edges ``(u, v)`` that connect those of the distinct pairs ``(u, v)`` whose texts have the similarity.
 
     Wide fingerprints ``FAR`` deviations beyond the similarity rule a pair out and ``NEAR`` below it settle it; between
-    them the sets of shingles are compared, which are made for the texts of such pairs alone. Within a key each fingerprint meets the smallest one only, by an aggregate joined back: rows grow with the number
-    of keys, never with its square, and texts that miss each other under one key have the others.
+    them the sets of shingles are compared, which are made for the texts of such pairs alone.
     """
-    keyed = nodes.select("fp", F.explode("keys").alias("key"))
-    shared_keys = keyed.groupBy("key").agg(F.min("fp").alias("v"), F.max("fp").alias("most")).where("v < most").select("key", "v")
-    met = keyed.join(shared_keys, "key").where("fp <> v").select(F.col("fp").alias("u"), "v").distinct()
-    wide = nodes.select("fp", "wide")
-    met = met.join(wide.select(F.col("fp").alias("u"), F.col("wide").alias("a")), "u").join(wide.select(F.col("fp").alias("v"), F.col("wide").alias("b")), "v")
+    wide = nodes.select("node", "wide")
+    met = pairs.join(wide.toDF("u", "a"), "u").join(wide.toDF("v", "b"), "v")
     bits = F.expr("aggregate(zip_with(a, b, (x, y) -> bit_count(x ^ y)), 0, (n, x) -> n + x)")
     met = met.select("u", "v", bits.alias("bits")).where(f"bits <= {limit(similarity, FAR)}")
     met, sure = stored(met, "met"), f"bits <= {limit(similarity, -NEAR)}"
     open_ = met.where(f"NOT ({sure})").select("u", "v")
-    wanted = open_.select(F.explode(F.array("u", "v")).alias("fp")).distinct().join(nodes.select("fp", "row"), "fp")
+    spots = stored(by_neighbours(open_), "spots")
+    wanted = spots.select("node").join(nodes.select("node", "row"), "node")
     sets = stored(shingle_sets(docs, id, text, words, wanted), "sets")
-    pairs = open_.join(sets.select(F.col("fp").alias("u"), F.col("shingles").alias("a")), "u").join(sets.select(F.col("fp").alias("v"), F.col("shingles").alias("b")), "v")
-    checked = pairs.select("u", "v", "a", "b").mapInArrow(similar_sets(similarity), "u long, v long")
+    work = open_.join(spots.toDF("u", "x"), "u").join(spots.toDF("v", "y"), "v")
+    work = stored(work.select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y"), "u", "v"), "work")
+    needs = work.select("x", "y", F.explode(F.array("u", "v")).alias("node")).distinct().join(sets, "node")
+    needs = needs.groupBy("x", "y").agg(F.collect_list(F.struct("node", "shingles")).alias("sets"))
+    work = work.groupBy("x", "y").agg(F.collect_list(F.struct("u", "v")).alias("pairs")).join(needs, ["x", "y"])
+    checked = work.select("pairs", "sets").mapInArrow(similar_sets(similarity), "u long, v long")
     return met.where(sure).select("u", "v").union(checked)
 
 
+def key_pairs(nodes: DataFrame) -> DataFrame:
+    """Pairs of nodes that share the key of a sample. Within a key each node meets the smallest one only, by an
+    aggregate joined back: rows grow with the number of keys, never with its square."""
+    keyed = nodes.select("node", F.explode("keys").alias("key"))
+    shared_keys = keyed.groupBy("key").agg(F.min("node").alias("v"), F.max("node").alias("most")).where("v < most").select("key", "v")
+    return keyed.join(shared_keys, "key").where("node <> v").select(F.col("node").alias("u"), "v").distinct()
+
+
+def index_pairs(nodes: DataFrame, groups: DataFrame, radius: int) -> DataFrame:
+    """Pairs of nodes of different groups whose fingerprints the index finds within ``radius`` bits."""
+    marked = nodes.select("node", "fp").join(groups, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    label = F.when(F.min("component") == F.max("component"), F.min("component")).otherwise(F.xxhash64("fp"))
+    close = gray_pairs(marked.groupBy("fp").agg(label.alias("label")), radius)
+    close = close.join(marked.toDF("u", "f", "p"), "f").join(marked.toDF("v", "g", "q"), "g").where("p <> q")
+    return close.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
+
+
+def similar_links(nodes: DataFrame, docs: DataFrame, id: str, text: str, words: int, similarity: float, radius: int) -> DataFrame:
+    """Edges that connect nodes whose texts have the similarity: pairs that meet under a key first, then what the
+    Gray-order index finds between the groups that these leave."""
+    first = stored(verified(key_pairs(nodes), nodes, docs, id, text, words, similarity), "links")
+    groups = stored(components(first), "groups")
+    rest = index_pairs(nodes, groups, radius)
+    return first.union(verified(rest, nodes, docs, id, text, words, similarity))
+
+
 def keep_one(docs: DataFrame, id: str = "doc_id", text: str = "text", words: int = 5, similarity: float = 0.8, radius: int = 2) -> DataFrame:
     """``docs``, all columns, with one row of each group of near duplicates: the one with the smallest id.
 
-    Fingerprints of the distinct shingles are linked within ``radius`` bits by the Gray-order index; texts of the given
-    similarity, whose fingerprints are often farther apart, by samples of their shingles, checked with a
+    Texts are compared whose fingerprints of the distinct shingles the Gray-order index finds within ``radius`` bits, and
+    texts that share samples of their shingles; they are linked when they have the similarity, checked with a
     fingerprint of ``WIDE`` lanes and, where that is not clear, with the shingles themselves. NULL texts and texts without words are copies of each other. Rows with a NULL id go
     last; of repeated rows one stays. An empty table stays empty.
     """
-    marked = stored(signatures(docs, id, text, words), "signatures")
-    nodes = marked.groupBy("fp").agg(F.min(F.struct("wide", "keys", "row")).alias("s")).select("fp", "s.wide", "s.keys", "s.row")
-    links = gray_links(marked, radius).union(similar_links(stored(nodes, "nodes"), docs, id, text, words, similarity))
-    groups = components(links).withColumnRenamed("node", "fp")
-    rows = marked.select("doc_id", "row", "fp").join(groups, "fp", "left").withColumn("component", F.coalesce("component", "fp"))
+    marked = stored(signatures(docs, id, text, words), "signatures").withColumn("node", F.col("fp"))
+    nodes = marked.groupBy("node").agg(F.min(F.struct("wide", "keys", "row", "fp")).alias("s")).select("node", "s.*")
+    groups = components(similar_links(stored(nodes, "nodes"), docs, id, text, words, similarity, radius))
+    rows = marked.select("doc_id", "row", "node").join(groups, "node", "left").withColumn("component", F.coalesce("component", "node"))
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row"))
     chosen = rows.groupBy("component").agg(first.alias("first")).select(F.col("first.row").alias("chosen_row"))
     row = F.xxhash64(docs[id], docs[text])

@@ -126,3 +126,48 @@ def test_rows_and_columns_survive_unchanged(spark, sf):
     kept = simhash.keep_one(docs)
     assert kept.schema == docs.schema
     assert kept.join(docs, docs.columns, "left_semi").count() == kept.count() > 0
+
+
+def shares_a_passage(seed, texts, length, part, copies):
+    """Texts with one long passage in common, all pairs below 0.8, and copies of some of them with one word changed."""
+    rng = np.random.default_rng(seed)
+    passage, rows = words(rng, int(length * part)), []
+    for k in range(texts):
+        rows.append((k, passage + [f"own{k}x{i}" for i in range(length - len(passage))]))
+    for k in range(copies):
+        other = list(rows[k][1])
+        for at in (5 + k % 50, length // 2 + k % 70):
+            other[at] = f"changed{k}"
+        rows.append((10_000 + k, other))
+    return [(i, " ".join(t)) for i, t in rows]
+
+
+def plain_similar(rows, similarity=0.8):
+    """Smallest id of each group, from all pairs of sets of shingles."""
+    ids = [i for i, _ in rows]
+    sets = [set(simhash.shingle_hashes((t or "").encode(), 5).tolist()) for _, t in rows]
+    label = list(range(len(rows)))
+
+    def find(i):
+        while label[i] != i:
+            i = label[i]
+        return i
+
+    for i in range(len(rows)):
+        for j in range(i):
+            both = len(sets[i] & sets[j])
+            if both >= similarity * (len(sets[i]) + len(sets[j]) - both):
+                a, b = find(i), find(j)
+                label[max(a, b)] = min(a, b)
+    least = {}
+    for i, k in enumerate(ids):
+        least[find(i)] = min(k, least.get(find(i), k))
+    return set(least.values())
+
+
+def test_close_fingerprints_below_the_similarity_stay(spark):
+    rows = shares_a_passage(11, 500, 600, 0.86, 0)
+    marks = np.array([simhash.signature(t.encode(), 5)[0][0] for _, t in rows])
+    assert (np.bitwise_count(marks[:, None] ^ marks[None, :]) <= 2).sum() > len(rows)  # the index finds pairs
+    kept = sorted(r.doc_id for r in simhash.keep_one(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    assert kept == sorted(plain_similar(rows)) == list(range(500))
