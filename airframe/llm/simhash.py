@@ -392,14 +392,29 @@ def verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, id: str, text:
     return met.where(sure).select("u", "v").union(checked)
 
 
-def key_pairs(nodes: DataFrame) -> DataFrame:
-    """Pairs of nodes that share the key of a sample. Within a key each node meets the smallest one only, by an
-    aggregate joined back: rows grow with the number of keys, never with its square."""
-    keyed = nodes.select("node", F.explode("keys").alias("key"))
+def key_pairs(keyed: DataFrame) -> DataFrame:
+    """Pairs of nodes that share a key, from ``(node, key)``: within a key each node meets the smallest one, by an
+    aggregate joined back."""
     shared_keys = keyed.groupBy("key").agg(F.min("node").alias("v"), F.max("node").alias("most")).where("v < most").select("key", "v")
     return keyed.join(shared_keys, "key").where("node <> v").select(F.col("node").alias("u"), "v").distinct()
 
 
+def other_key_pairs(keyed: DataFrame, groups: DataFrame) -> DataFrame:
+    """All pairs of nodes that share a key and are in different groups.
+
+    Within a key the nodes outside its largest group meet all nodes of other groups, so that a group that is
+    linked already costs no pairs among its own.
+    """
+    marked = keyed.join(groups, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    sizes = marked.groupBy("key", "component").agg(F.count(F.lit(1)).alias("n"))
+    largest = sizes.groupBy("key").agg(F.max(F.struct("n", "component")).alias("most"), F.count(F.lit(1)).alias("parts"))
+    largest = largest.where("parts > 1").select("key", F.col("most.component").alias("largest"))
+    marked = stored(marked.join(largest, "key"), "keyed")
+    outside = marked.where("component <> largest").select("key", F.col("node").alias("x"), F.col("component").alias("p"))
+    met = outside.join(marked.select("key", F.col("node").alias("y"), F.col("component").alias("q")), "key").where("p <> q")
+    return met.select(F.greatest("x", "y").alias("u"), F.least("x", "y").alias("v")).distinct()
+
+
 def index_pairs(nodes: DataFrame, groups: DataFrame, radius: int) -> DataFrame:
     """Pairs of nodes of different groups whose fingerprints the index finds within ``radius`` bits."""
     marked = nodes.select("node", "fp").join(groups, "node", "left").withColumn("component", F.coalesce("component", "node"))
@@ -410,11 +425,16 @@ def index_pairs(nodes: DataFrame, groups: DataFrame, radius: int) -> DataFrame:
 
 
 def similar_links(nodes: DataFrame, docs: DataFrame, id: str, text: str, words: int, similarity: float, radius: int) -> DataFrame:
-    """Edges that connect nodes whose texts have the similarity: pairs that meet under a key first, then what the
-    Gray-order index finds between the groups that these leave."""
-    first = stored(verified(key_pairs(nodes), nodes, docs, id, text, words, similarity), "links")
+    """Edges that connect nodes whose texts have the similarity and share a sample key or are close in the index.
+
+    First each node meets the smallest of each key; then all pairs are compared that share a key, or that the
+    Gray-order index finds, and that these links leave in different groups.
+    """
+    keyed = stored(nodes.select("node", F.explode("keys").alias("key")), "keys")
+    met = stored(key_pairs(keyed), "pairs")
+    first = stored(verified(met, nodes, docs, id, text, words, similarity), "links")
     groups = stored(components(first), "groups")
-    rest = index_pairs(nodes, groups, radius)
+    rest = other_key_pairs(keyed, groups).union(index_pairs(nodes, groups, radius)).distinct().join(met, ["u", "v"], "left_anti")
     return first.union(verified(rest, nodes, docs, id, text, words, similarity))
 
 

@@ -129,15 +129,15 @@ def test_rows_and_columns_survive_unchanged(spark, sf):
 
 
 def shares_a_passage(seed, texts, length, part, copies):
-    """Texts with one long passage in common, all pairs below 0.8, and copies of some of them with one word changed."""
+    """Texts with one long passage in common, all pairs below 0.8, and copies of some of them that stay just above it."""
     rng = np.random.default_rng(seed)
     passage, rows = words(rng, int(length * part)), []
     for k in range(texts):
         rows.append((k, passage + [f"own{k}x{i}" for i in range(length - len(passage))]))
     for k in range(copies):
         other = list(rows[k][1])
-        for at in (5 + k % 50, length // 2 + k % 70):
-            other[at] = f"changed{k}"
+        for at in rng.choice(length // 6, length // 50, replace=False):
+            other[6 * at] = f"changed{k}"
         rows.append((10_000 + k, other))
     return [(i, " ".join(t)) for i, t in rows]
 
@@ -171,3 +171,10 @@ def test_close_fingerprints_below_the_similarity_stay(spark):
     assert (np.bitwise_count(marks[:, None] ^ marks[None, :]) <= 2).sum() > len(rows)  # the index finds pairs
     kept = sorted(r.doc_id for r in simhash.keep_one(spark.createDataFrame(rows, "doc_id long, text string")).collect())
     assert kept == sorted(plain_similar(rows)) == list(range(500))
+
+
+def test_all_texts_under_one_key_are_compared(spark):
+    rows = shares_a_passage(14, 400, 300, 0.85, 300)
+    want = sorted(plain_similar(rows))
+    kept = sorted(r.doc_id for r in simhash.keep_one(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    assert kept == want and len(want) == 400
