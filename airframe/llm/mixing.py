@@ -9,6 +9,9 @@ one period is worked out by a fold, and a row finds its slot from the number of
 
 from __future__ import annotations
 
+from fractions import Fraction
+from math import gcd, lcm
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -28,14 +31,16 @@ FOLD = f"""aggregate(sequence(0L, period - 1),
     s -> s.picks)"""
 
 
-def schedule(weights: DataFrame, resolution: int = RESOLUTION) -> DataFrame:
+def schedule(weights: DataFrame, resolution: int | None = RESOLUTION) -> DataFrame:
     """``(source_key, share, period, turn, slot)``: in which slots of a period a source has its turns.
 
     ``weights`` has ``source_key`` and a whole ``weight`` of 0 or more; a source gets its part of ``resolution``
-    slots, rounded down, and at least one. The result has a row for each slot of one period, whatever the size of the data.
+    slots, rounded down, and at least one. None stands for the first multiple of the sum of the weights that is not
+    below ``RESOLUTION``, at which nothing is rounded. The result has a row for each slot of one period, whatever the size of the data.
     """
     total = F.greatest(F.sum("weight").over(Window.partitionBy()), F.lit(1))
-    shares = weights.select("source_key", F.greatest(F.lit(1), F.floor(F.col("weight") * resolution / total)).cast("long").alias("share"))
+    slots = F.lit(resolution) if resolution is not None else total * F.ceil(F.lit(RESOLUTION) / total)
+    shares = weights.select("source_key", F.greatest(F.lit(1), F.floor(F.col("weight") * slots / total)).cast("long").alias("share"))
     row = shares.agg(F.array_sort(F.collect_list(F.struct("source_key", "share"))).alias("sources"), F.sum("share").alias("period"))
     row = row.where("period > 0").withColumn("q", F.expr("sources.share"))
     turns = row.select("sources", "period", F.posexplode(F.expr(FOLD)).alias("slot", "i"))
@@ -60,14 +65,24 @@ def numbered(rows: DataFrame) -> DataFrame:
 
 
 def weights_of(rows: DataFrame, weights: dict | None) -> DataFrame:
-    """Whole weights per source key: the given ones, or the root of the source's rows (small sources gain)."""
+    """Whole weights per source key: the given ones, in the same proportion, or the root of the source's rows (small
+    sources gain)."""
     counts = rows.groupBy("source_key").agg(F.count(F.lit(1)).alias("n"))
     if weights is None:
         return counts.select("source_key", F.floor(F.sqrt("n")).cast("long").alias("weight"))
-    given = [f"WHEN source_key = {quoted(key_text(k))} THEN {int(w)}L" for k, w in weights.items()]
+    given = [f"WHEN source_key = {quoted(key_text(k))} THEN {w}L" for k, w in whole(weights).items()]
     return counts.select("source_key", F.expr(f"CASE {' '.join(given)} ELSE 0L END" if given else "0L").alias("weight"))
 
 
+def whole(weights: dict) -> dict:
+    """The weights as the smallest whole numbers in the same proportion; fractions count as they are written."""
+    exact = {k: Fraction(str(w)) for k, w in weights.items()}
+    unit = lcm(*(w.denominator for w in exact.values()))
+    parts = {k: int(w * unit) for k, w in exact.items()}
+    common = gcd(*parts.values()) or 1
+    return {k: n // common for k, n in parts.items()}
+
+
 def key_text(source) -> str:
     return "-" if source is None else f"+{source}"
 
@@ -76,11 +91,13 @@ def quoted(text: str) -> str:
     return "'" + text.replace("\\", "\\\\").replace("'", "\\'") + "'"
 
 
-def mix(docs: DataFrame, id="doc_id", source="source", weights: dict | None = None, resolution=RESOLUTION, block_rows=BLOCK_ROWS) -> DataFrame:
+def mix(docs: DataFrame, id="doc_id", source="source", weights: dict | None = None, resolution: int | None = None, block_rows=BLOCK_ROWS) -> DataFrame:
     """All rows of ``docs`` with ``block``, ``slot`` and ``offset``; ordered by slot and offset they are the mixture.
 
     Every row comes exactly once. While all sources last, each is less than one block off its weight after any
     slot; the slots of a source that has run out stay empty, so the others go on in the proportion of their weights.
+    Given weights, fractions too, are met exactly unless a ``resolution`` rounds them; without any the roots are rounded
+    to ``RESOLUTION`` slots, as in the SQL twin.
     Sources without a given weight, and weights of 0, get one slot a period. NULL is a source of its own, NULL ids
     come as one. The rows of a source come in the order of the md5 of their id; repeated rows stay, and which of
     them comes first doesn't matter. An empty table gives no rows. Columns of ``docs`` named like the new ones are
@@ -94,7 +111,7 @@ def mix(docs: DataFrame, id="doc_id", source="source", weights: dict | None = No
     key = F.col(f"c{place['source_key']}").cast("string")
     rows = plain.withColumn("mix_id", F.col(f"c{place['mix_id']}")).withColumn("source_key", F.when(key.isNull(), "-").otherwise(F.concat(F.lit("+"), key)))
     rows = rows.withColumn("tie", F.xxhash64(*[F.col(f"c{k}") for k in range(len(kept))]))
-    turns = schedule(weights_of(rows, weights), resolution)
+    turns = schedule(weights_of(rows, weights), RESOLUTION if resolution is None and weights is None else resolution)
     lengths = turns.select("source_key", "share", "period").distinct()
     placed = numbered(rows).withColumn("block", F.expr(f"number div {block_rows}")).withColumn("offset", F.col("number") % block_rows)
     placed = placed.join(lengths, "source_key").withColumn("turn", F.col("block") % F.col("share"))

@@ -30,6 +30,17 @@ def test_no_source_is_a_block_off_its_weight(spark):
     assert mixing.mix(docs.limit(0)).collect() == []
 
 
+@pytest.mark.parametrize("weights", [{"a": 7, "b": 3, "c": 1}, {"a": 0.7, "b": 0.3, "c": 0.1}])
+def test_given_weights_are_met_at_default_settings(spark, weights):
+    rows = [(i, s) for s, n in {"a": 9000, "b": 4000, "c": 1500}.items() for i in range(n)]
+    got = mixing.mix(spark.createDataFrame(rows, "doc_id long, source string"), weights=weights, block_rows=1).collect()
+    last = min(max(r.slot for r in got if r.source == s) for s in weights)  # as long as all sources last
+    assert last > 10_000
+    for source, weight in weights.items():
+        done = np.searchsorted(sorted(r.slot for r in got if r.source == source), np.arange(last + 1), "right")
+        assert np.abs(done - (np.arange(last + 1) + 1) * weight / sum(weights.values())).max() < 1
+
+
 def test_mixture_of_repeated_rows_and_null_ids(spark):
     docs = spark.createDataFrame([(1, "s", "t")] * 40 + [(None, "s", None)] * 7 + [(2, None, "u")] * 3, "doc_id long, source string, text string")
     got = mixing.mix(docs, block_rows=4)
