@@ -12,8 +12,18 @@ from pyspark.sql import functions as F
 
 from airframe.llm.common import pick, query, table
 
-#: Lines that name a holder or a year, which differ from copy to copy.
+#: The SQL twin's lines that name a holder or a year.
 COPYRIGHT = "(?m)^[ \\t]*(?:copyright|\\(c\\)|©|all rights reserved)[^\\n]*$"
+#: Lines that name a holder or a year, which differ from copy to copy; with a sign or a year they may stand
+#: anywhere. Without, they begin or end a paragraph and go on with none of the words that follow in a licence's sentence.
+BLANK_BEFORE, BLANK_AFTER = "(?<=\\A|\\n[ \\t\\r]{0,9}\\n)", "(?=\\z|\\n[ \\t\\r]*(?:\\n|\\z))"
+GOES_ON = "(?!(?:and|as|disclaimers?|holders?|in|interests?|laws?|licen[cs]es?|notices?|of|or|owners?|permissions?|protection|rights?|statements?|to|treat(?:y|ies))\\b)"
+HOLDERS = [
+    "(?m)^[ \\t]*(?:(?:copyright|\\(c\\))[ \\t,:]*(?:\\(c\\)|©|copyright|[0-9]{4})[^\\n]*|©[^\\n]*|all rights reserved[^\\p{L}\\p{N}\\n]*)$",
+    f"(?m)^(?=[ \\t]*copyright){BLANK_BEFORE}(?:[ \\t]*copyright[ \\t:]+{GOES_ON}[\\p{{L}}\\p{{N}}<\\[][^\\n]*\\n?)+",
+    f"(?m)^[ \\t]*copyright[ \\t:]+{GOES_ON}[\\p{{L}}\\p{{N}}<\\[][^\\n]*{BLANK_AFTER}",
+    f"(?m)^(?=[ \\t]*\\(c\\)){BLANK_BEFORE}[ \\t]*\\(c\\)(?:[ \\t]+[^\\s]+){{0,7}}[ \\t]+[^\\s]*[^\\s;,:]{BLANK_AFTER}",
+]
 #: Spellings that count as equal, applied in this order to the words of a text.
 SPELLINGS = [
     ("licence", "license"),
@@ -123,7 +133,9 @@ KNOWN = [
 
 def canonical(text: Column) -> Column:
     """Canonical form of a text: words of letters and digits with one blank between them, a blank at both ends."""
-    c = F.regexp_replace(F.lower(text), COPYRIGHT, " ")
+    c = F.lower(text)
+    for lines in HOLDERS:
+        c = F.regexp_replace(c, lines, " \n")
     c = F.regexp_replace(c, "[^\\p{L}\\p{N}]+", " ")
     c = F.concat(F.lit(" "), F.trim(c), F.lit(" "))
     for other, usual in SPELLINGS:

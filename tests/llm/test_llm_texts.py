@@ -1,6 +1,7 @@
 """Repeated strings, decontamination, language, licences and chat next to plain versions."""
 
 import hashlib
+import textwrap
 from collections import Counter
 
 import numpy as np
@@ -158,6 +159,22 @@ def test_licences_of_texts_and_lines(spark):
     assert licences.scan(docs.limit(0), own).collect() == []
 
 
+def test_known_licences_in_any_wrapping(spark):
+    heads = ["", "Copyright (c) 2020 Some One\nAll rights reserved.\n\n", "Copyright Some One\nCopyright Some Body\n\n", "(c) Some One\n\n", "© Some One\n\n"]
+    rows = []
+    for name, text in licences.KNOWN:
+        for width in (25, 40, 60, 72, 79, 100, 10_000):
+            for head in heads:
+                body = "\n\n".join(textwrap.fill(" ".join(p.split()), width, break_long_words=False) for p in text.split("\n\n"))
+                rows.append((len(rows), head + body, name))
+    breaks = "provided that the above\ncopyright notice and this permission notice appear in all copies."
+    rows.append((len(rows), licences.ISC.replace("provided\nthat the above copyright notice and this permission notice appear in all copies.", breaks), "ISC"))
+    assert breaks in rows[-1][1]
+    docs = spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string")
+    got = {r.doc_id: r.licence for r in licences.scan(docs, licences.known_digests(spark)).collect()}
+    assert [(i, t, got[i]) for i, t, name in rows if got[i] != name] == []
+
+
 def turns(*pairs):
     return [{"role": r, "text": t} for r, t in pairs]
 
