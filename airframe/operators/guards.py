@@ -324,3 +324,21 @@ def guard_event(df: DataFrame, stage: str, passed: str = "passed", violations: s
             "event_details": F.array_join(F.col(details), "; "),
         }
     )
+
+
+def event_record(events: DataFrame, ts: str, question: str) -> DataFrame:
+    """The log record of each event made by ``guard_event``: when, what, and a digest of the question in place of its text.
+
+    Records of one question, from both stages, share the digest. A NULL question has none.
+    """
+    score = F.col("confidence_score") if "confidence_score" in events.columns else F.lit(None)
+    return events.select(
+        "event_type",
+        F.col(ts).cast("timestamp").alias("ts"),
+        "stage",
+        "rule_triggered",
+        "violations",
+        F.col("event_details").alias("details"),
+        score.cast("double").alias("confidence_score"),
+        F.sha2(F.col(question), 256).alias("query_hash"),
+    )

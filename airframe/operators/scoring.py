@@ -12,6 +12,7 @@ from pyspark.sql import types as T
 
 from airframe import schemas
 from airframe.functions.columns import as_col, cosine_similarity, labels_where
+from airframe.functions.stem import stems
 
 
 def tokens(text: Column | str) -> Column:
@@ -38,9 +39,17 @@ def _common_subsequence(left: pd.Series, right: pd.Series) -> pd.Series:
     return pd.Series([one(a, b) for a, b in zip(left, right)], dtype="int64")
 
 
-def rouge_l(df: DataFrame, generated: str, reference: str, name: str = "rouge_l") -> DataFrame:
-    """Add the F1 of the longest common token subsequence; 0 when either text has no token."""
-    toks = df.withColumns({"_g": F.coalesce(tokens(generated), F.array().cast("array<string>")), "_r": F.coalesce(tokens(reference), F.array().cast("array<string>"))})
+def rouge_l(df: DataFrame, generated: str, reference: str, name: str = "rouge_l", stemmed: bool = True) -> DataFrame:
+    """Add the F1 of the longest common token subsequence; 0 when either text has no token.
+
+    Tokens over three letters are compared by their stems, unless ``stemmed`` is off.
+    """
+
+    def words(c: str) -> Column:
+        found = F.coalesce(tokens(c), F.array().cast("array<string>"))
+        return stems(found) if stemmed else found
+
+    toks = df.withColumns({"_g": words(generated), "_r": words(reference)})
     scored = toks.withColumn("_lcs", _common_subsequence("_g", "_r").cast("double"))
     p = F.try_divide(F.col("_lcs"), F.size("_g"))
     r = F.try_divide(F.col("_lcs"), F.size("_r"))

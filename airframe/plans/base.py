@@ -370,14 +370,14 @@ CLAIMS = [
 def questions(spark: SparkSession, sf: str) -> DataFrame:
     """User turns, each followed by a phrase on a line of its own; every third is the phrase alone."""
     c = texts(spark, sf, "conversations").filter(F.col("role") == "user")
-    phrase = _choice(F.pmod(F.col("conv_id") * 7 + F.col("turn"), F.lit(len(PHRASES))), PHRASES)
-    return c.select(
-        "conv_id",
-        "turn",
-        F.when((F.col("conv_id") + F.col("turn")) % 3 == 0, phrase)
-        .otherwise(F.concat(F.col("text"), F.lit("\n"), phrase))
-        .alias("question"),
-    )
+    return c.select("conv_id", "turn", asked().alias("question"))
+
+
+def asked(side: str = "") -> Column:
+    """The question of a user turn, from the columns of that side of a join."""
+    conv, turn, text = (F.col(side + c) for c in ("conv_id", "turn", "text"))
+    phrase = _choice(F.pmod(conv * 7 + turn, F.lit(len(PHRASES))), PHRASES)
+    return F.when((conv + turn) % 3 == 0, phrase).otherwise(F.concat(text, F.lit("\n"), phrase))
 
 
 def _phrase_sql(index: str, values: list[str]) -> str:
@@ -395,10 +395,17 @@ def answers(spark: SparkSession, sf: str) -> DataFrame:
     c = table(spark, sf, "conversations")
     a = c.filter(F.col("role") == "assistant").alias("a")
     u = c.filter(F.col("role") == "user").alias("u")
-    joined = a.join(u, (F.col("a.conv_id") == F.col("u.conv_id")) & (F.col("a.turn") == F.col("u.turn") + 1))
+    return a.join(u, F.expr(FOLLOWS)).select(*answer_columns())
+
+
+#: An answer follows its question by one turn; the sides of the join are called ``a`` and ``u``.
+FOLLOWS = "a.conv_id = u.conv_id AND a.turn = u.turn + 1"
+
+
+def answer_columns() -> list[Column]:
     n = F.col("a.conv_id") + F.col("a.turn")
     own = F.concat(F.lit("src"), (F.col("a.conv_id") % 20).cast("string"))
-    return joined.select(
+    return [
         F.col("a.conv_id").alias("conv_id"),
         F.col("a.turn").alias("turn"),
         F.concat(F.col("a.text"), F.lit(" "), _choice(F.pmod(F.col("a.conv_id") * 5 + F.col("a.turn"), F.lit(len(CLAIMS))), CLAIMS)).alias("answer"),
@@ -412,7 +419,7 @@ def answers(spark: SparkSession, sf: str) -> DataFrame:
         _choice(F.col("a.conv_id") % 4, ["high", "Medium", "LOW", ""]).alias("confidence"),
         F.col("a.text").alias("raw_answer"),
         F.col("u.text").alias("raw_question"),
-    )
+    ]
 
 
 ANSWERS_SQL = f"""answers AS (SELECT a.conv_id, a.turn,

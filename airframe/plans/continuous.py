@@ -75,43 +75,78 @@ def stream_rates(spark: SparkSession, sf: str) -> DataFrame:
     return streams.latest_updates(rates, out, ["window_start", "model"], ["increase", "rate"])
 
 
+_AT = "TIMESTAMP '2024-01-01' + to_seconds(CAST(300 * conv_id + turn AS INTEGER))"
+RECORDS_SQL = f"""{EVENTS_OF_GUARDS_SQL}, records AS (SELECT e.*, {_AT.replace('conv_id', 'e.conv_id').replace('turn', 'e.turn')} AS ts, sha256(q.question) AS query_hash
+  FROM gevents e JOIN questions q ON q.conv_id = e.conv_id AND q.turn = CASE WHEN e.stage = 'input' THEN e.turn ELSE e.turn - 1 END)"""
+
+
+def _records(spark: SparkSession, turns: DataFrame, pair) -> DataFrame:
+    """Log records of both stages from conversation turns, table or stream; five minutes for each conversation."""
+    turns = turns.select("*", F.timestamp_seconds(F.lit(1704067200) + F.col("conv_id") * 300 + F.col("turn")).alias("ts"))
+    u, a = turns.filter(F.col("role") == "user"), turns.filter(F.col("role") == "assistant")
+    questions = guards.input_guard(u.select("conv_id", "turn", "ts", B.asked().alias("question")), "question")
+    asked = guards.event_record(guards.guard_event(questions, "input", sanitized="sanitized"), "ts", "question")
+    both = pair(a, u).select(*B.answer_columns(), F.col("a.ts").alias("ts"), B.asked("u.").alias("question"))
+    judged = guards.output_guard(both, "answer", "context", "sources", "claimed", "confidence")
+    return asked.unionByName(guards.event_record(guards.guard_event(judged, "output"), "ts", "question"))
+
+
+@query(
+    "guard_event_log",
+    f"""WITH {RECORDS_SQL} SELECT event_type, {TS('ts')} AS ts, stage, split_part(violations, '|', 1) AS rule_triggered, violations,
+    replace(details, '|', '; ') AS details, {R('confidence_score')} AS confidence_score, query_hash FROM records""",
+)
+def guard_event_log(spark: SparkSession, sf: str) -> DataFrame:
+    """Questions and answers arrive as two streams; every check of either is appended to one log."""
+    log = spark.read.schema(schemas.GUARD_EVENT).parquet(_logged(spark, sf))
+    return log.withColumn("violations", F.array_join("violations", "|"))
+
+
+def _logged(spark: SparkSession, sf: str) -> str:
+    """The folder of the log."""
+    records = _records(spark, _stream(spark, sf, "conversations"), lambda a, u: streams.stream_pairs(a, u, B.FOLLOWS))
+    out, mark = new_path(spark, "guard-log"), new_path(spark, "mark")
+    streams.run_to_folder(records, out, mark)
+    return out
+
+
 @query(
     "stream_guard_counts",
-    f"""WITH {EVENTS_OF_GUARDS_SQL} SELECT {TS("TIMESTAMP '2024-01-01' + to_minutes(CAST(5 * conv_id AS INTEGER))")} AS window_start, stage,
-    CASE WHEN NOT passed THEN 'blocked' WHEN sanitized THEN 'sanitized' ELSE 'passed' END AS result, count(*) AS n FROM gevents WHERE stage = 'input' GROUP BY 1, 2, 3""",
+    f"""WITH {RECORDS_SQL}, facts AS (SELECT time_bucket(INTERVAL 5 MINUTE, ts) AS t0, stage, 'result' AS kind, CASE WHEN NOT passed THEN 'blocked' WHEN sanitized THEN 'sanitized' ELSE 'passed' END AS value FROM records
+    UNION ALL SELECT time_bucket(INTERVAL 5 MINUTE, ts), stage, 'violation', unnest(string_split(violations, '|')) FROM records WHERE violations <> '')
+    SELECT {TS('t0')} AS window_start, stage, kind, value, count(*) AS n FROM facts GROUP BY 1, 2, 3, 4""",
 )
 def stream_guard_counts(spark: SparkSession, sf: str) -> DataFrame:
-    """Questions arrive (five minutes per conversation), are checked on the way and counted."""
-    c = _stream(spark, sf, "conversations").filter(F.col("role") == "user")
-    phrase = B._choice(F.pmod(F.col("conv_id") * 7 + F.col("turn"), F.lit(len(B.PHRASES))), B.PHRASES)
-    asked = c.select(
-        F.timestamp_seconds(F.lit(1704067200) + F.col("conv_id") * 300 + F.col("turn")).alias("ts"),
-        F.when((F.col("conv_id") + F.col("turn")) % 3 == 0, phrase).otherwise(F.concat("text", F.lit("\n"), phrase)).alias("question"),
-    )
-    checked = guards.input_guard(asked, "question").select("ts", F.lit("input").alias("stage"), "passed", F.col("sanitized").isNotNull().alias("was_sanitized"))
+    """The log of both stages, itself read as a stream, counted by result and by violation."""
+    records = streams.table_stream(spark, _logged(spark, sf), schemas.GUARD_EVENT)
     out, mark = new_path(spark, "guards"), new_path(spark, "mark")
-    changes = streams.stream_guard_counts(checked, "ts")
+    changes = streams.stream_guard_counts(records)
     streams.run_updates_to_folder(changes, out, mark)
-    return streams.latest_updates(changes, out, ["window_start", "stage", "result"], ["n"]).select("window_start", "stage", "result", F.col("n").alias("n"))
+    return streams.latest_updates(changes, out, ["window_start", "stage", "kind", "value"], ["n"])
 
 
 @query(
     "stream_safety",
-    f"""WITH {EVENTS_SQL}, m AS (SELECT 'stage-' || CAST(user_id % 40 AS VARCHAR) AS stage, max(event_id) FILTER (WHERE event_type = 'error' AND k < 50) AS b, max(event_id) FILTER (WHERE event_type = 'signup' AND k < 50) AS r FROM ev GROUP BY 1)
-    SELECT stage, CASE WHEN b IS NOT NULL AND (r IS NULL OR b > r) THEN 0 ELSE 1 END AS status FROM m""",
+    f"""WITH {EVENTS_SQL}, m AS (SELECT 'stage-' || CAST(user_id % 40 AS VARCHAR) AS stage, max(event_id) FILTER (WHERE event_type = 'error' AND k < 50) AS b, max(event_id) FILTER (WHERE event_type = 'signup' AND k < 50) AS r,
+      count(*) AS events, list(event_id ORDER BY event_id DESC)[1:10] AS recent FROM ev GROUP BY 1)
+    SELECT stage, CASE WHEN b IS NOT NULL AND (r IS NULL OR b > r) THEN 0 ELSE 1 END AS status, events, array_to_string(recent, ',') AS recent FROM m""",
 )
 def stream_safety(spark: SparkSession, sf: str) -> DataFrame:
+    """Keyed state: status, number of events and the last ten of each stage."""
     log = _log(spark, sf)
     ev = log.select(
         F.concat(F.lit("stage-"), (F.col("user_id") % 40).cast("string")).alias("stage"),
+        "ts",
         F.col("event_id").alias("at"),
         ((F.col("event_type") == "error") & (F.col("k") < 50)).alias("blocked"),
         ((F.col("event_type") == "signup") & (F.col("k") < 50)).alias("reset"),
     )
     out, mark = new_path(spark, "safety"), new_path(spark, "mark")
-    changes = streams.stream_safety(ev)
-    streams.run_updates_to_folder(changes, out, mark)
-    return streams.latest_updates(changes, out, ["stage"], ["status"])
+    changes = streams.stream_safety(ev, retention=10 * 366 * 86_400)  # stages of the whole table are asked for
+    with streams.with_rocksdb(spark):
+        streams.run_updates_to_folder(changes, out, mark)
+    now = streams.latest_updates(changes, out, ["stage"], ["status", "events", "recent"])
+    return now.withColumn("recent", F.array_join(F.col("recent").cast("array<string>"), ","))
 
 
 _BOUNDS = schemas.HISTOGRAM_BOUNDS["llm_request_duration_seconds"]

@@ -8,6 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from airframe.functions.stem import stem
 from airframe.operators import chunking, guards, retrieval, scoring
 from airframe.plans import base as B
 from airframe.plans import runs, workflows
@@ -320,7 +321,7 @@ def test_text_vectors_find_the_matching_text(spark):
 
 
 def plain_rouge(generated, expected):
-    g, e = (re.findall("[a-z0-9]+", (t or "").lower()) for t in (generated, expected))
+    g, e = ([stem(w) if len(w) > 3 else w for w in re.findall("[a-z0-9]+", (t or "").lower())] for t in (generated, expected))
     line = [0] * (len(e) + 1)
     for w in g:
         new = [0]
