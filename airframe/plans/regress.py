@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from airframe import schemas
-from airframe.operators import forecast, models, ordered
+from airframe.operators import crossval, forecast, models, ordered
 from airframe.plans import base as B
 from airframe.plans import runs
 from airframe.plans.base import CLEAN_SQL, R, query
@@ -111,9 +111,9 @@ def permutation_importance(spark: SparkSession, sf: str, trees: int = 300) -> Da
 
 @query("drop_weak_features")
 def drop_weak_features(spark: SparkSession, sf: str) -> DataFrame:
-    items = _items(spark, sf)
-    folded = ordered.contiguous_folds(items, [], ["l_orderkey", *_KEYS[1:], *_FEATURES, "l_extendedprice"], 5)
-    kept, compared = models.drop_weak_features(folded, _KEYS, _FEATURES, "l_extendedprice", models.train_linear)
+    """The two features that lines miss least, and the held-out error with and without them."""
+    folded = ordered.contiguous_folds(_items(spark, sf), [], ["l_orderkey", *_KEYS[1:], *_FEATURES, "l_extendedprice"], 5)
+    kept, compared = crossval.drop_weak(folded, _FEATURES, "l_extendedprice")
     return compared.withColumn("kept", F.lit(",".join(kept)))
 
 

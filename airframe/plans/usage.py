@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from airframe import schemas
 from airframe.functions import columns as C
-from airframe.operators import models, ordered, telemetry
+from airframe.operators import crossval, models, ordered, telemetry
 from airframe.plans import base as B
 from airframe.plans.base import COSTS_SQL, COUNTERS_SQL, REQUESTS_SQL, SAMPLES_SQL, R, TS, query
 
@@ -339,26 +339,28 @@ def pick_best_model(spark: SparkSession, sf: str) -> DataFrame:
     return models.pick_best_model(rows)
 
 
-_FOLDED = """folded AS (SELECT o_totalprice AS y, ntile(5) OVER (ORDER BY o_orderdate, o_orderkey) - 1 AS fold, o_custkey FROM orders)"""
-_FULL, _REDUCED = "CAST(250000 + o_custkey % 100 AS DOUBLE)", "CAST(240000 AS DOUBLE)"
+_X, _Z, _Y = "l_quantity", "l_discount", "l_extendedprice"
+_LINE_ORDER = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", _X, _Z, _Y]
+#: Normal equations of one and of two features on the rows of the other folds, applied to the fold held out.
+_FOLDED = f"""folded AS (SELECT CAST({_X} AS DOUBLE) AS x, CAST({_Z} AS DOUBLE) AS z, CAST({_Y} AS DOUBLE) AS y, ntile(5) OVER (ORDER BY {", ".join(_LINE_ORDER)}) - 1 AS fold FROM lineitem),
+    t AS (SELECT h.fold, avg(x) AS mx, avg(z) AS mz, avg(y) AS my, var_pop(x) AS xx, var_pop(z) AS zz, covar_pop(x, z) AS xz, covar_pop(x, y) AS xy, covar_pop(z, y) AS zy
+      FROM (SELECT DISTINCT fold FROM folded) h JOIN folded r ON r.fold <> h.fold GROUP BY h.fold),
+    c AS (SELECT *, (xy * zz - zy * xz) / (xx * zz - xz * xz) AS a, (zy * xx - xy * xz) / (xx * zz - xz * xz) AS b, xy / xx AS one FROM t)"""
 
 
 @query(
     "cv_compare",
-    f"""WITH {_FOLDED}, s AS (SELECT fold, avg((y - {_FULL}) * (y - {_FULL})) AS f, avg((y - {_REDUCED}) * (y - {_REDUCED})) AS r FROM folded GROUP BY fold),
+    f"""WITH {_FOLDED}, e AS (SELECT fold, y - (a * (x - mx) + b * (z - mz) + my) AS f, y - (one * (x - mx) + my) AS r FROM folded JOIN c USING (fold)),
+    s AS (SELECT fold, avg(f * f) AS f, avg(r * r) AS r FROM e GROUP BY fold),
     m AS (SELECT avg(f) AS fm, sqrt(avg(f)) AS fr, stddev_pop(f) AS fs, avg(r) AS rm, sqrt(avg(r)) AS rr, stddev_pop(r) AS rs FROM s)
     SELECT {R('fm / 1e9')} AS full_mse, {R('fr')} AS full_rmse, {R('fs / 1e9')} AS full_mse_std, {R('rm / 1e9')} AS reduced_mse, {R('rr')} AS reduced_rmse, {R('rs / 1e9')} AS reduced_mse_std,
       {R('100 * (rr - fr) / fr')} AS rmse_change_pct FROM m""",
 )
 def cv_compare(spark: SparkSession, sf: str) -> DataFrame:
-    """Five contiguous folds; closed-form predictors in place of fitted ones. Squared errors in 1e9."""
-    o = B.table(spark, sf, "orders").select("o_orderdate", "o_orderkey", F.col("o_totalprice").alias("y"), "o_custkey")
-    folded = ordered.contiguous_folds(o, [], ["o_orderdate", "o_orderkey"], 5)
-    full = (F.lit(250000) + F.col("o_custkey") % 100).cast("double")
-    err = lambda p: F.avg((F.col("y") - p) * (F.col("y") - p)).alias("mse")
-    a = folded.groupBy("fold").agg(err(full))
-    b = folded.groupBy("fold").agg(err(F.lit(240000.0)))
-    out = models.cv_compare(a, b)
+    """Lines fitted on four of five contiguous folds, with two features and with one. Squared errors in 1e9."""
+    folded = ordered.contiguous_folds(B.table(spark, sf, "lineitem").select(_LINE_ORDER), [], _LINE_ORDER, 5)
+    lines = crossval.cv_lines(folded, {"full": [_X, _Z], "reduced": [_X]}, _Y)
+    out = models.cv_compare(*[lines.filter(F.col("features") == n) for n in ("full", "reduced")])
     return out.withColumns({c: F.col(c) / 1e9 for c in ("full_mse", "full_mse_std", "reduced_mse", "reduced_mse_std")})
 
 
