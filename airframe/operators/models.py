@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from concurrent.futures import ThreadPoolExecutor
 
+from pyspark import inheritable_thread_target
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.feature import StandardScaler, VectorAssembler
 from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRegressor
@@ -45,11 +47,11 @@ def scale_features(df: DataFrame, features: Sequence[str], fit_on: DataFrame | N
 
 
 def train_forest(target: str, trees: int = 300, depth: int = 10, seed: int = 42):
-    return RandomForestRegressor(featuresCol=FEATURES, labelCol=target, numTrees=trees, maxDepth=depth, seed=seed)
+    return RandomForestRegressor(featuresCol=FEATURES, labelCol=target, numTrees=trees, maxDepth=depth, seed=seed, cacheNodeIds=True, checkpointInterval=10, maxMemoryInMB=512)
 
 
 def train_gbt(target: str, rounds: int = 300, depth: int = 3, step: float = 0.1, seed: int = 42):
-    return GBTRegressor(featuresCol=FEATURES, labelCol=target, maxIter=rounds, maxDepth=depth, stepSize=step, seed=seed)
+    return GBTRegressor(featuresCol=FEATURES, labelCol=target, maxIter=rounds, maxDepth=depth, stepSize=step, seed=seed, checkpointInterval=10)
 
 
 def train_linear(target: str):
@@ -136,34 +138,51 @@ def pick_best_model(metrics: DataFrame, score: str = "avg_rmse", name: str = "mo
     return metrics.agg(F.min_by(name, best).alias(name), F.min(score).alias(score))
 
 
+#: Rows that a round of boosting takes in one task at least: its rounds are many and short.
+ROUND_ROWS = 50_000
+
+
 def train_and_rank(
-    df: DataFrame, features: Sequence[str], targets: Sequence[str], part: str = "part", trees: int = 300, rounds: int = 300
+    df: DataFrame, features: Sequence[str], targets: Sequence[str], part: str = "part", trees: int = 300, rounds: int = 300, side_by_side: int = 4
 ) -> tuple[DataFrame, dict[str, dict[str, PipelineModel]]]:
     """Fit every estimator per target on the train rows and measure it on the test rows.
 
-    Returns the metrics table (one row per model) and the fitted pipelines. Both parts are materialised
-    once in the shared folder, as every fit reads them.
+    Returns the metrics table (one row per model) and the fitted pipelines. The rows are assembled and materialised
+    once in the shared folder; every fit reads them from there. Fits don't depend on each other, so a few run at a
+    time, each in a scheduler pool of its own, and the short rounds of one fill the gaps of another. All models are
+    measured in one pass over the test rows.
     """
-    shared_folder(df.sparkSession)
-    needed = df.select(*features, *targets, part).checkpoint()
+    spark = df.sparkSession
+    shared_folder(spark)
+    ready = assembler(features)
+    needed = ready.transform(df.select(*features, *targets, part)).checkpoint()
     train, test = needed.filter(F.col(part) == "train"), needed.filter(F.col(part) == "test")
     rows, spread = label_stats(train, targets)
+    few = train.coalesce(max(1, min(train.rdd.getNumPartitions(), -(-rows // ROUND_ROWS))))
     zoos = {t: model_zoo(t, rows, spread[t], trees, rounds) for t in targets}
-    fitted: dict[str, dict[str, PipelineModel]] = {}
-    table = None
-    for ordinal, name in enumerate(zoos[targets[0]]):
-        fitted[name] = {}
-        scored = test
-        pairs = {}
+    names = list(zoos[targets[0]])
+
+    def fit(name: str, target: str):
+        spark.sparkContext.setLocalProperty("spark.scheduler.pool", f"{name}-{target}")
+        estimator = zoos[target][name]
+        return estimator.fit(few if isinstance(estimator, GBTRegressor) else train)
+
+    # Boosting takes longest, so it starts first.
+    work = sorted(((n, t) for n in names for t in targets), key=lambda w: not isinstance(zoos[w[1]][w[0]], GBTRegressor))
+    with ThreadPoolExecutor(side_by_side) as pool:
+        running = {w: pool.submit(inheritable_thread_target(spark)(fit), *w) for w in work}
+        models = {w: f.result() for w, f in running.items()}
+    fitted = {n: {t: PipelineModel(stages=[ready, models[n, t]]) for t in targets} for n in names}
+
+    scored = test
+    for n in names:
         for t in targets:
-            model = fit_one(train, features, zoos[t][name])
-            fitted[name][t] = model
-            kept = scored.columns
-            scored = model.transform(scored).select(*kept, F.col("prediction").alias(f"p_{t}"))
-            pairs[t] = (t, f"p_{t}")
-        line = regression_metrics(scored, pairs).select(F.lit(name).alias("model"), F.lit(ordinal).alias("ordinal"), "*")
-        table = line if table is None else table.unionByName(line)
-    return table, fitted
+            scored = models[n, t].setPredictionCol(f"p_{n}_{t}").transform(scored)
+            models[n, t].setPredictionCol("prediction")
+    scored = scored.select(*targets, *[f"p_{n}_{t}" for n in names for t in targets])
+    lines = [F.struct(F.lit(n).alias("model"), F.lit(i).alias("ordinal"), *[F.col(f"p_{n}_{t}").alias(f"p_{t}") for t in targets]) for i, n in enumerate(names)]
+    told = scored.select(*targets, F.explode(F.array(*lines)).alias("_l")).select(*targets, "_l.*")
+    return regression_metrics(told, {t: (t, f"p_{t}") for t in targets}, ["model", "ordinal"]), fitted
 
 
 def feature_importance(model: PipelineModel, features: Sequence[str], df: DataFrame) -> DataFrame:

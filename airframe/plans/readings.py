@@ -336,7 +336,7 @@ def hour_spine(spark: SparkSession, sf: str) -> DataFrame:
 
 # ---------------------------------------------------------------- aggregates and joins
 
-_FEATURES = ["temperature_2m", "surface_pressure", "pm10", "no2"]
+_FEATURES = [*schemas.POLLUTANTS, *schemas.WEATHER]
 _PATTERN_SQL = f"""{READINGS_SQL},
 spine AS (SELECT DISTINCT station, h.hour FROM readings CROSS JOIN (SELECT unnest(generate_series(0, 23)) AS hour) h),
 overall AS (SELECT station, {", ".join(f"avg({f}) AS {f}" for f in _FEATURES)} FROM readings GROUP BY station),
@@ -487,7 +487,7 @@ def null_summary(spark: SparkSession, sf: str) -> DataFrame:
     return tables.null_summary(o.select("o_orderkey", *[F.expr(e).alias(c) for c, e in _HOLES.items()]))
 
 
-_NUM = ["l_quantity", "l_extendedprice", "l_discount", "l_partkey"]
+_NUM = ["l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_extendedprice", "l_discount", "l_tax"]
 
 
 def _describe_sql(c: str) -> str:

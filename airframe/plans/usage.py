@@ -364,20 +364,29 @@ def cv_compare(spark: SparkSession, sf: str) -> DataFrame:
     return out.withColumns({c: F.col(c) / 1e9 for c in ("full_mse", "full_mse_std", "reduced_mse", "reduced_mse_std")})
 
 
-_BACK = """placed AS (SELECT o_totalprice AS y, CAST(200000 + (o_custkey % 50) * 1000 AS DOUBLE) AS p, row_number() OVER (ORDER BY o_orderdate, o_orderkey) - 1 AS i, count(*) OVER () AS n FROM orders)"""
+#: The line through the first four fifths of the line items, applied to the last fifth.
+_BACK = f"""placed AS (SELECT CAST({_X} AS DOUBLE) AS x, CAST({_Z} AS DOUBLE) AS z, CAST({_Y} AS DOUBLE) AS y, row_number() OVER (ORDER BY {", ".join(_LINE_ORDER)}) - 1 AS i, count(*) OVER () AS n FROM lineitem),
+    h AS (SELECT *, i < floor(CAST(n AS DOUBLE) * CAST(0.8 AS DOUBLE)) AS head FROM placed),
+    t AS (SELECT avg(x) AS mx, avg(z) AS mz, avg(y) AS my, var_pop(x) AS xx, var_pop(z) AS zz, covar_pop(x, z) AS xz, covar_pop(x, y) AS xy, covar_pop(z, y) AS zy FROM h WHERE head),
+    c AS (SELECT *, (xy * zz - zy * xz) / (xx * zz - xz * xz) AS a, (zy * xx - xy * xz) / (xx * zz - xz * xz) AS b FROM t),
+    p AS (SELECT y, a * (x - mx) + b * (z - mz) + my AS p FROM h CROSS JOIN c WHERE NOT head)"""
 
 
 @query(
     "backtest",
-    f"""WITH {_BACK}, t AS (SELECT * FROM placed WHERE i >= floor(CAST(n AS DOUBLE) * CAST(0.8 AS DOUBLE)))
+    f"""WITH {_BACK}
     SELECT {R(_metric_sql('y', 'p')['rmse'])} AS rmse_price, {R(_metric_sql('y', 'p')['mae'])} AS mae_price, {R(_metric_sql('y', 'p')['r2'])} AS r2_price,
       {R(_metric_sql('y', 'p')['rmse'])} AS avg_rmse, {R(_metric_sql('y', 'p')['mae'])} AS avg_mae, {R(_metric_sql('y', 'p')['r2'])} AS avg_r2,
-      {R('avg(abs((y - p) / y)) * 100')} AS mape_price FROM t""",
+      {R('avg(abs((y - p) / y)) * 100')} AS mape_price FROM p""",
 )
 def backtest(spark: SparkSession, sf: str) -> DataFrame:
-    o = B.table(spark, sf, "orders").select(
-        "o_orderdate", "o_orderkey", F.col("o_totalprice").alias("y"), (F.lit(200000.0) + (F.col("o_custkey") % 50) * 1000).cast("double").alias("p")
-    )
-    return models.backtest(o, [], ["o_orderdate", "o_orderkey"], {"price": ("y", "p")})
+    """A line fitted on the first four fifths, measured on the rest."""
+    items = B.table(spark, sf, "lineitem").select(_LINE_ORDER)
+    head = ordered.positional_split(items, [], _LINE_ORDER, 0.8).filter(F.col("side") != "current")
+    (moments,) = crossval.fold_moments(head.withColumn("fold", F.lit(0)), [_X, _Z], _Y).values()
+    coefficients, intercept = crossval.line(moments, [0, 1])
+    p = sum((F.col(c).cast("double") * float(b) for c, b in zip((_X, _Z), coefficients, strict=True)), F.lit(intercept))
+    told = items.withColumns({"y": F.col(_Y).cast("double"), "p": p})
+    return models.backtest(told, [], _LINE_ORDER, {"price": ("y", "p")})
 
 
