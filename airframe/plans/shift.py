@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from airframe.operators import drift, ordered
+from airframe.operators import drift, ordered, sketches
 from airframe.plans import base as B
 from airframe.plans.base import EVENTS_SQL, REQUESTS_SQL, R, query
+from airframe.session import new_path
 
 _SIDED = f"""{EVENTS_SQL}, sided AS (SELECT value, CAST(k AS DOUBLE) AS k, event_type, CAST(station AS VARCHAR) AS station,
   CASE WHEN row_number() OVER (ORDER BY ts, event_id) - 1 < floor(CAST(count(*) OVER () AS DOUBLE) * CAST(0.8 AS DOUBLE)) THEN 'reference' ELSE 'current' END AS side FROM ev)"""
@@ -107,3 +108,52 @@ _USAGE = f"""{REQUESTS_SQL}, usage AS (SELECT latency_seconds, CAST(tokens AS DO
 def usage_drift(spark: SparkSession, sf: str) -> DataFrame:
     r = B.requests(spark, sf).withColumn("side", F.when(F.dayofmonth("ts") <= 20, "reference").otherwise("current"))
     return drift.usage_drift(r, ["latency_seconds", "tokens", "confidence"], ["event_type", "model"])
+
+
+# ---------------------------------------------------------------- stored sketches
+
+_SKETCHED = ["value", "k", "user_id"]
+
+
+def _stored_sketches(spark: SparkSession, sf: str) -> DataFrame:
+    path = new_path(spark, "sketches")
+    sketches.store_day(B.events(spark, sf).withColumn("day", F.to_date("ts")), _SKETCHED, "day", path)
+    return sketches.stored_days(spark, path)
+
+
+def _sketch_sql(c: str) -> str:
+    return f"""SELECT '{c}' AS "column", count({c}) AS count, count(*) - count({c}) AS missing, {R(f'avg({c})')} AS mean, {R(f'stddev_samp({c})')} AS std, {R(f'min({c})')} AS min, {R(f'max({c})')} AS max, true AS quartiles_hold, true AS distinct_holds FROM ev"""
+
+
+@query("sketch_summary", f"WITH {EVENTS_SQL} " + " UNION ALL ".join(_sketch_sql(c) for c in _SKETCHED))
+def sketch_summary(spark: SparkSession, sf: str) -> DataFrame:
+    """Summary of all days from their sketches; the ranks of its quartiles and its distinct counts are held against the rows."""
+    told = sketches.summary(_stored_sketches(spark, sf))
+    quarts = ["q25", "q50", "q75"]
+    values = F.explode(F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).cast("double").alias("x")) for c in _SKETCHED]))
+    rows = B.events(spark, sf).select(values.alias("v")).select("v.*").join(F.broadcast(told.select("column", *quarts)), "column")  # one row per column name
+    below = {q: (F.avg((F.col("x") < F.col(q)).cast("double")), F.avg((F.col("x") <= F.col(q)).cast("double"))) for q in quarts}
+    room = sketches.RANK_ERROR + 1e-9
+    holds = [(lo <= p + room) & (hi >= p - room) for p, (lo, hi) in zip((0.25, 0.5, 0.75), below.values(), strict=True)]
+    seen = rows.groupBy("column").agg((holds[0] & holds[1] & holds[2]).alias("quartiles_hold"), F.count_distinct("x").alias("exact"))
+    near = F.abs(F.col("distinct") - F.col("exact")) <= sketches.DISTINCT_ERROR * F.col("exact") + 1
+    return told.join(seen, "column").select("column", "count", "missing", "mean", "std", "min", "max", "quartiles_hold", near.alias("distinct_holds"))
+
+
+_LAST_DAY = f"""{EVENTS_SQL}, dayed AS (SELECT *, CASE WHEN CAST(ts AS DATE) = (SELECT max(CAST(ts AS DATE)) FROM ev) THEN 'current' ELSE 'reference' END AS side FROM ev)"""
+
+
+@query(
+    "sketch_drift",
+    f"WITH {_LAST_DAY} "
+    + " UNION ALL ".join(f"""SELECT '{c}' AS "column", count({c}) FILTER (WHERE side = 'reference') AS reference_rows, count({c}) FILTER (WHERE side = 'current') AS current_rows, true AS holds FROM dayed""" for c in _SKETCHED),
+)
+def sketch_drift(spark: SparkSession, sf: str) -> DataFrame:
+    """The newest day against all before it from stored sketches, held against the exact statistic."""
+    days = _stored_sketches(spark, sf)
+    last = days.agg(F.max("day")).first()[0]
+    told = sketches.ks_between(days.where(F.col("day") != last), days.where(F.col("day") == last))
+    ev = B.events(spark, sf).withColumn("side", F.when(F.to_date("ts") == F.lit(last), "current").otherwise("reference"))
+    exact = drift.ks_statistic(ev.select("side", *[F.col(c).cast("double").alias(c) for c in _SKETCHED]), _SKETCHED).select("column", "statistic")
+    holds = F.abs(F.col("ks") - F.col("statistic")) <= sketches.KS_ERROR
+    return told.join(exact, "column").select("column", "reference_rows", "current_rows", holds.alias("holds"))
