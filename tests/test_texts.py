@@ -66,6 +66,27 @@ def test_chunk_longer_than_one_block(spark):
     assert chunks_of(spark, text, size=80, overlap=10)[0].startswith("sentence number 0")
 
 
+def plain_chunks(text, size=500, overlap=50):
+    text, start, out = text.strip(), 0, []
+    while start < len(text):
+        end = start + size
+        window = text[start:end]
+        if end < len(text):
+            best = max(window.rfind(". "), window.rfind("\n"))
+            if best > size // 2:
+                end = start + best + 1
+        out.append(text[start:end].strip())
+        start = end - overlap
+    return [x for x in out if x]
+
+
+def test_chunks_of_a_text_of_many_rounds(spark):
+    rng = random.Random(8)
+    text = "".join(rng.choice(["word ", "sentence é ends. ", "line\n", "𝔘𝔫 ", "x" * 90, " "]) for _ in range(60_000))
+    assert len(text) > 256 * 3 * 500
+    assert chunks_of(spark, text) == plain_chunks(text)
+
+
 def test_chunk_table_positions(spark):
     t = texts(spark, ["y" * 1200, "short", ""])
     got = chunking.chunk_table(t.withColumnRenamed("t", "text")).orderBy("id", "chunk_index").collect()
@@ -296,6 +317,23 @@ def test_knn_is_exact(spark, blocks, pivots):
         assert mine == want
 
 
+def test_a_stored_index_answers_as_a_new_one(spark, tmp_path):
+    rng = np.random.default_rng(5)
+    v = np.vstack([rng.normal(size=(300, 4)), np.zeros((40, 4))])
+    rows = [(i, x.tolist()) for i, x in enumerate(v)] + [(900, None), (901, [1.0])]
+    chunks = spark.createDataFrame(rows, "chunk_id long, chunk_vector array<double>")
+    queries = spark.createDataFrame([(i, rng.normal(size=4).tolist()) for i in range(20)] + [(50, None), (51, [1.0, 2.0])], "query_id long, query_vector array<double>")
+    path = str(tmp_path / "index")
+    built = retrieval.build_index(chunks, path, pivots=12)
+    assert int(built.sizes.sum()) == 340
+    want = sorted(map(tuple, retrieval.knn_topk(queries, chunks, 3).collect()))
+    opened = retrieval.open_index(spark, path)
+    assert sorted(map(tuple, retrieval.knn_topk(queries, None, 3, index=opened).collect())) == want and len(want) == 60
+    ids = spark.createDataFrame([("b", [0.0, 0.0]), ("a", [0.0, 0.0]), ("c", [9.0, 0.0])], "chunk_id string, chunk_vector array<double>")
+    got = retrieval.knn_topk(spark.createDataFrame([("q", [0.0, 0.0])], "query_id string, query_vector array<double>"), ids, 2).orderBy("rank").collect()
+    assert [r["chunk_id"] for r in got] == ["a", "b"]
+
+
 def test_knn_with_fewer_chunks_than_k(spark):
     c = spark.createDataFrame([(1, [0.0, 0.0]), (2, [3.0, 4.0])], "chunk_id long, chunk_vector array<double>")
     q = spark.createDataFrame([(9, [0.0, 0.0])], "query_id long, query_vector array<double>")
