@@ -118,7 +118,16 @@ def sink_run_metadata(spark: SparkSession, sf: str) -> DataFrame:
     return spark.read.schema(schema).json(path)
 
 
-@query("sink_model")
+#: The line through all line items by normal equations, its metrics once as saved and once as scored again.
+_LINE_SQL = """WITH p AS (SELECT CAST(l_quantity AS DOUBLE) AS x, CAST(l_tax AS DOUBLE) AS z, CAST(l_extendedprice AS DOUBLE) AS y FROM lineitem),
+    t AS (SELECT avg(x) AS mx, avg(z) AS mz, avg(y) AS my, var_pop(x) AS xx, var_pop(z) AS zz, covar_pop(x, z) AS xz, covar_pop(x, y) AS xy, covar_pop(z, y) AS zy FROM p),
+    c AS (SELECT *, (xy * zz - zy * xz) / (xx * zz - xz * xz) AS a, (zy * xx - xy * xz) / (xx * zz - xz * xz) AS b FROM t),
+    e AS (SELECT y, y - (a * (x - mx) + b * (z - mz) + my) AS e FROM p CROSS JOIN c),
+    m AS (SELECT round(sqrt(avg(e * e)), 3) AS rmse, round(avg(abs(e)), 3) AS mae, round(1 - avg(e * e) / var_pop(y), 6) AS r2 FROM e)
+    SELECT unnest(['saved', 'loaded']) AS origin, rmse AS rmse_price, mae AS mae_price, r2 AS r2_price, rmse AS avg_rmse, mae AS avg_mae, r2 AS avg_r2 FROM m"""
+
+
+@query("sink_model", _LINE_SQL)
 def sink_model(spark: SparkSession, sf: str) -> DataFrame:
     """Save the pipeline and its metrics, load both, and score with the loaded one."""
     li = B.table(spark, sf, "lineitem").select("l_quantity", "l_tax", "l_extendedprice")
@@ -127,7 +136,8 @@ def sink_model(spark: SparkSession, sf: str) -> DataFrame:
     path = new_path(spark, "model")
     io.save_model(model, models.regression_metrics(model.transform(li), pairs), path)
     again = models.regression_metrics(io.load_model(path).transform(li), pairs).withColumn("origin", F.lit("loaded"))
-    return spark.read.parquet(f"{path}/metrics").withColumn("origin", F.lit("saved")).unionByName(again)
+    told = spark.read.parquet(f"{path}/metrics").withColumn("origin", F.lit("saved")).unionByName(again)
+    return told.withColumns({c: F.round(c, 6 if c.endswith(("r2", "r2_price")) else 3) for c in told.columns if c != "origin"})
 
 
 @query(
