@@ -13,6 +13,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 from itertools import repeat
 from math import acos, pi, sqrt
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -21,7 +22,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from airframe.llm.common import arrow_of, by_row, partitions, pick, query, stored, table, tied, to_batch
+from airframe.llm.common import arrow_of, by_row, partitions, pick, query, stored, table, tied
 from airframe.llm.graph import components
 
 BITS = 64
@@ -157,24 +158,6 @@ def block_links(radius: int):
     return run
 
 
-def block_pairs(radius: int):
-    """For ``mapInArrow`` over pairs of blocks with labels: the pairs of codes that have different labels."""
-    schema = pa.schema([("f", pa.int64()), ("g", pa.int64())])
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for i in range(batch.num_rows):
-                a, b = (np.frombuffer(batch.column(k)[i].as_py(), np.uint64).reshape(2, -1) for k in (0, 1))
-                u, v = close_pairs(a[0], b[0], radius)
-                (x, y), (p, q) = ((codes[by], labels[by]) for codes, labels in (a, b) for by in [np.argsort(codes)])
-                apart = (u != v) & (y[np.searchsorted(x, u)] != q[np.searchsorted(p, v)])
-                if apart.any():
-                    f, g = np.minimum(u[apart], v[apart]), np.maximum(u[apart], v[apart])
-                    yield pa.RecordBatch.from_arrays([pa.array(f.view(np.int64)), pa.array(g.view(np.int64))], schema=schema)
-
-    return run
-
-
 def gray_links(codes: DataFrame, radius: int = 2) -> DataFrame:
     """Edges ``(u, v)`` that connect all distinct codes (column ``fp``) within ``radius`` bits of each other.
 
@@ -186,14 +169,6 @@ def gray_links(codes: DataFrame, radius: int = 2) -> DataFrame:
     return met.mapInArrow(block_links(radius), "u long, v long")
 
 
-def gray_pairs(codes: DataFrame, radius: int = 2) -> DataFrame:
-    """All pairs ``(f, g)`` of codes within ``radius`` bits but not of one label, from distinct codes ``(fp, label)``."""
-    met = close_blocks(codes.select("fp", "label"), radius)
-    if met is None:
-        return codes.select(F.col("fp").alias("f"), F.col("fp").alias("g")).limit(0)
-    return met.mapInArrow(block_pairs(radius), "f long, g long").distinct()
-
-
 def close_blocks(codes: DataFrame, radius: int) -> DataFrame | None:
     """Pairs of blocks ``(left, right)`` of distinct codes that may hold close ones; None without codes."""
     spark, columns = codes.sparkSession, codes.columns
@@ -275,13 +250,13 @@ def stirred(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def signature(text: bytes | None, words: int) -> tuple[np.ndarray, np.ndarray]:
+def signature(text: bytes | None, words: int, distinct: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
     """Wide fingerprint of a text's distinct shingles, and keys of the fingerprints of samples of them.
 
     A sample holds the shingles whose keyed hash falls below a limit, which halves as the text doubles. Texts that
     share most shingles share all of some samples; neighbouring sizes share one of the two limits.
     """
-    distinct = np.unique(shingle_hashes(text, words))
+    distinct = np.unique(shingle_hashes(text, words)) if distinct is None else distinct
     wide = majority(stirred(distinct[None, :] ^ LANE_KEYS[:, None]))
     level, keys = max(0, (len(distinct) // SAMPLE_SIZE).bit_length() - 1), []
     if level == 0:
@@ -304,156 +279,263 @@ def limit(similarity: float, deviations: float) -> int:
     return int(bits * share + deviations * sqrt(bits * share * (1 - share)))
 
 
+#: Sets of fewer shingles are always compared themselves: wide fingerprints say little about them.
+SMALL = 64
+#: Rows of a block of fingerprints, bytes of a block of sets, cells of a matrix of shared shingles.
+FP_ROWS, SET_BYTES, CELLS = 1024, 4 << 20, 1 << 22
+EDGE = pa.schema([("u", pa.int64()), ("v", pa.int64())])
+
+
 def signatures(docs: DataFrame, id: str, text: str, words: int) -> DataFrame:
-    """``(doc_id, row, fp, wide, keys)`` per row; ``row`` is a hash of id and text, ``fp`` the first lane."""
-    rows = pick(docs, doc_id=id, text=text).select("doc_id", F.xxhash64("doc_id", "text").alias("row"), F.col("text").cast("binary"))
+    """``(doc_id, row, twin, fp, node, proof, n, wide, keys)`` per row.
+
+    ``row, twin`` are two hashes of id and text, ``node, proof`` two hashes of the sorted distinct shingles, so that
+    neither rows nor sets are taken for each other; ``fp`` is the first lane of ``wide``, ``n`` the size of the set.
+    """
+    rows = pick(docs, doc_id=id, text=text).select("doc_id", *row_marks("doc_id", "text"), F.col("text").cast("binary"))
     kind = rows.schema["doc_id"].dataType.simpleString()
-    longs = pa.list_(pa.int64())
-    schema = pa.schema([("doc_id", arrow_of(rows, "doc_id")), ("row", pa.int64()), ("fp", pa.int64()), ("wide", longs), ("keys", longs)])
+    whole = [(c, pa.int64()) for c in ("row", "twin", "fp", "node", "proof", "n")]
+    schema = pa.schema([("doc_id", arrow_of(rows, "doc_id")), *whole, ("wide", pa.binary()), ("keys", pa.list_(pa.int64()))])
+
+    def one(key, row, twin, body):
+        distinct = np.unique(shingle_hashes(body, words))
+        wide, keys = signature(body, words, distinct)
+        packed_set = distinct.tobytes()
+        node, proof = (np.uint64(xxhash.xxh64_intdigest(packed_set, seed)).astype(np.int64) for seed in (SEED, SEED + 1))
+        return key, row, twin, int(wide.view(np.int64)[0]), int(node), int(proof), len(distinct), wide.tobytes(), keys.view(np.int64)
 
-    def one(key, row, body):
-        wide, keys = signature(body, words)
-        return key, row, int(wide.view(np.int64)[0]), wide.view(np.int64), keys.view(np.int64)
+    return rows.mapInArrow(by_row(one, schema), f"doc_id {kind}, row long, twin long, fp long, node long, proof long, n long, wide binary, keys array<long>")
 
-    return rows.mapInArrow(by_row(one, schema), f"doc_id {kind}, row long, fp long, wide array<long>, keys array<long>")
+
+def row_marks(id: str | Column, text: str | Column) -> tuple[Column, Column]:
+    """Two hashes that name a row by its id and text."""
+    return F.xxhash64(id, text).alias("row"), F.xxhash64(F.lit(1), text, id).alias("twin")
 
 
 def shingle_sets(docs: DataFrame, id: str, text: str, words: int, wanted: DataFrame) -> DataFrame:
-    """``(node, shingles)``: the sorted distinct hashes, packed, of the texts that ``wanted`` (``row, node``) names."""
-    rows = pick(docs, doc_id=id, text=text).select(F.xxhash64("doc_id", "text").alias("row"), F.col("text").cast("binary"))
+    """``(node, shingles)``: the sorted distinct hashes, packed, of the texts that ``wanted`` (``row, twin, node``) names."""
+    rows = pick(docs, doc_id=id, text=text).select(*row_marks("doc_id", "text"), F.col("text").cast("binary"))
     schema = pa.schema([("node", pa.int64()), ("shingles", pa.binary())])
-    found = rows.join(wanted, "row").dropDuplicates(["row"]).select("node", "text")
+    found = rows.join(wanted, ["row", "twin"]).dropDuplicates(["node"]).select("node", "text")
     return found.mapInArrow(by_row(lambda node, body: (node, np.unique(shingle_hashes(body, words)).tobytes()), schema), "node long, shingles binary")
 
 
-def similar_sets(similarity: float):
-    """For ``mapInArrow`` over groups of pairs with the sets they need: edges that connect the pairs of the similarity."""
-    schema = pa.schema([("u", pa.int64()), ("v", pa.int64())])
+class Group(NamedTuple):
+    """Members of one side of a block: nodes, their labels, sizes of their sets and wide fingerprints."""
+
+    node: np.ndarray
+    label: np.ndarray
+    n: np.ndarray
+    wide: np.ndarray
+
+    @staticmethod
+    def of(rows: list[dict]) -> Group:
+        node, label, n = (np.array([r[c] for r in rows], np.int64) for c in ("node", "label", "n"))
+        return Group(node, label, n, np.frombuffer(b"".join(r["wide"] for r in rows), np.uint64).reshape(-1, WIDE))
+
+    def cut(self, at: slice) -> Group:
+        return Group(*[x[at] for x in self])
+
+
+def judged(x: Group, y: Group, similarity: float) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of members with different labels that fingerprints settle as similar, and those they leave open.
+
+    Sets whose sizes are too far apart can't be similar. Between the rest, differing bits ``FAR`` deviations beyond the
+    similarity rule a pair out and ``NEAR`` below it settle it; pairs with a small set stay open.
+    """
+    bits = np.zeros((len(x.node), len(y.node)), np.int32)
+    for lane in range(WIDE):
+        bits += np.bitwise_count(x.wide[:, lane, None] ^ y.wide[None, :, lane])
+    less, more = np.minimum(x.n[:, None], y.n[None, :]), np.maximum(x.n[:, None], y.n[None, :])
+    able = (x.label[:, None] != y.label[None, :]) & (less >= similarity * more)
+    small = less < SMALL
+    sure = able & ~small & (bits <= limit(similarity, -NEAR))
+    return sure, able & ~sure & (small | (bits <= limit(similarity, FAR)))
+
+
+def tied_edges(u: list[np.ndarray], v: list[np.ndarray]) -> pa.RecordBatch | None:
+    """The pairs as edges from each node to the smallest one that it is tied to, no more than there are nodes."""
+    if not u:
+        return None
+    nodes, least = tied(np.concatenate(u), np.concatenate(v))
+    own = nodes != least
+    return pa.RecordBatch.from_arrays([pa.array(nodes[own]), pa.array(least[own])], schema=EDGE) if own.any() else None
+
+
+def sure_edges(similarity: float):
+    """For ``mapInArrow`` over blocks ``(xs, ys)``: edges that connect the pairs that fingerprints settle."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(batch.num_rows):
-                sets = {s["node"]: np.frombuffer(s["shingles"], np.uint64) for s in batch.column(1)[i].as_py()}
-                root = {node: node for node in sets}
-
-                def find(node: int, root: dict = root) -> int:
-                    while root[node] != node:
-                        root[node] = node = root[root[node]]
-                    return node
-
-                for pair in batch.column(0)[i].as_py():
-                    u, v = find(pair["u"]), find(pair["v"])
-                    if u != v:
-                        a, b = sets[pair["u"]], sets[pair["v"]]
-                        both = len(np.intersect1d(a, b, assume_unique=True))
-                        if both >= similarity * (len(a) + len(b) - both):
-                            root[max(u, v)] = min(u, v)
-                edges = [(node, find(node)) for node in root if find(node) != node]
-                if edges:
-                    yield to_batch(edges, schema)
+                x, y = (Group.of(column[i].as_py()) for column in batch.columns)
+                us, vs = [], []
+                for k in range(0, len(x.node), 128):
+                    part = x.cut(slice(k, k + 128))
+                    a, b = np.nonzero(judged(part, y, similarity)[0])
+                    if len(a):
+                        us.append(part.node[a])
+                        vs.append(y.node[b])
+                if (edges := tied_edges(us, vs)) is not None:
+                    yield edges
 
     return run
 
 
-def by_neighbours(pairs: DataFrame) -> DataFrame:
-    """``(node, block)`` for the ends of the pairs ``(u, v)``: nodes with one smallest partner share blocks of about ``LEAF``.
+def open_members(similarity: float):
+    """For ``mapInArrow`` over ``(key, xs, ys)``: the nodes of each block that some pair leaves open, with the key."""
+    schema = pa.schema([("key", pa.int64()), ("node", pa.int64())])
 
-    Where many texts are compared with each other they have the same smallest partner, so that pairs of blocks
-    hold many pairs, and a text is sent once to each of them.
-    """
-    ends = pairs.union(pairs.select("v", "u")).toDF("node", "other")
-    near = ends.groupBy("node").agg(F.min("other").alias("least")).select("node", F.least("node", "least").alias("anchor"))
-    sizes = near.groupBy("anchor").agg(F.count(F.lit(1)).alias("n"))
-    part = F.pmod(F.xxhash64("node"), F.ceil(F.col("n") / LEAF))
-    return near.join(sizes, "anchor").select("node", F.xxhash64("anchor", part).alias("block"))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                x, y = (Group.of(column[i].as_py()) for column in batch.columns[1:])
+                found = [np.zeros(0, np.int64)]
+                for k in range(0, len(x.node), 128):
+                    part = x.cut(slice(k, k + 128))
+                    a, b = np.nonzero(judged(part, y, similarity)[1])
+                    found += [part.node[np.unique(a)], y.node[np.unique(b)]]
+                nodes = np.unique(np.concatenate(found))
+                if len(nodes):
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(nodes), batch.column(0)[i].as_py())), pa.array(nodes)], schema=schema)
 
+    return run
 
-def verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, id: str, text: str, words: int, similarity: float) -> DataFrame:
-    """Edges ``(u, v)`` that connect those of the distinct pairs ``(u, v)`` whose texts have the similarity.
 
-    Wide fingerprints ``FAR`` deviations beyond the similarity rule a pair out and ``NEAR`` below it settle it; between
-    them the sets of shingles are compared, which are made for the texts of such pairs alone.
-    """
-    wide = nodes.select("node", "wide")
-    met = pairs.join(wide.toDF("u", "a"), "u").join(wide.toDF("v", "b"), "v")
-    bits = F.expr("aggregate(zip_with(a, b, (x, y) -> bit_count(x ^ y)), 0, (n, x) -> n + x)")
-    met = met.select("u", "v", bits.alias("bits")).where(f"bits <= {limit(similarity, FAR)}")
-    met, sure = stored(met, "met"), f"bits <= {limit(similarity, -NEAR)}"
-    open_ = met.where(f"NOT ({sure})").select("u", "v")
-    spots = stored(by_neighbours(open_), "spots")
-    wanted = spots.select("node").join(nodes.select("node", "row"), "node")
-    sets = stored(shingle_sets(docs, id, text, words, wanted), "sets")
-    work = open_.join(spots.toDF("u", "x"), "u").join(spots.toDF("v", "y"), "v")
-    work = stored(work.select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y"), "u", "v"), "work")
-    needs = work.select("x", "y", F.explode(F.array("u", "v")).alias("node")).distinct().join(sets, "node")
-    needs = needs.groupBy("x", "y").agg(F.collect_list(F.struct("node", "shingles")).alias("sets"))
-    work = work.groupBy("x", "y").agg(F.collect_list(F.struct("u", "v")).alias("pairs")).join(needs, ["x", "y"])
-    checked = work.select("pairs", "sets").mapInArrow(similar_sets(similarity), "u long, v long")
-    return met.where(sure).select("u", "v").union(checked)
+def shared_counts(x: list[np.ndarray], y: list[np.ndarray]) -> np.ndarray:
+    """How many shingles each set of ``x`` has in common with each of ``y``, a bounded matrix at a time."""
+    names = np.unique(np.concatenate([np.zeros(0, np.uint64), *x]))
+    out = np.zeros((len(x), len(y)))
+    if not len(names):
+        return out
 
+    def marks(sets: list[np.ndarray], least: int) -> np.ndarray:
+        m = np.zeros((len(sets), min(CELLS // len(sets), len(names) - least)), np.float32)
+        for i, one in enumerate(sets):
+            at = np.searchsorted(names, one)
+            at = at[(at < len(names)) & (names[np.minimum(at, len(names) - 1)] == one)] - least
+            m[i, at[(at >= 0) & (at < m.shape[1])]] = 1
+        return m
 
-def key_pairs(keyed: DataFrame) -> DataFrame:
-    """Pairs of nodes that share a key, from ``(node, key)``: within a key each node meets the smallest one, by an
-    aggregate joined back."""
-    shared_keys = keyed.groupBy("key").agg(F.min("node").alias("v"), F.max("node").alias("most")).where("v < most").select("key", "v")
-    return keyed.join(shared_keys, "key").where("node <> v").select(F.col("node").alias("u"), "v").distinct()
+    width = max(1, CELLS // max(len(x), len(y)))
+    for least in range(0, len(names), width):
+        left, right = (marks(s, least)[:, :width] for s in (x, y))
+        short = min(left.shape[1], right.shape[1])
+        out += left[:, :short] @ right[:, :short].T
+    return out
 
 
-def other_key_pairs(keyed: DataFrame, groups: DataFrame) -> DataFrame:
-    """All pairs of nodes that share a key and are in different groups.
+def similar_sets(similarity: float):
+    """For ``mapInArrow`` over blocks ``(xs, ys)`` with sets: edges that connect the open pairs of the similarity."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                rows = [column[i].as_py() for column in batch.columns]
+                x, y = map(Group.of, rows)
+                left, right = ([np.frombuffer(r["shingles"], np.uint64) for r in side] for side in rows)
+                us, vs = [], []
+                for k in range(0, len(x.node), 64):
+                    for m in range(0, len(y.node), 256):
+                        p, q = x.cut(slice(k, k + 64)), y.cut(slice(m, m + 256))
+                        open_ = judged(p, q, similarity)[1]
+                        if open_.any():
+                            both = shared_counts(left[k : k + 64], right[m : m + 256])
+                            a, b = np.nonzero(open_ & (both >= similarity * (p.n[:, None] + q.n[None, :] - both)))
+                            if len(a):
+                                us.append(p.node[a])
+                                vs.append(q.node[b])
+                if (edges := tied_edges(us, vs)) is not None:
+                    yield edges
+
+    return run
 
-    Within a key the nodes outside its largest group meet all nodes of other groups, so that a group that is
-    linked already costs no pairs among its own.
-    """
-    marked = keyed.join(groups, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    sizes = marked.groupBy("key", "component").agg(F.count(F.lit(1)).alias("n"))
-    largest = sizes.groupBy("key").agg(F.max(F.struct("n", "component")).alias("most"), F.count(F.lit(1)).alias("parts"))
-    largest = largest.where("parts > 1").select("key", F.col("most.component").alias("largest"))
-    marked = stored(marked.join(largest, "key"), "keyed")
-    outside = marked.where("component <> largest").select("key", F.col("node").alias("x"), F.col("component").alias("p"))
-    met = outside.join(marked.select("key", F.col("node").alias("y"), F.col("component").alias("q")), "key").where("p <> q")
-    return met.select(F.greatest("x", "y").alias("u"), F.least("x", "y").alias("v")).distinct()
 
+def labelled(keyed: DataFrame, groups: DataFrame) -> DataFrame:
+    """Members ``(key, node, label)`` of the keys that hold more than one group, and whether they are outside its largest."""
+    marked = keyed.join(groups.toDF("node", "label"), "node", "left").withColumn("label", F.coalesce("label", "node"))
+    sizes = marked.groupBy("key", "label").agg(F.count(F.lit(1)).alias("size"))
+    largest = sizes.groupBy("key").agg(F.max(F.struct("size", "label")).alias("most"), F.count(F.lit(1)).alias("parts")).where("parts > 1")
+    return marked.join(largest.select("key", F.col("most.label").alias("largest")), "key").selectExpr("key", "node", "label", "label <> largest AS outside")
 
-def index_pairs(nodes: DataFrame, groups: DataFrame, radius: int) -> DataFrame:
-    """Pairs of nodes of different groups whose fingerprints the index finds within ``radius`` bits."""
-    marked = nodes.select("node", "fp").join(groups, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    label = F.when(F.min("component") == F.max("component"), F.min("component")).otherwise(F.xxhash64("fp"))
-    close = gray_pairs(marked.groupBy("fp").agg(label.alias("label")), radius)
-    close = close.join(marked.toDF("u", "f", "p"), "f").join(marked.toDF("v", "g", "q"), "g").where("p <> q")
-    return close.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
+
+def own_blocks(keyed: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Blocks ``(xs, ys)`` of the members of a key among themselves, dealt out by hash."""
+    sizes = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("rows")).where("rows > 1")
+    part = F.pmod(F.xxhash64("key", "node"), F.ceil(F.col("rows") / FP_ROWS))
+    member = F.struct("node", F.col("node").alias("label"), "n", "wide")
+    blocks = keyed.join(sizes, "key").select("key", "node", part.alias("part")).join(nodes.select("node", "n", "wide"), "node")
+    blocks = blocks.groupBy("key", "part").agg(F.collect_list(member).alias("xs")).where("size(xs) > 1")
+    return blocks.select("xs", F.col("xs").alias("ys"))
+
+
+def cross_blocks(members: DataFrame, weight: Column, size: int, *columns: str) -> DataFrame:
+    """Blocks ``(key, xs, ys)`` in which the members outside a key's largest group meet all its members once.
+
+    ``weight`` adds up to about ``size`` in a side of a block; a key with little in it is one block.
+    """
+    members = members.withColumn("weight", weight)
+    totals = members.groupBy("key").agg(F.sum(F.when(F.col("outside"), F.col("weight"))).alias("few"), F.sum("weight").alias("all"))
+    totals = totals.where("few IS NOT NULL").select("key", F.ceil(F.col("few") / size).alias("a"), F.ceil(F.col("all") / size).alias("b"))
+    dealt = members.join(totals, "key").withColumn("h", F.xxhash64("key", "node"))
+    member = F.struct("node", "label", "n", "wide", *columns)
+    other = F.explode(F.sequence(F.lit(0).cast("long"), F.greatest(F.col("b") - 1, F.lit(0).cast("long"))))
+    one = F.explode(F.sequence(F.lit(0).cast("long"), F.greatest(F.col("a") - 1, F.lit(0).cast("long"))))
+    xs = dealt.where("outside").select("key", F.pmod("h", F.greatest("a", F.lit(1))).alias("x"), other.alias("y"), member.alias("xm"), F.lit(None).alias("ym"))
+    ys = dealt.select("key", one.alias("x"), F.pmod("h", F.greatest("b", F.lit(1))).alias("y"), F.lit(None).alias("xm"), member.alias("ym"))
+    met = xs.unionByName(ys).groupBy("key", "x", "y").agg(F.collect_list("xm").alias("xs"), F.collect_list("ym").alias("ys"))
+    return met.where("size(xs) > 0 AND size(ys) > 0").select("key", "xs", "ys")
 
 
 def similar_links(nodes: DataFrame, docs: DataFrame, id: str, text: str, words: int, similarity: float, radius: int) -> DataFrame:
-    """Edges that connect nodes whose texts have the similarity and share a sample key or are close in the index.
+    """Edges that connect nodes whose texts have the similarity and share a sample key or a group of the index.
 
-    First each node meets the smallest of each key; then all pairs are compared that share a key, or that the
-    Gray-order index finds, and that these links leave in different groups.
+    A key is a sample's fingerprint or a group of fingerprints that the Gray-order index links. Pairs are compared
+    within tasks, which return edges and never pairs: first the members of a key by fingerprint, block by block; then
+    those outside its largest group with all others, noting the members that some pair leaves open; then
+    these with their sets of shingles. Groups found on the way are not compared again among themselves.
     """
-    keyed = stored(nodes.select("node", F.explode("keys").alias("key")), "keys")
-    met = stored(key_pairs(keyed), "pairs")
-    first = stored(verified(met, nodes, docs, id, text, words, similarity), "links")
-    groups = stored(components(first), "groups")
-    rest = other_key_pairs(keyed, groups).union(index_pairs(nodes, groups, radius)).distinct().join(met, ["u", "v"], "left_anti")
-    return first.union(verified(rest, nodes, docs, id, text, words, similarity))
+    tied_codes = components(gray_links(nodes, radius)).select(F.col("node").alias("fp"), F.xxhash64(F.lit("index"), "component").alias("key"))
+    by_index = nodes.select("node", "fp").join(tied_codes, "fp", "left").select("node", F.coalesce("key", F.xxhash64(F.lit("index"), "fp")).alias("key"))
+    keyed = nodes.select("node", F.explode("keys").alias("key")).union(by_index)
+    shared_keys = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("rows")).where("rows > 1").select("key")
+    keyed = stored(keyed.join(shared_keys, "key").select("key", "node"), "keys")
+    look = nodes.select("node", "n", "wide")
+    pair = "u long, v long"
+
+    first = stored(own_blocks(keyed, nodes).mapInArrow(sure_edges(similarity), pair), "links")
+    members = stored(labelled(keyed, components(first)).join(look, "node"), "members")
+    blocks = stored(cross_blocks(members, F.lit(1), FP_ROWS), "blocks")
+    first = first.union(stored(blocks.select("xs", "ys").mapInArrow(sure_edges(similarity), pair), "links"))
+    open_ = stored(blocks.mapInArrow(open_members(similarity), "key long, node long").distinct(), "open")
+
+    wanted = open_.select("node").distinct().join(nodes.select("node", "row", "twin"), "node")
+    sets = stored(shingle_sets(docs, id, text, words, wanted), "sets")
+    members = labelled(open_, components(first)).join(look, "node").join(sets, "node")
+    blocks = cross_blocks(members, F.col("n") * 8 + 256, SET_BYTES, "shingles")
+    return first.union(stored(blocks.select("xs", "ys").mapInArrow(similar_sets(similarity), pair), "links"))
 
 
 def keep_one(docs: DataFrame, id: str = "doc_id", text: str = "text", words: int = 5, similarity: float = 0.8, radius: int = 2) -> DataFrame:
     """``docs``, all columns, with one row of each group of near duplicates: the one with the smallest id.
 
-    Texts are compared whose fingerprints of the distinct shingles the Gray-order index finds within ``radius`` bits, and
-    texts that share samples of their shingles; they are linked when they have the similarity, checked with a
-    fingerprint of ``WIDE`` lanes and, where that is not clear, with the shingles themselves. NULL texts and texts without words are copies of each other. Rows with a NULL id go
+    Texts are compared whose fingerprints of the distinct shingles the Gray-order index groups within ``radius`` bits, and
+    texts that share samples of their shingles; they are linked when they have the similarity, by a fingerprint of
+    ``WIDE`` lanes and, where that is not clear, by the shingles themselves. Texts with one set of shingles are one
+    node. NULL texts and texts without words are copies of each other. Rows with a NULL id go
     last; of repeated rows one stays. An empty table stays empty.
     """
-    marked = stored(signatures(docs, id, text, words), "signatures").withColumn("node", F.col("fp"))
-    nodes = marked.groupBy("node").agg(F.min(F.struct("wide", "keys", "row", "fp")).alias("s")).select("node", "s.*")
-    groups = components(similar_links(stored(nodes, "nodes"), docs, id, text, words, similarity, radius))
-    rows = marked.select("doc_id", "row", "node").join(groups, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row"))
-    chosen = rows.groupBy("component").agg(first.alias("first")).select(F.col("first.row").alias("chosen_row"))
-    row = F.xxhash64(docs[id], docs[text])
-    kept = docs.withColumn("chosen_row", row).join(chosen.distinct(), "chosen_row").dropDuplicates(["chosen_row"])
+    marked = stored(signatures(docs, id, text, words), "signatures")
+    proof = marked.groupBy("node").agg(F.min("proof").alias("first_proof"))
+    marked = marked.join(proof, "node")
+    marked = marked.withColumn("node", F.when(F.col("proof") == F.col("first_proof"), F.col("node")).otherwise(F.xxhash64("node", "proof"))).drop("first_proof")
+    nodes = stored(marked.groupBy("node").agg(F.min(F.struct("row", "twin", "fp", "n", "wide", "keys")).alias("s")).select("node", "s.*"), "nodes")
+    groups = components(similar_links(nodes, docs, id, text, words, similarity, radius))
+    rows = marked.select("doc_id", "row", "twin", "node").join(groups, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row", "twin"))
+    chosen = rows.groupBy("component").agg(first.alias("first")).select(F.col("first.row").alias("chosen_row"), F.col("first.twin").alias("chosen_twin"))
+    marks = dict(zip(("chosen_row", "chosen_twin"), row_marks(docs[id], docs[text]), strict=True))
+    kept = docs.withColumns(marks).join(chosen.distinct(), list(marks)).dropDuplicates(list(marks))
     return kept.select(docs.columns)
 
 
