@@ -4,8 +4,10 @@ import hashlib
 import textwrap
 from collections import Counter
 
+import duckdb
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from airframe.llm import chat, decontaminate, langid, licences, suffix
 
@@ -212,3 +214,63 @@ def test_conversations_with_nulls_ties_and_clashes(spark):
     assert got == {1: [("", "a"), ("assistant", ""), ("user", "b")], None: [("user", "q")], 2: [("user", "z"), ("assistant", "y")]}
     assert {r.pair_id for r in chat.repeating(chat.conversations(frame)).collect()} == {1, 2}
     assert chat.conversations(frame.limit(0)).collect() == []
+
+
+def plain_without_holders(text):
+    """Lines that name a holder made blank, by looking at each line and its neighbours."""
+    import re
+
+    lines = text.lower().split("\n")
+
+    def kind(x):
+        java = lambda p: p.replace(r"\z", r"\Z").replace(r"\p{L}\p{N}_", r"\w").replace(r"^\p{L}\p{N}", r"\W_").replace(r"[\p{L}\p{N}<\[]", r"(?:[^\W_]|[<\[])")
+        if re.search(java(licences.BLANK), x):
+            return "_"
+        if re.search(java(licences.SIGNED).replace(r"[\W_]*", r"(?:\W|_)*"), x):
+            return "S"
+        if re.search(java(licences.NAMED), x) and not re.search(java(licences.SENTENCE).replace(r"[^\w]", r"\W"), x):
+            return "N"
+        return "A" if re.search(java(licences.ALONE), x) else "o"
+
+    k = [kind(x) for x in lines]
+    blank, out = set("_S"), list(k)
+    for i, c in enumerate(k):
+        before = out[i - 1] if i else "_"
+        if c == "N" and (before in blank or (before == "X" and k[i - 1] == "N")):
+            out[i] = "X"
+    for i, c in enumerate(out):
+        if c == "N" and (i + 1 == len(k) or k[i + 1] in blank):
+            out[i] = "X"
+    done = list(out)
+    for i, c in enumerate(out):
+        if c == "A" and (i == 0 or out[i - 1] in blank | {"X"}) and (i + 1 == len(out) or out[i + 1] in blank | {"X"}):
+            done[i] = "X"
+    return "\n".join(" " if c in "SX" else x for c, x in zip(done, lines, strict=True))
+
+
+def test_holder_lines_by_their_neighbours(spark):
+    rng = np.random.default_rng(6)
+    pool = ["", " \t", "copyright someone", "Copyright (c) 2020 x", "copyright notice and more", "(c) a firm", "(c) the sentence goes on;", "text", "© all", "all rights reserved.", "Copyright 1999", "copyright: <name>\r", "copyright"]
+    texts = ["\n".join(rng.choice(pool, rng.integers(1, 12))) for _ in range(400)]
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string")
+    got = {r.i: r.c for r in docs.select("i", licences.without_holders(F.lower("t")).alias("c")).collect()}
+    assert got == {i: plain_without_holders(t) for i, t in enumerate(texts)}
+
+
+def test_long_runs_of_copyright_lines(spark):
+    names = "\n".join(f"copyright someone {i}" for i in range(100_000))
+    texts = [(1, names + "\n\n" + licences.ISC), (2, "(c) " + "a " * 200_000), (3, "copyright " * 100_000), (4, "\n" * 300_000 + licences.UNLICENSE)]
+    got = {r.doc_id: r.licence for r in licences.scan(spark.createDataFrame(texts, "doc_id long, text string"), licences.known_digests(spark)).collect()}
+    assert got == {1: "ISC", 2: None, 3: None, 4: "Unlicense"}
+
+
+def test_twin_has_the_same_rule(spark, tmp_path):
+    rng = np.random.default_rng(8)
+    pool = ["", "copyright someone", "Copyright (c) 2020 x", "copyright notice", "(c) a firm", "text", "MIT License", "Released under the MIT License.", "copyright: <name>\r"]
+    texts = ["\n".join(rng.choice(pool, rng.integers(1, 9))) for _ in range(200)] + [None, "", "Copyright A\n\n" + licences.ISC, "copyright a\ncopyright b\n" + licences.MIT]
+    spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string").coalesce(1).write.parquet(str(tmp_path / "documents.parquet"))
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM read_parquet('{tmp_path}/documents.parquet/*.parquet')")
+    want = {r[0]: r[1:] for r in con.execute(licences.SQL).fetchall()}
+    got = {r.doc_id: (r.digest, r.licence, r.notices) for r in licences.op4_licences(spark, str(tmp_path)).collect()}
+    assert got == want and {v[1] for v in got.values()} >= {"ISC", "MIT"}
