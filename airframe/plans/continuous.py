@@ -142,7 +142,7 @@ def stream_safety(spark: SparkSession, sf: str) -> DataFrame:
         ((F.col("event_type") == "signup") & (F.col("k") < 50)).alias("reset"),
     )
     out, mark = new_path(spark, "safety"), new_path(spark, "mark")
-    changes = streams.stream_safety(ev, retention=10 * 366 * 86_400)  # stages of the whole table are asked for
+    changes = streams.stream_safety_state(ev, retention=10 * 366 * 86_400)  # stages of the whole table are asked for
     with streams.with_rocksdb(spark):
         streams.run_updates_to_folder(changes, out, mark)
     now = streams.latest_updates(changes, out, ["stage"], ["status", "events", "recent"])

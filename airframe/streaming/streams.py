@@ -86,6 +86,19 @@ def stream_latency_buckets(events: DataFrame, ts: str, value: str, bounds: Seque
     )
 
 
+def stream_safety(events: DataFrame, stage: str = "stage", at: str = "at", blocked: str = "blocked", reset: str = "reset") -> DataFrame:
+    """Sticky status per stage: 1 until a block, 0 until a reset, for events without a time and as long as the stream runs.
+
+    The latest block and the latest reset are all the state there is, which makes the result independent of the order of
+    arrival and leaves only partial maxima to shuffle. Stages are never forgotten; ``stream_safety_state`` forgets them.
+    """
+    last_block = F.max(F.when(F.col(blocked), F.col(at)))
+    last_reset = F.max(F.when(F.col(reset), F.col(at)))
+    agg = events.groupBy(F.col(stage).alias("stage")).agg(last_block.alias("_b"), last_reset.alias("_r"))
+    bad = F.col("_b").isNotNull() & (F.col("_r").isNull() | (F.col("_b") > F.col("_r")))
+    return agg.select("stage", F.when(bad, 0).otherwise(1).alias("status"))
+
+
 STATUS = "stage string, status int, events long, recent array<long>, expired boolean"
 
 
@@ -138,7 +151,7 @@ def latest(known: int | None, new: pd.Series) -> int | None:
     return known if new.empty else int(new.max()) if known is None else max(known, int(new.max()))
 
 
-def stream_safety(events: DataFrame, stage: str = "stage", at: str = "at", blocked: str = "blocked", reset: str = "reset", ts: str = "ts", delay: str = "10 minutes", size: int = 10, retention: int = 86_400) -> DataFrame:
+def stream_safety_state(events: DataFrame, stage: str = "stage", at: str = "at", blocked: str = "blocked", reset: str = "reset", ts: str = "ts", delay: str = "10 minutes", size: int = 10, retention: int = 86_400) -> DataFrame:
     """Sticky status per stage, 1 until a block and 0 until a reset, with the last ``size`` events, newest first.
 
     The status is the last block against the last reset, so it does not depend on the order of arrival. State is

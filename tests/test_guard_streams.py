@@ -58,7 +58,7 @@ def test_counts_by_result_and_violation(spark, tmp_path):
 def safety(spark, tmp_path, batches, **kw):
     schema = "stage string, at long, blocked boolean, reset boolean, ts timestamp"
     events = arrivals(spark, tmp_path / "e", batches, schema)
-    changes = streams.stream_safety(events, **kw)
+    changes = streams.stream_safety_state(events, **kw)
     out = str(tmp_path / "out")
     with streams.with_rocksdb(spark):
         streams.run_updates_to_folder(changes, out, str(tmp_path / "mark"))
