@@ -493,7 +493,7 @@ def similar_links(nodes: DataFrame, docs: DataFrame, id: str, text: str, words:
     A key is a sample's fingerprint or a group of fingerprints that the Gray-order index links. Pairs are compared
     within tasks, which return edges and never pairs: first the members of a key by fingerprint, block by block; then
     those outside its largest group with all others, noting the members that some pair leaves open; then
-    these with their sets of shingles. Groups found on the way are not compared again among themselves.
+    these with their sets of shingles. Groups found by the first step are not compared again among themselves.
     """
     tied_codes = components(gray_links(nodes, radius)).select(F.col("node").alias("fp"), F.xxhash64(F.lit("index"), "component").alias("key"))
     by_index = nodes.select("node", "fp").join(tied_codes, "fp", "left").select("node", F.coalesce("key", F.xxhash64(F.lit("index"), "fp")).alias("key"))
@@ -511,7 +511,7 @@ def similar_links(nodes: DataFrame, docs: DataFrame, id: str, text: str, words:
 
     wanted = open_.select("node").distinct().join(nodes.select("node", "row", "twin"), "node")
     sets = stored(shingle_sets(docs, id, text, words, wanted), "sets")
-    members = labelled(open_, components(first)).join(look, "node").join(sets, "node")
+    members = members.join(open_, ["key", "node"]).join(sets, "node")
     blocks = cross_blocks(members, F.col("n") * 8 + 256, SET_BYTES, "shingles")
     return first.union(stored(blocks.select("xs", "ys").mapInArrow(similar_sets(similarity), pair), "links"))
 
