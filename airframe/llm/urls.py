@@ -8,6 +8,8 @@ are open at the page's key; the longest rule on the stack whose path starts the
 
 from __future__ import annotations
 
+from bisect import insort
+
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -79,7 +81,7 @@ def arrow_type(kind) -> pa.DataType:
 
 
 def sweep(default: str, schema: pa.Schema):
-    """One pass over sorted events; the stack holds, for each open interval, the paths of its rules."""
+    """One pass over sorted events; the stack holds, for each open interval, the paths of its rules and their lengths, longest first."""
 
     def run(batches):
         part, stack, out = None, [], []
@@ -91,8 +93,10 @@ def sweep(default: str, schema: pa.Schema):
                     stack.pop()
                 if not is_page:
                     if not stack or stack[-1][0] != key:
-                        stack.append((key, host, {}))
-                    paths = stack[-1][2]
+                        stack.append((key, host, {}, []))
+                    _, _, paths, lengths = stack[-1]
+                    if -len(path) not in lengths:
+                        insort(lengths, -len(path))
                     paths[path] = min(verdict, paths.get(path, verdict), key=lambda v: (v != "block", v))
                     continue
                 rule = longest(stack, path)
@@ -107,11 +111,11 @@ def sweep(default: str, schema: pa.Schema):
 
 
 def longest(stack: list, path: str) -> tuple | None:
-    """``(length, host, path, verdict)`` of the longest rule that fits."""
+    """``(length, host, path, verdict)`` of the longest rule that fits; only lengths that rules have are tried."""
     best = None
-    for _, host, paths in stack:
-        for n in range(len(path), -1, -1):
-            if path[:n] in paths:
+    for _, host, paths, lengths in stack:
+        for n in map(abs, lengths):
+            if n <= len(path) and path[:n] in paths:
                 found = (len(host) + n, host, path[:n], paths[path[:n]])
                 best = found if best is None or found[0] >= best[0] else best
                 break
