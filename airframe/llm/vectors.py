@@ -109,7 +109,8 @@ def descend(key: tuple, rows: pd.DataFrame, subtree: pd.DataFrame) -> pd.DataFra
         at, those = todo.pop()
         node = nodes[at]
         if node["direction"] is None:
-            name = int(mixed(np.array([leaf, tree, at], np.int64).view(np.uint64)))
+            # a node left whole keeps its name, so that a root which no tree splits is one leaf and not one for each
+            name = int(mixed(np.array([leaf, tree, at], np.int64).view(np.uint64))) if at else int(leaf)
             out.append(pd.DataFrame({"tree": np.int32(tree), "leaf": name, "row": row[those], "done": bool(node["dense"])}))
             continue
         along = x[those] @ np.asarray(node["direction"])
@@ -166,7 +167,8 @@ def padded(lists: list, fill: int) -> np.ndarray:
 
 
 def compare(similarity: float):
-    """For a pair of blocks of one leaf: how many links each row has that count here, and a row it is tied to."""
+    """For a pair of blocks of one leaf: how many links each row has that count here, copies of the other end included,
+    and a row it is tied to."""
 
     def run(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
         leaf, i, j = key
@@ -190,7 +192,9 @@ def compare(similarity: float):
         u, v = (np.concatenate([np.zeros(0, np.int64), *z]) for z in (us, vs))
         if not len(u):
             return pd.DataFrame({"row": [], "links": [], "least": []}).astype("int64")
-        links = np.bincount(u, minlength=len(rows)) + np.bincount(v, minlength=len(rows))
+        copies, links = frame["copies"].to_numpy(), np.zeros(len(rows), np.int64)
+        np.add.at(links, u, copies[v])
+        np.add.at(links, v, copies[u])
         nodes, least = tied(rows[u], rows[v])
         place = pd.Series(links, index=rows)
         return pd.DataFrame({"row": nodes, "links": place.loc[nodes].to_numpy(), "least": least})
@@ -206,23 +210,29 @@ def near_vectors(vectors: DataFrame, id="vec_id", vector="embedding", similarity
     vectors are linked; repeated ids are rows of their own. The component is named by its smallest id; rows
     with a NULL id are compared too and not kept. An empty table gives no rows.
 
-    A leaf that stays larger than a block is compared in pairs of blocks, so no task holds more than two of them.
-    Links are counted where they are found; no list of pairs is made.
+    Equal unit vectors are compared as one, with their number. A leaf that stays larger than a block is compared in pairs
+    of blocks, so no task holds more than two of them. Links are counted where they are found; no list of pairs is made.
     """
     rows = stored(pick(vectors, vec_id=id, embedding=vector).withColumn("row", F.monotonically_increasing_id()), "vectors")
     points = rows.select("row", "embedding").where("embedding IS NOT NULL").mapInArrow(usable, "row long, size int, unit array<double>")
-    points = stored(points, "points")
+    points = stored(points.withColumns({"ka": F.xxhash64("unit"), "kb": F.xxhash64(F.lit(1), "unit")}), "points")
+    same = stored(points.groupBy("size", "ka", "kb").agg(F.min("row").alias("first"), F.count(F.lit(1)).alias("copies")), "copies")
+    copy_of = points.select("row", "size", "ka", "kb").join(same, ["size", "ka", "kb"]).select("row", "first", "copies")
+    points = points.join(same.select(F.col("first").alias("row"), "copies"), "row").select("row", "size", "unit", "copies")
+    points = stored(points, "distinct")
     members = stored(leaves(points, trees).distinct(), "members")
     own = members.groupBy("row").agg(F.array_sort(F.collect_list("leaf")).alias("own"))
     blocks = members.groupBy("leaf").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("leaf", F.expr(f"n div {BLOCK_ROWS} + 1").alias("blocks"))
     placed = members.join(blocks, "leaf").withColumn("block", F.expr("pmod(xxhash64(row), blocks)"))
-    placed = placed.join(points.select("row", "unit").join(own, "row"), "row")
+    placed = placed.join(points.select("row", "unit", "copies").join(own, "row"), "row")
     met = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    met = met.select("leaf", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "row", "unit", "own")
+    met = met.select("leaf", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "row", "unit", "copies", "own")
     found = stored(met.groupBy("leaf", "i", "j").applyInPandas(compare(similarity), "row long, links long, least long"), "links")
     links = found.groupBy("row").agg(F.sum("links").alias("n_links"))
     groups = components(found.select(F.col("row").alias("u"), F.col("least").alias("v"))).select(F.col("node").alias("row"), "component")
-    named = rows.select("vec_id", "row").join(links, "row", "left").join(groups, "row", "left").withColumn("component", F.coalesce("component", "row"))
+    found_of = copy_of.join(links.withColumnRenamed("row", "first"), "first", "left").join(groups.withColumnRenamed("row", "first"), "first", "left")
+    found_of = found_of.select("row", (F.coalesce("n_links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("component", "first").alias("component"))
+    named = rows.select("vec_id", "row").join(found_of, "row", "left").withColumn("component", F.coalesce("component", "row"))
     names = named.groupBy("component").agg(F.min("vec_id").alias("component_id"))
     out = named.join(names, "component").select("vec_id", F.coalesce("n_links", F.lit(0)).alias("n_links"), "component_id")
     return out.withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(False)))

@@ -1,6 +1,7 @@
 """Mixtures, shards, URL rules, vectors and the pipeline next to plain versions."""
 
 import math
+import time
 from collections import defaultdict
 
 import numpy as np
@@ -105,6 +106,18 @@ def test_url_rules_next_to_every_rule(spark):
     assert {r.verdict for r in urls.judge(frame, table.limit(0), default="block").collect()} == {"block"}
 
 
+def test_a_very_long_path_costs_no_more_than_its_rules(spark):
+    deep = "/" + "a" * 4000
+    rules = [("org", "/", "allow"), ("org", deep, "block"), ("org", "", "block"), ("org", "/" + "a" * 100, "block")]
+    paths = ["/" + "a" * n for n in (99, 100, 3999, 4000, 400_000)] + ["", "/b"]
+    frame = spark.createDataFrame([(i, "http://x.org" + p) for i, p in enumerate(paths)], "page_id long, url string")
+    start = time.perf_counter()
+    got = {r.page_id: (r.host, r.path, r.rule, r.verdict) for r in urls.judge(frame, spark.createDataFrame(rules, urls.RULES)).collect()}
+    assert got == {i: plain_verdict("http://x.org" + p, rules) for i, p in enumerate(paths)}
+    assert urls.longest([("k", "org", dict.fromkeys(["/", deep], "block"), [-4001, -1])], "/" + "a" * 3_000_000)[2] == deep
+    assert time.perf_counter() - start < 60
+
+
 def test_vectors_next_to_all_pairs(spark):
     rng = np.random.default_rng(7)
     x = rng.standard_normal((2500, 24))
@@ -134,10 +147,28 @@ def test_vectors_next_to_all_pairs(spark):
     assert vectors.near_vectors(frame.limit(0)).collect() == []
 
 
+def test_many_copies_of_a_vector(spark):
+    rng = np.random.default_rng(2)
+    a, b, c = rng.standard_normal((3, 16))
+    near = a + 0.02 * np.abs(a).max() * rng.standard_normal(16)
+    rows = [(i, (a * 2.0 ** (i % 5)).tolist()) for i in range(30_000)] + [(40_000 + i, near.tolist()) for i in range(7)] + [(50_000, b.tolist()), (50_001, (-a).tolist()), (60_000, c.tolist()), (60_000, c.tolist())]
+    got = vectors.near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>"))
+    counted = {(r.n_links, r.component_id): r.n for r in got.groupBy("n_links", "component_id").agg({"*": "count"}).toDF("n_links", "component_id", "n").collect()}
+    assert counted == {(30_006, 0): 30_007, (0, 50_000): 1, (0, 50_001): 1, (1, 60_000): 2}
+
+
+def test_dense_vectors_are_compared_once(spark):
+    rng = np.random.default_rng(12)
+    x = rng.standard_normal(24) + 0.1 * rng.standard_normal((3000, 24))  # no tree splits their root
+    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+    want = (unit @ unit.T >= 0.9).sum(axis=1) - 1
+    got = {r.vec_id: r.n_links for r in vectors.near_vectors(spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")).collect()}
+    assert [got[i] for i in range(3000)] == want.tolist()
+
+
 def plain_kept(rows):
-    """Smallest id of each group, from all pairs of fingerprints and of sets of shingles."""
+    """Smallest id of each group, from all pairs of sets of shingles."""
     sets = [set(simhash.shingle_hashes((r.text or "").encode(), 5).tolist()) for r in rows]
-    marks = [simhash.signature((r.text or "").encode(), 5)[0][0] for r in rows]
     root = list(range(len(rows)))
 
     def find(i):
@@ -147,7 +178,7 @@ def plain_kept(rows):
 
     for i in range(len(rows)):
         for j in range(i):
-            if np.bitwise_count(marks[i] ^ marks[j]) <= 2 or len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]):
+            if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]):
                 a, b = find(i), find(j)
                 root[max(a, b)] = min(a, b)
     groups = defaultdict(list)
