@@ -7,7 +7,7 @@ from concurrent.futures import ThreadPoolExecutor
 
 from pyspark import inheritable_thread_target
 from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.feature import StandardScaler, VectorAssembler
+from pyspark.ml.feature import Bucketizer, StandardScaler, VectorAssembler
 from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRegressor
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -87,8 +87,87 @@ def model_zoo(target: str, rows: int, label_std: float, trees: int = 300, rounds
     }
 
 
+#: Bins of a feature, as many as MLlib's trees take by default.
+BINS = 32
+#: Trees are fitted on rows up to this number; more rows go in as groups of equal bins, and a forest gets about as many groups.
+GROUPS = 500_000
+TREES = (RandomForestRegressor, GBTRegressor)
+#: Rows that a round of boosting takes in one task at least: its rounds are many and short.
+ROUND_ROWS = 50_000
+
+
+def binner(df: DataFrame, features: Sequence[str], bins: int = BINS) -> Bucketizer:
+    """Bins as MLlib's trees cut them, here from all rows: one for each value if there are few, else about equal numbers of rows."""
+    rows = df.na.drop(subset=list(features))
+    shares = F.array(*[F.lit(i / bins) for i in range(1, bins)])
+    found = rows.agg(
+        *[F.approx_count_distinct(f, 0.05).alias(f"d_{i}") for i, f in enumerate(features)],
+        *[F.min(F.col(f).cast("double")).alias(f"m_{i}") for i, f in enumerate(features)],
+        *[F.percentile_approx(F.col(f).cast("double"), shares, F.lit(10_000)).alias(f"q_{i}") for i, f in enumerate(features)],
+    ).first()
+    few = [i for i in range(len(features)) if found[f"d_{i}"] <= 2 * bins]
+    sets = rows.agg(F.count(F.lit(1)), *[F.sort_array(F.collect_set(F.col(features[i]).cast("double"))).alias(f"s_{i}") for i in few]).first()
+    splits = []
+    for i in range(len(features)):
+        values = sets[f"s_{i}"] if i in few else None
+        if values and len(values) <= bins:
+            borders = [(a + b) / 2 for a, b in zip(values, values[1:])]
+        else:
+            borders = [q for q in found[f"q_{i}"] or [] if q > found[f"m_{i}"]]
+        splits.append([float("-inf"), *(sorted(set(borders)) or [0.0]), float("inf")])
+    return Bucketizer(splitsArray=splits, inputCols=list(features), outputCols=[f"_bin_{f}" for f in features], handleInvalid="skip")
+
+
+def group_equal(train: DataFrame, bins: Bucketizer, target: str, groups: int = 1) -> DataFrame:
+    """One row for each combination of bins: mean of the label and ``_rows``, written once to the shared folder.
+
+    A tree sees a row's bins, its label and nothing else, and the spread of labels within a combination is the same on both
+    sides of every split, so trees on weighted means split like trees on the rows. For bags there should be about
+    ``groups`` rows: where combinations are fewer, the rows of each are dealt out to several.
+    """
+    shared_folder(train.sparkSession)
+    names = bins.getOutputCols()
+    label = F.coalesce(F.col(target).cast("double"), F.lit(float("nan")))  # MLlib refuses a missing label
+    # A sum has no metadata: bins are numbers to the trees, not categories.
+    rows = bins.transform(train).select(*[(F.col(n) + 0.0).alias(n) for n in names], label.alias(target))
+    sums = [F.avg(target).alias(target), F.count(F.lit(1)).cast("double").alias("_rows")]
+    out = rows.groupBy(*names).agg(*sums).checkpoint()
+    parts = groups // max(out.count(), 1)
+    if parts > 1:
+        dealt = F.pmod(F.monotonically_increasing_id(), F.lit(parts)).alias("_part")
+        out = rows.withColumn("_part", dealt).groupBy(*names, "_part").agg(*sums).drop("_part").checkpoint()
+    return out
+
+
+def fit_trees(train: DataFrame, features: Sequence[str], estimator, bins: Bucketizer) -> PipelineModel:
+    """A pipeline of bins, assembler and trees, fitted on groups of rows with equal bins."""
+    bags = isinstance(estimator, RandomForestRegressor) and estimator.getBootstrap()
+    equal = group_equal(train, bins, estimator.getLabelCol(), GROUPS if bags else 1)
+    ready = assembler(bins.getOutputCols())
+    rows, cores = equal.count(), train.sparkSession.sparkContext.defaultParallelism
+    # Every task of a forest sends the sums of all nodes, the rounds of boosting are many and short: few tasks.
+    tasks = cores if bags else min(cores, -(-rows // ROUND_ROWS))
+    model = estimator.setWeightCol("_rows").fit(ready.transform(equal).select(FEATURES, estimator.getLabelCol(), "_rows").repartition(max(tasks, 1)))
+    return PipelineModel(stages=[bins, ready, model])
+
+
+def predict(model: PipelineModel, df: DataFrame) -> DataFrame:
+    """``df`` with ``prediction``. Trees over bins decide once for each combination of bins, rows look theirs up."""
+    if not isinstance(model.stages[0], Bucketizer):
+        return model.transform(df)
+    names = model.stages[0].getOutputCols()
+    binned = model.stages[0].transform(df)
+    once = PipelineModel(stages=model.stages[1:]).transform(binned.select(*names).distinct()).select(*names, "prediction")
+    return binned.join(once, names).drop(*names)
+
+
 def fit_one(train: DataFrame, features: Sequence[str], estimator, scaled: bool = False) -> PipelineModel:
-    """One pipeline holds assembler, optional scaler and regressor, so that serving cannot differ from training."""
+    """One pipeline holds assembler, optional scaler and regressor, so that serving cannot differ from training.
+
+    Trees on many rows are fitted on groups of equal bins.
+    """
+    if not scaled and isinstance(estimator, TREES) and train.count() > GROUPS:
+        return fit_trees(train, features, estimator, binner(train, features))
     stages = [assembler(features, "raw_features"), scaler(), estimator] if scaled else [assembler(features), estimator]
     return Pipeline(stages=stages).fit(train)
 
@@ -138,10 +217,6 @@ def pick_best_model(metrics: DataFrame, score: str = "avg_rmse", name: str = "mo
     return metrics.agg(F.min_by(name, best).alias(name), F.min(score).alias(score))
 
 
-#: Rows that a round of boosting takes in one task at least: its rounds are many and short.
-ROUND_ROWS = 50_000
-
-
 def train_and_rank(
     df: DataFrame, features: Sequence[str], targets: Sequence[str], part: str = "part", trees: int = 300, rounds: int = 300, side_by_side: int = 4
 ) -> tuple[DataFrame, dict[str, dict[str, PipelineModel]]]:
@@ -161,24 +236,37 @@ def train_and_rank(
     few = train.coalesce(max(1, min(train.rdd.getNumPartitions(), -(-rows // ROUND_ROWS))))
     zoos = {t: model_zoo(t, rows, spread[t], trees, rounds) for t in targets}
     names = list(zoos[targets[0]])
+    bins = binner(train, features) if rows > GROUPS else None
 
-    def fit(name: str, target: str):
+    def fit(name: str, target: str) -> PipelineModel:
         spark.sparkContext.setLocalProperty("spark.scheduler.pool", f"{name}-{target}")
         estimator = zoos[target][name]
-        return estimator.fit(few if isinstance(estimator, GBTRegressor) else train)
+        if bins and isinstance(estimator, TREES):
+            return fit_trees(train, features, estimator, bins)
+        return PipelineModel(stages=[ready, estimator.fit(few if isinstance(estimator, GBTRegressor) else train)])
 
     # Boosting takes longest, so it starts first.
     work = sorted(((n, t) for n in names for t in targets), key=lambda w: not isinstance(zoos[w[1]][w[0]], GBTRegressor))
     with ThreadPoolExecutor(side_by_side) as pool:
         running = {w: pool.submit(inheritable_thread_target(spark)(fit), *w) for w in work}
         models = {w: f.result() for w, f in running.items()}
-    fitted = {n: {t: PipelineModel(stages=[ready, models[n, t]]) for t in targets} for n in names}
-
-    scored = test
-    for n in names:
-        for t in targets:
-            scored = models[n, t].setPredictionCol(f"p_{n}_{t}").transform(scored)
-            models[n, t].setPredictionCol("prediction")
+    fitted = {n: {t: models[n, t] for t in targets} for n in names}
+
+    def scores(rows: DataFrame, which: list[tuple[str, str]]) -> DataFrame:
+        for n, t in which:
+            last = models[n, t].stages[-1]
+            rows = last.setPredictionCol(f"p_{n}_{t}").transform(rows)
+            last.setPredictionCol("prediction")
+        return rows
+
+    binned = [w for w in models if bins and isinstance(models[w].stages[0], Bucketizer)]
+    scored = scores(test, [w for w in models if w not in binned]).drop(FEATURES)
+    if binned:
+        # Trees over bins decide once for each combination of bins.
+        keys = bins.getOutputCols()
+        scored = bins.transform(scored)
+        once = scores(assembler(keys).transform(scored.select(*keys).distinct()), binned)
+        scored = scored.join(once.select(*keys, *[f"p_{n}_{t}" for n, t in binned]), keys)
     scored = scored.select(*targets, *[f"p_{n}_{t}" for n in names for t in targets])
     lines = [F.struct(F.lit(n).alias("model"), F.lit(i).alias("ordinal"), *[F.col(f"p_{n}_{t}").alias(f"p_{t}") for t in targets]) for i, n in enumerate(names)]
     told = scored.select(*targets, F.explode(F.array(*lines)).alias("_l")).select(*targets, "_l.*")
@@ -223,7 +311,18 @@ def permutation_importance(
         )
     copies = both.select(target, F.explode(F.array(*variants)).alias("_v")).select(target, "_v.*")
     e = F.col(target).cast("double") - F.col("prediction")
-    scores = model.transform(copies).groupBy("feature").agg(F.sqrt(F.avg(e * e)).alias("rmse"))
+    if isinstance(model.stages[0], Bucketizer):
+        # Number, mean and variance of the labels tell the error of a combination of bins, whose prediction is one.
+        names = model.stages[0].getOutputCols()
+        y = F.col(target).cast("double")
+        sums = [F.count(y).alias("n"), F.avg(y).alias("m"), F.var_pop(y).alias("v")]
+        cells = model.stages[0].transform(copies).groupBy(*names, "feature").agg(*sums)
+        once = cells.groupBy(*names).agg(F.collect_list(F.struct("feature", "n", "m", "v")).alias("_c"))  # one per feature
+        told = PipelineModel(stages=model.stages[1:]).transform(once).select("prediction", F.explode("_c").alias("_c")).select("prediction", "_c.*")
+        miss = F.col("m") - F.col("prediction")
+        scores = told.groupBy("feature").agg(F.sqrt(F.try_divide(F.sum(F.col("n") * (F.col("v") + miss * miss)), F.sum("n"))).alias("rmse"))
+    else:
+        scores = model.transform(copies).groupBy("feature").agg(F.sqrt(F.avg(e * e)).alias("rmse"))
     whole = scores.filter(F.col("feature") == "").select(F.col("rmse").alias("_base"))
     return (
         scores.filter(F.col("feature") != "")

@@ -38,7 +38,7 @@ def _fit_summary(spark: SparkSession, sf: str, make) -> DataFrame:
     parts = models.random_split(_items(spark, sf), _KEYS)
     train, test = parts.filter(F.col("part") == "train"), parts.filter(F.col("part") == "test")
     model = models.fit_one(train, _FEATURES, make(train))
-    return models.regression_metrics(model.transform(test), {"price": ("l_extendedprice", "prediction")})
+    return models.regression_metrics(models.predict(model, test), {"price": ("l_extendedprice", "prediction")})
 
 
 @query("train_forest")

@@ -76,3 +76,48 @@ def test_side_by_side_equals_one_after_the_other(spark):
             assert fitted[name][t].transform(test).count() == test.count()
     assert sorted(r.ordinal for r in got.values()) == [0, 1, 2, 3]
     assert got["Linear_Regression"].avg_rmse == pytest.approx((got["Linear_Regression"].rmse_y + got["Linear_Regression"].rmse_z) / 2)
+
+
+def test_trees_on_groups_of_equal_bins_are_those_on_the_rows(spark, monkeypatch):
+    df, x, y = rows(spark, 600)
+    one = models.train_forest("y", trees=1, depth=4).setBootstrap(False).setFeatureSubsetStrategy("all")
+    on_rows = predictions(models.fit_one(df, FEATURES, models.train_gbt("y", rounds=4, depth=2, step=0.3)), df)
+    monkeypatch.setattr(models, "GROUPS", 200)
+    bins = models.binner(df, FEATURES)
+    equal = models.group_equal(df, bins, "y")
+    assert equal.count() == len(np.unique(x, axis=0)) and equal.groupBy().sum("_rows").first()[0] == 600
+    assert 200 <= models.group_equal(df, bins, "y", 400).count() <= 600
+    boosted = models.fit_one(df, FEATURES, models.train_gbt("y", rounds=4, depth=2, step=0.3))
+    assert len(boosted.stages) == 3 and np.allclose(predictions(boosted, df), on_rows)
+    tree = models.fit_one(df, FEATURES, one)
+    assert np.allclose(predictions(tree, df), plain_tree(x, y, 4))
+    assert np.allclose([r.prediction for r in models.predict(tree, df).orderBy("i").collect()], predictions(tree, df))
+    forest = models.fit_one(df, FEATURES, models.train_forest("y", trees=7, depth=3))
+    assert np.corrcoef(predictions(forest, df), y)[0, 1] > 0.8
+
+
+def test_errors_from_groups_of_equal_bins_are_those_of_the_rows(spark, monkeypatch):
+    df, _, _ = rows(spark, 600)
+    monkeypatch.setattr(models, "GROUPS", 100)
+    model = models.fit_one(df, FEATURES, models.train_gbt("y", rounds=3, depth=2))
+    got = {r.feature: r.importance for r in models.permutation_importance(df, ["i"], FEATURES, "y", model).collect()}
+
+    class Rows:  # the same model, scored row by row
+        stages = [None]
+        transform = staticmethod(model.transform)
+
+    want = {r.feature: r.importance for r in models.permutation_importance(df, ["i"], FEATURES, "y", Rows).collect()}
+    assert got == pytest.approx(want) and min(got.values()) > 0
+    table, fitted = models.train_and_rank(df, FEATURES, ["y", "z"], trees=3, rounds=3)
+    test = df.filter("part = 'test'")
+    for r in table.collect():
+        told = models.regression_metrics(fitted[r.model]["y"].transform(test), {"y": ("y", "prediction")}).first()
+        assert (r.rmse_y, r.mae_y) == pytest.approx((told.rmse_y, told.mae_y))
+
+
+def test_bins_of_a_feature_with_many_values_hold_about_as_many_rows(spark):
+    df = spark.range(10_000).selectExpr("double(id) AS a", "double(id % 3) AS b", "double(7) AS c")
+    bins = models.binner(df, ["a", "b", "c"])
+    counts = [bins.transform(df).groupBy(f"_bin_{f}").count().collect() for f in "abc"]
+    assert [len(c) for c in counts] == [32, 3, 1]
+    assert all(250 <= r["count"] <= 375 for r in counts[0])
