@@ -284,6 +284,14 @@ def test_precaution_overlap(spark):
     assert got == [0.5, 0.0, 0.0]
 
 
+def test_precaution_overlap_compares_whole_vectors(spark, tmp_path):
+    near, far = [1.0] * 8 + [0.0] * 8, [1.0] * 8 + [9.0] * 8
+    vectors = [near, near, near, far, far, near, far, far, near, far, near]
+    spark.createDataFrame(list(enumerate(vectors)), "vec_id long, embedding array<double>").write.parquet(f"{tmp_path}/embeddings.parquet")
+    got = {r.example: r.overlap for r in B.QUERIES["precaution_overlap"](spark, str(tmp_path)).collect()}
+    assert got == {0: 0.0, 1: 1.0, 2: 0.0}  # the last one has nothing generated
+
+
 def test_gate_and_failed_strategy(spark):
     ddl = "strategy string, rouge_l double, cosine_similarity double, precaution_overlap double, latency_seconds double, error string"
     rows = [("a", 0.3, 0.6, 0.4, 20.0, None), ("a", 0.1, 0.6, 0.4, 20.0, None), ("b", 0.1, 0.9, 0.1, 1.0, None), ("c", 0.9, 0.9, 0.9, 1.0, "x")]
