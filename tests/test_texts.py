@@ -342,6 +342,18 @@ def test_a_stored_index_answers_as_a_new_one(spark, tmp_path):
     assert [r["chunk_id"] for r in got] == ["a", "b"]
 
 
+def test_a_query_is_sent_once_to_a_block_of_many_cells(spark, monkeypatch):
+    rng = np.random.default_rng(3)
+    chunks = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(rng.normal(size=(400, 16)))], "chunk_id long, chunk_vector array<double>")
+    queries = chunks.toDF("query_id", "query_vector")
+    assert retrieval._groups(np.array([3, 3, 3, 20, 1]), 6).tolist() == [0, 2, 3, 4]
+    sent, plain = [], retrieval._candidates
+    monkeypatch.setattr(retrieval, "_candidates", lambda left, *more: sent.append(left.count()) or plain(left, *more))
+    got = retrieval.knn_topk(queries, chunks, 2, pivots=40, block_rows=100).filter("rank = 1").collect()
+    assert len(got) == 400 and all(r.query_id == r.chunk_id for r in got)
+    assert max(sent) <= 400 * 8, sent  # not once for each of about 40 cells
+
+
 def test_knn_with_fewer_chunks_than_k(spark):
     c = spark.createDataFrame([(1, [0.0, 0.0]), (2, [3.0, 4.0])], "chunk_id long, chunk_vector array<double>")
     q = spark.createDataFrame([(9, [0.0, 0.0])], "query_id long, query_vector array<double>")
