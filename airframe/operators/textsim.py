@@ -53,10 +53,13 @@ def similar_texts(queries: DataFrame, corpus: DataFrame, query_id: str, query: s
     idf = idf.join(ask.select("term").distinct().withColumn("asked", F.lit(0)), "term", "full").crossJoin(F.broadcast(texts))  # one row
     idf = idf.select("term", (F.lit(1.0) + F.log((F.col("texts") + 1.0) / (F.coalesce("df", F.lit(0)) + 1.0))).alias("w"))
 
-    def unit(counts: DataFrame, as_id: str, as_weight: str) -> DataFrame:
-        weighed = counts.join(idf, "term").withColumn("x", F.col("tf") * F.col("w"))
-        norms = weighed.groupBy("id").agg(F.sqrt(F.sum(F.col("x") * F.col("x"))).alias("norm"))
-        return weighed.join(norms, "id").select(F.col("id").alias(as_id), "term", (F.col("x") / F.col("norm")).alias(as_weight))
+    def weighed(counts: DataFrame) -> tuple[DataFrame, DataFrame]:
+        terms = counts.join(idf, "term").withColumn("x", F.col("tf") * F.col("w"))
+        return terms, terms.groupBy("id").agg(F.sqrt(F.sum(F.col("x") * F.col("x"))).alias("norm"))
 
-    met = unit(ask, "q", "x").join(unit(have, "t", "y"), "term").groupBy("q", "t").agg(F.sum(F.col("x") * F.col("y")).alias("cosine"))
-    return met.where(F.col("cosine") >= least).select(F.col("q").alias(query_id), F.col("t").alias(text_id), "cosine")
+    (asked, length), (held, norms) = weighed(ask), weighed(have)
+    asked = asked.join(length, "id").select(F.col("id").alias("q"), "term", (F.col("x") / F.col("norm")).alias("y"))
+    # The terms of the corpus are already together by term; their norms, one row a text, join the sums.
+    met = asked.join(held.select("id", "term", "x"), "term").groupBy("q", "id").agg(F.sum(F.col("y") * F.col("x")).alias("dot"))
+    told = met.join(norms, "id").select(F.col("q").alias(query_id), F.col("id").alias(text_id), (F.col("dot") / F.col("norm")).alias("cosine"))
+    return told.where(F.col("cosine") >= least)
