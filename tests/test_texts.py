@@ -3,8 +3,10 @@
 import json
 import random
 import re
+import tracemalloc
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -383,6 +385,45 @@ def test_nearest_of_a_block_by_single_precision(monkeypatch, scale, run):
     assert set(zip(i.tolist(), j.tolist(), distance.tolist())) == plain_nearest(q, bound, visited, c, ids, cell, 3)
 
 
+def test_memory_of_a_task_is_a_few_times_its_vectors():
+    """Both sides stay in the precision they come in; before, a task held each several times in double precision."""
+    rng = np.random.default_rng(2)
+    q, c = (rng.normal(size=(n, 64)).astype("float32") for n in (12_000, 20_000))
+    come = [pa.ListArray.from_arrays(np.arange(0, x.size + 1, 64, dtype="int32"), x.ravel()) for x in (q, c)]
+    cell = rng.integers(0, 4, len(c)).astype("int32")
+    visited, bound = [np.arange(4, dtype="int32")] * len(q), np.full(len(q), 40.0)
+    tracemalloc.start()
+    i, j, distance = retrieval._top_in_block(retrieval._vectors(come[0]), bound, visited, retrieval._vectors(come[1]), range(len(c)), cell, 2)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    # Besides the vectors: the product of a slice and some numbers for each row.
+    assert peak < 3.5 * (q.nbytes + c.nbytes), peak / (q.nbytes + c.nbytes)
+    few = i < 20
+    d = ((q[:20, None, :].astype("float64") - c[None, :, :]) ** 2).sum(-1)
+    want = {(x, int(y)) for x, row in enumerate(d) for y in row.argsort()[:2] if row[y] <= 40.0}
+    assert set(zip(i[few].tolist(), j[few].tolist())) == want
+
+
+@pytest.mark.parametrize("home", [True, False])
+def test_visited_cells_are_a_bit_each(spark, monkeypatch, home):
+    """What a query takes with it does not grow with queries times groups as lists did."""
+    rng = np.random.default_rng(4)
+    v = rng.normal(size=(900, 8))
+    chunks = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)] + [(900, None)], "chunk_id long, chunk_vector array<double>")
+    queries = chunks.toDF("query_id", "query_vector")
+    sent, plain = [], retrieval._candidates
+
+    def seen(left, right, keys, k):
+        sent.append(left.groupBy("qid").agg(F.sum(F.octet_length("cells")).alias("b"), F.count(F.lit(1)).alias("n")).agg(F.max("b"), F.max("n")).first())
+        return plain(left, right, keys, k)
+
+    monkeypatch.setattr(retrieval, "_candidates", seen)
+    got = retrieval.knn_topk(queries, chunks, 3, pivots=90, block_rows=150, query_rows=200, home=home).collect()
+    assert sent and all(b <= 90 / 8 + n for b, n in sent) and max(n for _, n in sent) > 3, sent
+    d = ((v[:, None, :] - v[None, :, :]) ** 2).sum(-1)
+    assert {(r.query_id, r["rank"], r.chunk_id) for r in got} == {(i, n + 1, int(j)) for i, x in enumerate(d) for n, j in enumerate(x.argsort()[:3])}
+
+
 def test_later_blocks_return_only_what_the_first_cells_leave_open(spark, monkeypatch):
     """A query brings the distance of its k-th neighbour so far; a chunk is sent once where blocks alone make tasks enough."""
     rng = np.random.default_rng(8)
