@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import math
+from collections.abc import Iterator, Sequence
 from concurrent.futures import ThreadPoolExecutor
 
+import numpy as np
+import pyarrow as pa
 from pyspark import inheritable_thread_target
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.feature import Bucketizer, StandardScaler, VectorAssembler
@@ -92,6 +95,8 @@ BINS = 32
 #: Trees are fitted on rows up to this number; more rows go in as groups of equal bins, and a forest gets about as many groups.
 GROUPS = 500_000
 TREES = (RandomForestRegressor, GBTRegressor)
+#: Combinations of bins whose predictions every task may hold, as a table of so many numbers.
+TABLE = 8_000_000
 #: Rows that a round of boosting takes in one task at least: its rounds are many and short.
 ROUND_ROWS = 50_000
 
@@ -291,19 +296,20 @@ def permutation_importance(
 ) -> DataFrame:
     """Increase of the RMSE when one column is shuffled.
 
-    The shuffled value of a row is that of its cyclic predecessor in hash order: rows are numbered with
-    bucketed positions and joined on the number, so no column is sorted in one task. All features
-    share that one join and are scored in one pass over (row, feature) copies.
+    The shuffled value of a row is that of the next one in hash order, cyclically: rows are sorted in buckets of the hash and
+    shuffled once, so no column is sorted in one task. All features share that step and are scored in one pass. Where
+    trees over bins have a table of predictions that a task can hold, a row goes as one number for its combination of bins
+    and looks its predictions up; no copy of a row is shuffled.
     """
     h = F.xxhash64(F.lit(seed), *[F.col(k) for k in keys])
-    base = df.select(*keys, *features, target).withColumn("_h", h)
     buckets = 8 * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     bucket = F.pmod(F.col("_h"), F.lit(buckets)).cast("long")
-    placed = ordered.positions(base, [], ["_h", *keys], "_p", bucket=bucket, size="_n")
-    other = placed.select(
-        F.pmod(F.col("_p") - F.lit(1), F.col("_n")).alias("_p"), *[F.col(f).alias(f"_o_{f}") for f in features]
-    )
-    both = placed.join(other, "_p")
+    if isinstance(model.stages[0], Bucketizer):
+        radix = [len(s) for s in model.stages[0].getSplitsArray()]  # one more than bins, for missing values
+        if math.prod(radix) <= TABLE:
+            return _importances(_table_scores(df, h, bucket, features, target, model, radix))
+    base = df.select(h.alias("_h"), *features, target)
+    both = ordered.row_after(base, ["_h"], features, bucket)
     variants = [F.struct(F.lit("").alias("feature"), *[F.col(f).alias(f) for f in features])]
     for g in features:
         variants.append(
@@ -323,6 +329,11 @@ def permutation_importance(
         scores = told.groupBy("feature").agg(F.sqrt(F.try_divide(F.sum(F.col("n") * (F.col("v") + miss * miss)), F.sum("n"))).alias("rmse"))
     else:
         scores = model.transform(copies).groupBy("feature").agg(F.sqrt(F.avg(e * e)).alias("rmse"))
+    return _importances(scores)
+
+
+def _importances(scores: DataFrame) -> DataFrame:
+    """(feature, rmse), with '' for the rows as they are, to (feature, importance)."""
     whole = scores.filter(F.col("feature") == "").select(F.col("rmse").alias("_base"))
     return (
         scores.filter(F.col("feature") != "")
@@ -331,6 +342,41 @@ def permutation_importance(
     )
 
 
+def _table_scores(df: DataFrame, h: Column, bucket: Column, features: Sequence[str], target: str, model: PipelineModel, radix: Sequence[int]) -> DataFrame:
+    """(feature, rmse) of trees over bins, whose predictions for all combinations are one table.
+
+    A combination is the number whose digits are the bins; the last value of a digit stands for a missing value, whose
+    rows are not scored.
+    """
+    bins, names = model.stages[0], model.stages[0].getOutputCols()
+    steps = [math.prod(radix[i + 1 :]) for i in range(len(radix))]
+    grid = df.sparkSession.range(math.prod(radix)).withColumns({n: F.floor(F.col("id") / steps[i]) % radix[i] + 0.0 for i, n in enumerate(names)})
+    known = grid.where(" AND ".join(f"`{n}` < {r - 1}" for n, r in zip(names, radix)))
+    told = PipelineModel(stages=model.stages[1:]).transform(known).select("id", "prediction").toArrow()
+    table = np.full(math.prod(radix), np.nan)
+    table[told["id"].to_numpy()] = told["prediction"].to_numpy()
+
+    code = sum((F.coalesce(n, F.lit(radix[i] - 1.0)) * steps[i] for i, n in enumerate(names)), F.lit(0.0)).cast("int")
+    coded = bins.copy().setHandleInvalid("keep").transform(df.withColumn("_h", h)).select("_h", code.alias("_code"), F.col(target).cast("double").alias("_y"))
+    both = ordered.row_after(coded, ["_h"], ["_code"], bucket).where("_y IS NOT NULL").select("_code", "_o__code", "_y")
+
+    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Number of rows and sum of squared errors, of the rows as they are and with each feature of the next row."""
+        n, total = np.zeros(len(radix) + 1, np.int64), np.zeros(len(radix) + 1)
+        for b in batches:
+            own, other, y = (b.column(x).to_numpy().astype(kind) for x, kind in enumerate((np.int64, np.int64, np.float64)))
+            for i in range(-1, len(radix)):
+                moved = 0 if i < 0 else (other // steps[i] % radix[i] - own // steps[i] % radix[i]) * steps[i]
+                p = table[own + moved]
+                valid = ~np.isnan(p)
+                n[i + 1] += int(valid.sum())
+                total[i + 1] += float(((y - p)[valid] ** 2).sum())
+        yield pa.RecordBatch.from_pydict({"feature": ["", *features], "n": n, "s": total})
+
+    sums = both.mapInArrow(score, "feature string, n long, s double").where("n > 0")
+    return sums.groupBy("feature").agg(F.sqrt(F.try_divide(F.sum("s"), F.sum("n"))).alias("rmse"))
+
+
 def importance_compare(first: DataFrame, second: DataFrame, n: int = 15) -> DataFrame:
     """Two rankings side by side, the n best by the second."""
     return (

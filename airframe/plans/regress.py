@@ -94,6 +94,11 @@ def train_and_rank(spark: SparkSession, sf: str, trees: int = 300, rounds: int =
 
 def _forest(spark: SparkSession, sf: str, trees: int):
     items = _items(spark, sf)
+    if B.table(spark, sf, "lineitem").count() > models.GROUPS:
+        # Trees on many rows read them several times; each time the line items would be sent to their parts anew.
+        path = new_path(spark, "items")
+        items.write.option("compression", "zstd").parquet(path)
+        items = spark.read.parquet(path)
     return items, models.fit_one(items, _FEATURES, models.train_forest("l_extendedprice", trees))
 
 

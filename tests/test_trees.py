@@ -2,8 +2,9 @@
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
-from airframe.operators import models
+from airframe.operators import models, ordered
 
 FEATURES = ["a", "b"]
 
@@ -115,6 +116,44 @@ def test_errors_from_groups_of_equal_bins_are_those_of_the_rows(spark, monkeypat
         assert (r.rmse_y, r.mae_y) == pytest.approx((told.rmse_y, told.mae_y))
 
 
+def test_rows_get_the_columns_of_the_next_one_across_buckets(spark):
+    rng = np.random.default_rng(6)
+    data = [(int(h), None if v < 3 else int(v), float(n)) for n, (h, v) in enumerate(zip(rng.integers(0, 40, 200), rng.integers(0, 9, 200)))]
+    df = spark.createDataFrame(data, "h int, v int, n double").repartition(5)
+    bucket = lambda r: r[0] % 7 if r[0] % 7 != 3 else 4  # noqa: E731  one bucket is empty
+    first = F.when(F.col("h") % 7 == 3, 4).otherwise(F.col("h") % 7).cast("long")
+    # Rows of one h are in the order of their other columns, NULL first.
+    line = sorted(data, key=lambda r: (bucket(r), r[0], r[1] is not None, r[1] or 0, r[2]))
+    want = {r[2]: (q[1], q[2]) for r, q in zip(line, [*line[1:], line[0]])}
+    got = ordered.row_after(df, ["h"], ["v", "n"], first)
+    assert {r.n: (r._o_v, r._o_n) for r in got.collect()} == want
+    one = ordered.row_after(df.limit(1), ["h"], ["n"], first).first()
+    assert one._o_n == one.n and ordered.row_after(df.limit(0), ["h"], ["n"], first).count() == 0
+
+
+@pytest.mark.parametrize("table", [10_000, 0])
+def test_no_copy_of_a_row_is_shuffled_for_importances(spark, monkeypatch, table):
+    """Missing features and labels, repeated keys; with a table of predictions and without, as row by row."""
+    df, _, _ = rows(spark, 600)
+    monkeypatch.setattr(models, "GROUPS", 100)
+    model = models.fit_one(df, FEATURES, models.train_gbt("y", rounds=3, depth=2))
+    monkeypatch.setattr(models, "TABLE", table)
+    odd = df.selectExpr("i", "CASE WHEN i % 17 = 3 THEN NULL WHEN i % 19 = 4 THEN double('NaN') ELSE a END AS a", "IF(i % 23 = 5, NULL, b) AS b", "IF(i % 29 = 6, NULL, y) AS y")
+    got = models.permutation_importance(odd, ["i"], FEATURES, "y", model)
+    n = 8 * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    line = [tuple(r) for r in odd.withColumn("h", F.xxhash64(F.lit(42), "i")).orderBy(F.expr(f"pmod(h, {n})"), "h").select("a", "b", "y").collect()]
+    after = [*line[1:], line[0]]
+    rmse = []
+    for f in (None, 0, 1):
+        moved = [(q[0] if f == 0 else r[0], q[1] if f == 1 else r[1], r[2]) for r, q in zip(line, after)]
+        scored = model.transform(spark.createDataFrame(moved, "a double, b double, y double").where("y IS NOT NULL"))
+        rmse.append(scored.selectExpr("sqrt(avg((y - prediction) * (y - prediction)))").first()[0])
+    assert {r.feature: r.importance for r in got.collect()} == pytest.approx({"a": rmse[1] - rmse[0], "b": rmse[2] - rmse[0]})
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "_p" not in [x.split("#")[0] for x in plan.split("hashpartitioning(")[1:]], plan  # no join on positions
+    assert ("explode" in plan) == (not table)
+
+
 def test_bins_of_a_feature_with_many_values_hold_about_as_many_rows(spark):
     df = spark.range(10_000).selectExpr("double(id) AS a", "double(id % 3) AS b", "double(7) AS c")
     bins = models.binner(df, ["a", "b", "c"])
