@@ -12,7 +12,7 @@ from pyspark import inheritable_thread_target
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.feature import Bucketizer, StandardScaler, VectorAssembler
 from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRegressor
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from airframe.functions.columns import unit_noise
@@ -334,12 +334,10 @@ def permutation_importance(
 
 def _importances(scores: DataFrame) -> DataFrame:
     """(feature, rmse), with '' for the rows as they are, to (feature, importance)."""
-    whole = scores.filter(F.col("feature") == "").select(F.col("rmse").alias("_base"))
-    return (
-        scores.filter(F.col("feature") != "")
-        .crossJoin(F.broadcast(whole))  # exactly one row
-        .select("feature", (F.col("rmse") - F.col("_base")).alias("importance"))
-    )
+    # One row per feature; a join with the row of '' would score all rows twice.
+    every, plain = Window.partitionBy(F.lit(0)), F.col("feature") == ""
+    based = scores.select("*", F.max(F.when(plain, F.col("rmse"))).over(every).alias("_base"), F.max(plain).over(every).alias("_any"))
+    return based.filter("feature != '' AND _any").select("feature", (F.col("rmse") - F.col("_base")).alias("importance"))
 
 
 def _table_scores(df: DataFrame, h: Column, bucket: Column, features: Sequence[str], target: str, model: PipelineModel, radix: Sequence[int]) -> DataFrame:

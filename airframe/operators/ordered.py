@@ -175,13 +175,13 @@ def row_after(df: DataFrame, order: Sequence[str], columns: Sequence[str], bucke
     """Each row with the ``columns`` of the row after it in the order of (bucket, order), the last row with those of the first.
 
     The rows are shuffled once and never joined on a position: only the first row of each bucket goes to the bucket
-    before. Ties are ordered by all other columns, so both readers of the rows need the same columns and share the exchange.
+    before. Ties are ordered by all other columns, so both readers of the rows need the same columns, in the same order, and share the exchange.
     """
     by = [*order, *[c for c in df.columns if c not in order]]
     src = df.withColumn(BUCKET, bucket)
     w = Window.partitionBy(BUCKET).orderBy(*by)
     rows = src.select("*", F.lead(F.lit(True)).over(w).alias("_more"), *[F.lead(c).over(w).alias(f"_lead_{c}") for c in columns])
-    first = src.select(BUCKET, *columns, F.lag(F.lit(True)).over(w).alias("_less")).where("_less IS NULL")
+    first = src.select("*", F.lag(F.lit(True)).over(w).alias("_less")).where("_less IS NULL")
     along = Window.partitionBy(F.lit(0)).orderBy(BUCKET)  # one row a bucket
     ends = along.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     next_first = lambda c: F.when(F.lead(F.lit(True)).over(along), F.lead(c).over(along)).otherwise(F.first(c).over(ends))

@@ -152,6 +152,8 @@ def test_no_copy_of_a_row_is_shuffled_for_importances(spark, monkeypatch, table)
     plan = got._jdf.queryExecution().executedPlan().toString()
     assert "_p" not in [x.split("#")[0] for x in plan.split("hashpartitioning(")[1:]], plan  # no join on positions
     assert ("explode" in plan) == (not table)
+    sent = [x for x in plan.split("Initial Plan")[0].split("\n") if "hashpartitioning(_bucket#" in x and "ReusedExchange" not in x]
+    assert len(sent) == 1, plan  # the rows are sent once and read again from there
 
 
 def test_bins_of_a_feature_with_many_values_hold_about_as_many_rows(spark):
